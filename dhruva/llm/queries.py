@@ -5,17 +5,47 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from dhruva.llm.confusables import look_alike_pairs
 from dhruva.llm.encoding import encode_corpus
+from dhruva.llm.overlap import cross_split_overlaps
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Question texts and aliases that look the same but are different strings."""
+    intents = _t(spark, sf, "hindi_intents").select(F.lit("intents").alias("corpus"), F.col("id").alias("key"), "text")
+    parts = [intents]
+    for table, key in (("station_aliases", "station_key"), ("reviewed_name_aliases_v1", "entry_id")):
+        rows = _t(spark, sf, table).select(F.col(key).cast("string").alias("k"), F.posexplode("aliases").alias("pos", "text"))
+        parts.append(rows.select(F.lit("aliases").alias("corpus"), F.concat_ws("/", F.lit(table), "k", F.col("pos").cast("string")).alias("key"), "text"))
+    return look_alike_pairs(parts[0].union(parts[1]).union(parts[2]))
+
+
+def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    return cross_split_overlaps(_t(spark, sf, "hindi_intents"), "id", "text", "split")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions of validation or test that are also, exactly or almost, in train."""
+    return _overlaps(spark, sf).select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b")).distinct()
+
+
+def p5_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Evaluation questions with a train partner, counted per split and source; a null source is a group of its own."""
+    hit = _overlaps(spark, sf).groupBy("eval_id", "eval_split").agg(F.count("*").alias("links"), F.max("shared").alias("most"))
+    source = _t(spark, sf, "hindi_intents").select(F.col("id").alias("eval_id"), "source").distinct()
+    rows = hit.join(source, "eval_id").groupBy(F.col("eval_split").alias("split"), "source")
+    return rows.agg(F.countDistinct("eval_id").alias("questions"), F.sum("links").alias("links"), F.sum(F.expr("int(most = 1)")).alias("exact"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(_t(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_ids,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p5_found, p5_report, p7_ids)}
 ORACLES: dict[str, str] = {}
