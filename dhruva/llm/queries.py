@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from dhruva.llm.confusables import look_alike_pairs
 from dhruva.llm.encoding import encode_corpus
-from dhruva.llm.overlap import cross_split_overlaps
+from dhruva.llm.grouped_splits import Splits, assign_splits, family_key
+from dhruva.llm.overlap import cross_split_overlaps, split_name
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -26,6 +27,28 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return look_alike_pairs(parts[0].union(parts[1]).union(parts[2]))
 
 
+RATIOS = {"train": 0.70, "validation": 0.12, "test": 0.18}
+
+
+def _splits(spark: SparkSession, sf: str, conflicts: str) -> Splits:
+    """The recorded splits are the component table so far: each family with each split it was recorded in."""
+    rows = _t(spark, sf, "hindi_intents").select("id", "intent", "source", "created_at", family_key("family_id", "intent").alias("family"), split_name("split").alias("recorded"))
+    node = F.concat(F.lit("family="), F.col("family"))
+    recorded = rows.where("family is not null and recorded is not null").select(node.alias("node"), F.concat_ws("@", "family", "recorded").alias("component"), F.col("recorded").alias("split"))
+    return assign_splits(rows, ["family"], RATIOS, recorded.distinct(), conflicts, row_key="id")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Families that the recorded split tears apart."""
+    torn = _splits(spark, sf, "quarantine").quarantine
+    return torn.where("startswith(node, 'family=')").select(F.expr("substring(node, 8)").alias("family_id")).distinct()
+
+
+def p3_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """Every question with its split at 70/12/18 %; families in one recorded split keep it, torn ones are placed anew."""
+    return _splits(spark, sf, "reassign").records.select("id", "family", "recorded", "split")
+
+
 def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
     return cross_split_overlaps(_t(spark, sf, "hindi_intents"), "id", "text", "split")
 
@@ -47,5 +70,14 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(_t(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p5_found, p5_report, p7_ids)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p3_found, p3_splits, p5_found, p5_report, p7_ids)}
+ORACLES: dict[str, str] = {
+    "p3_found": r"""WITH k AS (
+  SELECT lower(regexp_replace(family_id, '\s', '', 'g')) AS f, lower(regexp_replace(intent, '\s', '', 'g')) AS i, lower(trim(split)) AS s
+  FROM hindi_intents WHERE family_id IS NOT NULL AND split IS NOT NULL),
+n AS (
+  SELECT CASE WHEN f LIKE '%:%' THEN split_part(f, ':', 1) || ':' || CAST(CAST(split_part(f, ':', 2) AS BIGINT) AS VARCHAR)
+    ELSE i || ':' || CAST(CAST(f AS BIGINT) AS VARCHAR) END AS family_id,
+    CASE WHEN s IN ('train', 'training') THEN 'train' WHEN s = 'test' THEN 'test' WHEN s IN ('validation', 'val', 'dev') THEN 'validation' END AS s FROM k)
+SELECT family_id FROM n WHERE family_id IS NOT NULL GROUP BY family_id HAVING count(DISTINCT s) > 1""",
+}
