@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dhruva.llm.chunking import split_oversized
 from dhruva.llm.confusables import look_alike_pairs
 from dhruva.llm.encoding import encode_corpus
 from dhruva.llm.grouped_splits import Splits, assign_splits, family_key
+from dhruva.llm.mixing import mix_sources
 from dhruva.llm.overlap import cross_split_overlaps, split_name
 
 
@@ -67,10 +69,31 @@ def p5_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Token ids of every document."""
     return encode_corpus(_t(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p3_found, p3_splits, p5_found, p5_report, p7_ids)}
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents selected for the mix and how often each is used."""
+    return mix_sources(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets")).selection.withColumnRenamed("id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares reached per source, with the sources that are too small or absent."""
+    return mix_sources(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets")).shares
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of more than 1,000 tokens."""
+    return split_oversized(_t(spark, sf, "documents"), with_text=False).select("doc_id").distinct()
+
+
+def p9_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces of those documents, of at most 1,000 tokens, consecutive ones sharing 50."""
+    return split_oversized(_t(spark, sf, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p3_found, p3_splits, p5_found, p5_report, p7_ids, p8_mix, p8_shares, p9_found, p9_pieces)}
 ORACLES: dict[str, str] = {
     "p3_found": r"""WITH k AS (
   SELECT lower(regexp_replace(family_id, '\s', '', 'g')) AS f, lower(regexp_replace(intent, '\s', '', 'g')) AS i, lower(trim(split)) AS s
