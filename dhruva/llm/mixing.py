@@ -24,6 +24,11 @@ from dhruva.session import materialise
 #: No document is expected to fill more than this part of what remains to be sampled from its source, relative to
 #: a small one.
 MOST = 0.05
+#: Unless a total is given it is the largest at which every source can fill its share, but at least this part of the
+#: tokens at hand: sources too small even for that are reported as such.
+LEAST_PART = 0.5
+#: A source that misses its budget by more than this part is topped up from documents that still fit.
+CLOSE, ROUNDS = 0.005, 6
 #: Sizes are summed in bins this much apart (factor) to solve for inclusion probabilities.
 BIN = 1.02
 
@@ -52,8 +57,8 @@ def mix_sources(
 ) -> Mix:
     """A selection in which each source of ``targets(source, target_share, max_repeats)`` fills its share of ``total`` tokens.
 
-    ``total`` defaults to the tokens of all documents whose source has a target. A source that cannot fill its share
-    even with ``max_repeats`` copies of everything is taken whole that many times, an absent one stays empty, and
+    ``total`` defaults to the largest at which every source that has documents fills its share, but at least LEAST_PART
+    of the tokens of all documents whose source has a target. A source that cannot fill its share even with ``max_repeats`` copies of everything is taken whole that many times, an absent one stays empty, and
     both are reported; their shortfall is not passed on. Documents of other or no source are never selected;
     null and empty texts have no tokens and are not selected. Repeated rows are documents of their own unless they
     share the id, then they count once. ``targets`` is a list of sources and must be small (it is checked); null
@@ -74,7 +79,9 @@ def mix_sources(
     for r in known.groupBy("source", bin_.alias("b")).agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).collect():
         bins.setdefault(r["source"], []).append((r["n"], r["t"]))
     held = {s: sum(t for _, t in b) for s, b in bins.items()}
-    total = total if total is not None else sum(held.values())
+    if total is None:
+        most = [held[g["source"]] * g["max_repeats"] / g["target_share"] for g in goals if held.get(g["source"]) and g["target_share"] > 0]
+        total = max(min(most, default=0), LEAST_PART * sum(held.values()))
     plan = []
     for g in goals:
         have, want = held.get(g["source"], 0), g["target_share"] * total
@@ -96,9 +103,20 @@ def mix_sources(
     odds = F.when(p >= 1 - 1e-12, 0.0).otherwise((u / (1 - u)) / (p / (1 - p)))
     drawn = ready.where("c > 0").withColumn("q", odds)
     ranked = running_total(drawn.select("id", "source", "tokens", "rest", "q"), "tokens", ["q", "id"], ["source"])
-    # The last document that still brings the source nearer to its budget is in, the next one is out.
-    extra = ranked.where(F.col("running") - F.col("tokens") / 2 <= F.col("rest")).select("id", "source", "tokens", F.lit(1).alias("copies"))
-    copies = ready.where("whole > 0").select("id", "source", "tokens", F.col("whole").alias("copies")).union(extra)
+    # The front of the ranking that fits; what is left of a budget is filled by the next documents small enough for it.
+    taken = materialise(ranked.where("running <= rest").select("id", "source", "tokens"), "taken")
+    for _ in range(ROUNDS):
+        filled = {r["source"]: r["t"] for r in taken.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+        gaps = [(s, r - filled.get(s, 0)) for s, _, _, _, want, _, r, c in plan if c > 0 and r - filled.get(s, 0) > max(1.0, CLOSE * want)]
+        if not gaps:
+            break
+        open_ = F.broadcast(spark.createDataFrame(gaps, "source string, gap double"))
+        fits = drawn.select("id", "source", "tokens", "q").join(open_, "source").where("tokens <= gap").join(taken.select("id"), "id", "left_anti")
+        more = materialise(running_total(fits, "tokens", ["q", "id"], ["source"]).where("running <= gap").select("id", "source", "tokens"), "taken")
+        if more.isEmpty():
+            break
+        taken = taken.union(more)
+    copies = ready.where("whole > 0").select("id", "source", "tokens", F.col("whole").alias("copies")).union(taken.withColumn("copies", F.lit(1)))
     chosen = materialise(copies.groupBy("id", "source", "tokens").agg(F.sum("copies").cast("int").alias("copies")), "mix")
 
     got = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("selected_tokens"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
