@@ -105,16 +105,21 @@ def mix_sources(
     ranked = running_total(drawn.select("id", "source", "tokens", "rest", "q"), "tokens", ["q", "id"], ["source"])
     # The front of the ranking that fits; what is left of a budget is filled by the next documents small enough for it.
     taken = materialise(ranked.where("running <= rest").select("id", "source", "tokens"), "taken")
+    last = False
     for _ in range(ROUNDS):
         filled = {r["source"]: r["t"] for r in taken.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
         gaps = [(s, r - filled.get(s, 0)) for s, _, _, _, want, _, r, c in plan if c > 0 and r - filled.get(s, 0) > max(1.0, CLOSE * want)]
-        if not gaps:
+        if not gaps or last:
             break
         open_ = F.broadcast(spark.createDataFrame(gaps, "source string, gap double"))
         fits = drawn.select("id", "source", "tokens", "q").join(open_, "source").where("tokens <= gap").join(taken.select("id"), "id", "left_anti")
+        if fits.isEmpty():
+            # Nothing fits any more: the one document that brings a source nearest to its budget, if any does.
+            near = drawn.select("id", "source", "tokens").join(open_, "source").where("tokens < 2 * gap").join(taken.select("id"), "id", "left_anti")
+            best = near.groupBy("source").agg(F.min_by(F.struct("id", "tokens"), F.struct(F.abs(F.col("tokens") - F.col("gap")), "id")).alias("d"))
+            taken, last = taken.union(materialise(best.select("d.id", "source", "d.tokens"), "taken")), True
+            continue
         more = materialise(running_total(fits, "tokens", ["q", "id"], ["source"]).where("running <= gap").select("id", "source", "tokens"), "taken")
-        if more.isEmpty():
-            break
         taken = taken.union(more)
     copies = ready.where("whole > 0").select("id", "source", "tokens", F.col("whole").alias("copies")).union(taken.withColumn("copies", F.lit(1)))
     chosen = materialise(copies.groupBy("id", "source", "tokens").agg(F.sum("copies").cast("int").alias("copies")), "mix")
