@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dhruva.llm.canonical_names import map_values
 from dhruva.llm.chunking import split_oversized
 from dhruva.llm.confusables import look_alike_pairs
 from dhruva.llm.encoding import encode_corpus
@@ -19,6 +20,21 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The reviewed entry that each typed alias means, -1 for none."""
+    typed = _t(spark, sf, "chennai_case_study").select("id", F.posexplode("aliases").alias("alias_pos", "value")).where("id is not null").distinct()
+    found = map_values(typed, _t(spark, sf, "reviewed_name_aliases_v1"))
+    return typed.join(found, "value", "left").select("id", "alias_pos", F.coalesce("entry_id", F.lit(-1).cast("long")).alias("entry_id")).distinct()
+
+
+def p1_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    """Values that mean no reviewed entry, with how often they were typed."""
+    typed = _t(spark, sf, "chennai_case_study").select("id", F.posexplode("aliases").alias("alias_pos", "value")).where("id is not null").distinct()
+    none = map_values(typed, _t(spark, sf, "reviewed_name_aliases_v1")).where("entry_id is null").select("value")
+    counts = typed.groupBy("value").agg(F.count("*").alias("typed"))
+    return counts.join(none, "value", "left_semi").union(counts.where("value is null"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Question texts and aliases that look the same but are different strings."""
     intents = _t(spark, sf, "hindi_intents").select(F.lit("intents").alias("corpus"), F.col("id").alias("key"), "text")
@@ -93,7 +109,7 @@ def p9_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_oversized(_t(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p3_found, p3_splits, p5_found, p5_report, p7_ids, p8_mix, p8_shares, p9_found, p9_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p3_found, p3_splits, p5_found, p5_report, p7_ids, p8_mix, p8_shares, p9_found, p9_pieces)}
 ORACLES: dict[str, str] = {
     "p3_found": r"""WITH k AS (
   SELECT lower(regexp_replace(family_id, '\s', '', 'g')) AS f, lower(regexp_replace(intent, '\s', '', 'g')) AS i, lower(trim(split)) AS s
