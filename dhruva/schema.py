@@ -24,6 +24,8 @@ TABLES = {
     "route_stops": _schema(("link_id", _L), ("route_id", _S), ("direction_id", _I), ("stop_sequence", _I), ("canonical_stop_id", _S), ("snapshot_date", T.DateType()), ("loaded_at", _N)),
     "transport_hubs": _schema(("hub_id", _S), ("hub_name", _S), ("latitude", _D), ("longitude", _D)),
 }
+# A lifetime may be delivered again with other values; these columns, least first and null last, then decide.
+_TIES = ("deleted_at", "inside_cma", "latitude", "longitude", "canonical_name", "mode", "primary_source_id")
 MODES = ("bus", "metro", "suburban_rail", "mrts")
 
 
@@ -52,9 +54,9 @@ class Network:
 
 
 def network(spark: SparkSession, sf: str) -> Network:
-    routes = latest(table(spark, sf, "transport_routes"), ["route_id"], [F.col("first_seen").desc()])
+    routes = latest(table(spark, sf, "transport_routes"), ["route_id"], [F.col("first_seen").desc(), *(F.col(c).asc_nulls_last() for c in ("deleted_at", "route_short_name", "mode", "source_id", "status"))])
     routes = routes.select("route_id", "route_short_name", "mode", "source_id", F.lower(F.trim("status")).alias("status"))
-    stops = latest(table(spark, sf, "transport_stops"), ["stop_id"], [F.col("first_seen").desc()])
+    stops = latest(table(spark, sf, "transport_stops"), ["stop_id"], [F.col("first_seen").desc(), *(F.col(c).asc_nulls_last() for c in _TIES)])
     stops = stops.select("stop_id", "canonical_name", "mode", "latitude", "longitude", "inside_cma", "primary_source_id")
     key = lambda c: F.upper(F.trim(c))
     links = table(spark, sf, "route_stops").select(
@@ -67,10 +69,12 @@ def network(spark: SparkSession, sf: str) -> Network:
 
 SQL = """WITH routes AS (
   SELECT route_id, route_short_name, mode, source_id, lower(trim(status)) AS status FROM (
-    SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY first_seen DESC) AS rn FROM transport_routes) WHERE rn = 1),
+    SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY first_seen DESC, deleted_at ASC NULLS LAST, route_short_name ASC NULLS LAST, mode ASC NULLS LAST,
+      source_id ASC NULLS LAST, status ASC NULLS LAST) AS rn FROM transport_routes) WHERE rn = 1),
 stops AS (
   SELECT stop_id, canonical_name, mode, latitude, longitude, inside_cma, primary_source_id FROM (
-    SELECT *, row_number() OVER (PARTITION BY stop_id ORDER BY first_seen DESC) AS rn FROM transport_stops) WHERE rn = 1),
+    SELECT *, row_number() OVER (PARTITION BY stop_id ORDER BY first_seen DESC, deleted_at ASC NULLS LAST, inside_cma ASC NULLS LAST, latitude ASC NULLS LAST,
+      longitude ASC NULLS LAST, canonical_name ASC NULLS LAST, mode ASC NULLS LAST, primary_source_id ASC NULLS LAST) AS rn FROM transport_stops) WHERE rn = 1),
 links AS (
   SELECT route_id, direction_id, stop_sequence, stop_id FROM (
     SELECT *, row_number() OVER (PARTITION BY route_id, direction_id, stop_sequence ORDER BY snapshot_date DESC, loaded_at DESC, link_id DESC) AS rn FROM (
