@@ -1,7 +1,7 @@
 """All core queries with their SQL."""
 
-from dhruva.plans import data_problems, records, schedule, topology
+from dhruva.plans import data_problems, evaluation, records, schedule, text, topology
 
-_MODULES = (topology, schedule, records, data_problems)
+_MODULES = (topology, schedule, records, text, evaluation, data_problems)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
