@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dhruva.operators.features import char_ngrams
-from dhruva.session import spread
 
 #: Labelled rows a model is fitted on at most, taken by a hash of their id; prediction covers every row.
 MOST_FITTED = 20_000
@@ -18,6 +17,8 @@ def predict_intents(rows: DataFrame, train: DataFrame, id_col: str = "id", text:
     """``rows`` with ``predicted`` and ``score``, from a model fitted on at most MOST_FITTED rows of ``train``."""
     fit = train.where(f"{text} is not null and {label} is not null").orderBy(F.xxhash64(id_col), id_col).limit(MOST_FITTED)
     grams = lambda df: df.withColumn("__grams", F.coalesce(char_ngrams(F.col(text), 2, 4), F.array().cast("array<string>")))
+    # Few rows, much work on each: an explicit number of partitions is not coalesced.
+    spread = lambda df: df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     tf = HashingTF(numFeatures=features, inputCol="__grams", outputCol="__tf")
     fitted = tf.transform(grams(spread(fit.select(text, label)))).select(label, "__tf").cache()
     n = fitted.count()

@@ -12,6 +12,7 @@ from dhruva.plans.text import NORM_TEXT
 from dhruva.schema import table
 
 LABELS = ["accessibility", "out_of_scope", "railway_complaint", "route_query", "service_availability", "service_timing", "station_information", "ticketing", "train_status"]
+PHRASES = ["platform", "luggage", "ticket", "लिफ्ट", "टिकट", "timetable"]
 # A keyword classifier, first hit wins: a yardstick that both engines can run (fixed values).
 RULES = {
     "out_of_scope": "kavita|halwai|mele|कविता|मेले|हलवाई",
@@ -82,10 +83,11 @@ def document_frequency(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def char_ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    """N-grams per question and length."""
-    q = table(spark, sf, "hindi_intents").select("id", "text").distinct()
-    grams = q.select("id", F.explode(features.char_ngrams(F.col("text"))).alias("term"))
-    return grams.groupBy("id", F.length("term").alias("n")).agg(F.count("*").alias("grams"), F.count_distinct("term").alias("different"))
+    """N-grams per question and length, counted within the row."""
+    q = table(spark, sf, "hindi_intents").select("id", "text").dropDuplicates(["id", "text"])
+    per = F.array(*(F.struct(F.lit(n).alias("n"), features.char_ngrams(F.col("text"), n, n).alias("g")) for n in range(2, 6)))
+    rows = q.where("text is not null").select("id", F.explode(per).alias("x")).where("size(x.g) > 0")
+    return rows.select("id", "x.n", F.size("x.g").cast("long").alias("grams"), F.size(F.array_distinct("x.g")).cast("long").alias("different"))
 
 
 def tfidf_top_terms(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,10 +120,10 @@ def leakage_exact(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def leakage_contains(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that quote the start of a listed station's name; the stations are a fixed list."""
-    hubs = table(spark, sf, "station_aliases").select(F.col("station_key").alias("hub_id"), F.lower(F.substring_index("canonical_name_en", " ", 1)).alias("name"))
+    """Documents that contain a phrase of a fixed list."""
+    phrases = spark.createDataFrame([(p,) for p in PHRASES], "phrase string")
     docs = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"))
-    return docs.join(F.broadcast(hubs), F.col("t").contains(F.col("name"))).groupBy(F.col("hub_id").alias("station_key")).agg(F.count_distinct("doc_id").alias("documents"))
+    return docs.join(F.broadcast(phrases), F.col("t").contains(F.col("phrase"))).groupBy("phrase").agg(F.count_distinct("doc_id").alias("documents"))
 
 
 def family_split_check(spark: SparkSession, sf: str) -> DataFrame:
@@ -199,7 +201,7 @@ c AS (SELECT label, i, avg(x) AS m FROM u GROUP BY ALL), s AS (SELECT u.vec_id,
 p AS (SELECT vec_id, label, score, exp(score - max(score) OVER (PARTITION BY vec_id)) AS e FROM s)
 SELECT vec_id, CAST(arg_max(label, score) AS INT) AS predicted, round(max(e) / sum(e), 6) AS score FROM p GROUP BY vec_id""",
     "leakage_exact": f"WITH r AS (SELECT text, {_SPLIT} AS split FROM hindi_intents WHERE text IS NOT NULL) SELECT text FROM r WHERE split = 'train' INTERSECT SELECT text FROM r WHERE split IN ('validation', 'test')",
-    "leakage_contains": "SELECT h.station_key, count(DISTINCT d.doc_id) AS documents FROM documents d JOIN station_aliases h ON contains(lower(d.text), lower(split_part(h.canonical_name_en, ' ', 1))) GROUP BY h.station_key",
+    "leakage_contains": "SELECT phrase, count(DISTINCT doc_id) AS documents FROM documents JOIN (VALUES " + ", ".join(f"('{p}')" for p in PHRASES) + ") v(phrase) ON contains(lower(text), phrase) GROUP BY phrase",
     "family_split_check": f"""WITH r AS (SELECT trim(family_id) AS family, {_SPLIT} AS split FROM hindi_intents WHERE contains(family_id, ':'))
 SELECT family, count(DISTINCT split) AS splits, count(*) AS rows FROM r WHERE split IS NOT NULL GROUP BY family HAVING count(DISTINCT split) > 1""",
     "corpus_templates": "WITH t(label, family, template) AS (VALUES " + ", ".join(f"('{a}', {b}, '{c}')" for a, b, c in _TEMPLATES) + """)

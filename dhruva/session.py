@@ -48,6 +48,6 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a frame that has fewer input partitions than the cluster has cores."""
+    """Round-robin a scan that has fewer input partitions than the cluster has cores (asking a shuffled frame would run it)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
