@@ -10,6 +10,7 @@ from dhruva.operators import corpus, features, metrics
 from dhruva.operators.intents import predict_intents
 from dhruva.plans.text import NORM_TEXT
 from dhruva.schema import table
+from dhruva.session import materialise
 
 LABELS = ["accessibility", "out_of_scope", "railway_complaint", "route_query", "service_availability", "service_timing", "station_information", "ticketing", "train_status"]
 PHRASES = ["platform", "luggage", "ticket", "लिफ्ट", "टिकट", "timetable"]
@@ -70,7 +71,9 @@ def slot_scores(spark: SparkSession, sf: str) -> DataFrame:
 def intent_baseline(spark: SparkSession, sf: str) -> DataFrame:
     """Accuracy and macro F1 of the fitted baseline, per split."""
     rows = _rows(spark, sf).where("expected is not null and text is not null").select("id", "text", F.col("expected").alias("intent"), "split")
-    scored = predict_intents(rows, rows.where("split = 'train'")).withColumnRenamed("intent", "expected")
+    rows = materialise(rows, "labelled")
+    scored = predict_intents(rows, rows.where("split = 'train'")).select("split", F.col("intent").alias("expected"), "predicted")
+    scored = materialise(scored, "scored")
     a = metrics.accuracy(scored, LABELS, ["split"])
     return a.select("split", "n", F.round("accuracy", 4).alias("accuracy"), F.round("macro_f1", 4).alias("macro_f1"))
 
