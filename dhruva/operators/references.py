@@ -61,15 +61,15 @@ def orphan_references(refs: DataFrame, parents: Mapping[str, Parent]) -> DataFra
     refs = refs.where("key is not null")
     lives = _lifetimes(parents)
     keys = refs.groupBy("parent", "key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-    covered = lives.where("n = 1").select(F.col("parent").alias("p"), F.col("key").alias("k"), "first", "last")
-    same = (F.col("parent") == F.col("p")) & (F.col("key") == F.col("k"))
+    covered = lives.where("n = 1").select(F.col("parent").alias("__p"), F.col("key").alias("__k"), "first", "last")
+    same = (F.col("parent") == F.col("__p")) & (F.col("key") == F.col("__k"))
     doubtful = keys.join(covered, same & F.expr("lo is null or (lo >= first and hi < last)"), "left_anti")
     doubtful = doubtful.join(lives.select("parent", "key", "lives"), ["parent", "key"], "left").select(
-        F.col("parent").alias("p"), F.col("key").alias("k"), "lives"
+        F.col("parent").alias("__p"), F.col("key").alias("__k"), F.col("lives").alias("__lives")
     )
-    alive = F.exists("lives", lambda x: F.col("at").isNull() | ((x["since"] <= F.col("at")) & (F.col("at") < x["until"])))
-    rows = refs.join(doubtful, F.col("parent").eqNullSafe(F.col("p")) & (F.col("key") == F.col("k")))
-    return rows.where(F.col("lives").isNull() | ~alive).drop("p", "k", "lives")
+    alive = F.exists("__lives", lambda x: F.col("at").isNull() | ((x["since"] <= F.col("at")) & (F.col("at") < x["until"])))
+    rows = refs.join(doubtful, F.col("parent").eqNullSafe(F.col("__p")) & (F.col("key") == F.col("__k")))
+    return rows.where(F.col("__lives").isNull() | ~alive).drop("__p", "__k", "__lives")
 
 
 def orphan_counts(refs: DataFrame, parents: Mapping[str, Parent], period: str) -> DataFrame:

@@ -23,7 +23,7 @@ def departures(events: DataFrame) -> DataFrame:
 def minutes(clock: Column | str) -> Column:
     """Minutes of a clock text; half a minute and more counts as one."""
     parts = F.split(clock, ":")
-    part = lambda i: F.try_element_at(parts, F.lit(i)).cast("int")
+    part = lambda i: F.try_element_at(parts, F.lit(i)).try_cast("int")
     return part(1) * 60 + part(2) + F.when(F.coalesce(part(3), F.lit(0)) >= 30, 1).otherwise(0)
 
 
