@@ -9,7 +9,9 @@ and components that were given different splits before and now turn out to belon
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,11 +52,43 @@ def components(edges: DataFrame) -> DataFrame:
 
 @dataclass
 class Splits:
-    """What an assignment returns."""
-
-    records: DataFrame  # the input rows with `component` and `split` (null while quarantined)
-    state: DataFrame  # (node, component, split): the component table to persist
-    quarantine: DataFrame  # (node, component, splits): components whose parts were in different splits
+    """What an assignment returns; the new splits are worked out when they are first asked for."""
+
+    records_in: DataFrame
+    anchor: Column
+    member: DataFrame  # (node, component) of all keys
+    known: DataFrame  # (component, splits): what parts of a component were given before
+    sizes: Callable[[], DataFrame]
+    ratios: dict[str, float]
+    conflicts: str
+
+    @cached_property
+    def _placed(self) -> DataFrame:
+        sizes = materialise(self.sizes(), "sizes")
+        fixed = sizes.where("size(splits) = 1").select("component", "n", F.element_at("splits", 1).alias("split"))
+        fresh = sizes.where("splits is null" if self.conflicts == "quarantine" else "splits is null or size(splits) > 1").select("component", "n")
+        held = self.known.where("size(splits) = 1").select("component", F.element_at("splits", 1).alias("split"))
+        split_of = held.union(_fill(self.records_in.sparkSession, fresh, fixed, self.ratios))
+        return materialise(self.member.join(split_of, "component", "left"), "placed")
+
+    @property
+    def records(self) -> DataFrame:
+        """The input rows with ``component`` and ``split`` (null while quarantined)."""
+        rows = self.records_in.withColumn("__node", self.anchor)
+        where_to = self._placed.select(F.col("node").alias("__node"), F.col("component").alias("__component"), F.col("split").alias("__split"))
+        drop = [c for c in ("component", "split") if c in rows.columns]
+        return rows.join(where_to, "__node", "left").drop("__node", *drop).withColumnsRenamed({"__component": "component", "__split": "split"})
+
+    @property
+    def state(self) -> DataFrame:
+        """The component table to persist: ``(node, component, split)``."""
+        return self._placed.where("not startswith(node, 'component=')").select("node", "component", "split")
+
+    @property
+    def quarantine(self) -> DataFrame:
+        """``(node, component, splits)`` of components whose parts were in different splits."""
+        nodes = self.member.where("not startswith(node, 'component=')")
+        return nodes.join(self.known.where("size(splits) > 1"), "component").select("node", "component", "splits")
 
 
 def _node(key: str) -> Column:
@@ -94,22 +128,12 @@ def assign_splits(
         given = old.join(member, "node").where("split is not null")
         known = given.groupBy("component").agg(F.array_sort(F.collect_set("split")).alias("splits"))
     known = materialise(known, "known")
-    torn = known.where("size(splits) > 1")
-
-    placed = first.select(F.col("a").alias("node")).groupBy("node").agg(F.count("*").alias("n")).join(member, "node")
-    sizes = placed.groupBy("component").agg(F.sum("n").alias("n")).join(known, "component", "left")
-    sizes = materialise(sizes, "sizes")
-    fixed = sizes.where("size(splits) = 1").select("component", "n", F.element_at("splits", 1).alias("split"))
-    fresh = sizes.where("splits is null" if conflicts == "quarantine" else "splits is null or size(splits) > 1").select("component", "n")
-    split_of = fixed.select("component", "split").union(_fill(spark, fresh, fixed, ratios))
-
-    node_split = materialise(member.join(split_of, "component", "left"), "placed")
-    rows = records.withColumn("__node", anchor)
-    where_to = node_split.select(F.col("node").alias("__node"), F.col("component").alias("__component"), F.col("split").alias("__split"))
-    drop = [c for c in ("component", "split") if c in records.columns]
-    rows = rows.join(where_to, "__node", "left").drop("__node", *drop).withColumnsRenamed({"__component": "component", "__split": "split"})
-    nodes = node_split.where("not startswith(node, 'component=')")
-    return Splits(rows, nodes.select("node", "component", "split"), nodes.join(torn, "component").select("node", "component", "splits"))
+
+    def sizes() -> DataFrame:
+        rows = first.select(F.col("a").alias("node")).groupBy("node").agg(F.count("*").alias("n")).join(member, "node")
+        return rows.groupBy("component").agg(F.sum("n").alias("n")).join(known, "component", "left")
+
+    return Splits(records, anchor, member, known, sizes, ratios, conflicts)
 
 
 def _fill(spark: SparkSession, fresh: DataFrame, fixed: DataFrame, ratios: dict[str, float]) -> DataFrame:
