@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dhruva.functions.text import normalised
+from dhruva.session import spread
 
 #: Qualifiers that may follow a stop's name, by mode (fixed values).
 QUALIFIERS = {"metro": ("metro station", "मेट्रो स्टेशन"), "bus": ("bus stop", "बस स्टॉप"), "suburban_rail": ("railway station", "रेलवे स्टेशन"), "mrts": ("mrts station", "एमआरटीएस स्टेशन")}
@@ -51,14 +52,18 @@ def collisions(index: DataFrame) -> DataFrame:
 def name_spans(docs: DataFrame, id_col: str, text: str, names: DataFrame, longest: int = 4) -> DataFrame:
     """Longest non-overlapping names from left to right: ``(id, start, words, surface)``, positions in words.
 
-    Runs of up to ``longest`` words are joined with the names; a fold over the hits of a text, in order of
+    Words that begin a name are kept, runs of up to ``longest`` words from there are joined with the names; a fold over the hits of a text, in order of
     position and then length, drops what overlaps an accepted one.
     """
-    words = docs.select(F.col(id_col).alias("id"), F.split(normalised(text), " ").alias("w")).where("w is not null")
-    runs = F.expr(
-        f"flatten(transform(w, (x, i) -> transform(filter(sequence(1, {longest}), n -> i + n <= size(w)), n -> named_struct('start', i, 'words', n, 'surface', array_join(slice(w, i + 1, n), ' ')))))"
-    )
-    hits = words.select("id", F.explode(runs).alias("r")).select("id", "r.*").join(names.select(F.col("name").alias("surface")).distinct(), "surface", "left_semi")
+    words = spread(docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"))).select("id", F.split(normalised("t"), " ").alias("w")).where("w is not null")
+    # Only places where some name's first word stands are looked at; of those, all runs of words.
+    listed = names.select(F.col("name").alias("surface")).distinct()
+    first = listed.select(F.substring_index("surface", " ", 1).alias("x")).distinct()
+    # The words that follow come along, so a text is not carried once per position.
+    window = F.expr(f"transform(w, (x, i) -> named_struct('start', i, 'x', x, 'next', slice(w, i + 1, {longest})))")
+    places = words.select("id", F.explode(window).alias("p")).select("id", "p.*").join(first, "x", "left_semi")
+    runs = F.expr("transform(sequence(1, size(next)), n -> named_struct('start', start, 'words', n, 'surface', array_join(slice(next, 1, n), ' ')))")
+    hits = places.select("id", F.explode(runs).alias("r")).select("id", "r.*").join(listed, "surface", "left_semi")
     found = hits.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", (-F.col("words")).alias("minus"), "surface"))).alias("h"))
     fold = """aggregate(h, named_struct('next', 0, 'kept', cast(array() as array<struct<start:int,words:int,surface:string>>)),
       (s, x) -> if(x.start >= s.next, named_struct('next', x.start - x.minus, 'kept', array_append(s.kept, named_struct('start', x.start, 'words', -x.minus, 'surface', x.surface))), s), s -> s.kept)"""
