@@ -197,8 +197,8 @@ g AS (SELECT entry_id, unnest(list_transform(range(1, length(t) - n + 2), lambda
 c AS (SELECT entry_id, term, count(*) AS tf FROM g GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM c GROUP BY term),
 w AS (SELECT c.entry_id, c.term, (1 + ln(tf)) * (ln((1 + (SELECT count(DISTINCT (entry_id, canonical_name)) FROM reviewed_name_aliases_v1)) / (1 + df)) + 1) AS w FROM c JOIN d ON c.term = d.term),
 x AS (SELECT entry_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY entry_id)) AS weight FROM w)
-SELECT entry_id, rank, term, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY round(weight, 9) DESC, term) AS rank FROM x) WHERE rank <= 3""",
-    "mean_pool": "SELECT label, i - 1 AS i, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL",
+SELECT entry_id, CAST(rank AS INT) AS rank, term, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY round(weight, 9) DESC, term) AS rank FROM x) WHERE rank <= 3""",
+    "mean_pool": "SELECT label, CAST(i - 1 AS INT) AS i, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL",
     "linear_head_argmax": """WITH u AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings),
 c AS (SELECT label, i, avg(x) AS m FROM u GROUP BY ALL), s AS (SELECT u.vec_id, c.label, sum(u.x * c.m) AS score FROM u JOIN c ON c.i = u.i GROUP BY ALL),
 p AS (SELECT vec_id, label, score, exp(score - max(score) OVER (PARTITION BY vec_id)) AS e FROM s)

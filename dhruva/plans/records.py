@@ -150,7 +150,7 @@ _CHECKS = {
     "lifetimes_in_order": "SELECT 1 FROM transport_stops WHERE deleted_at <= first_seen",
 }
 ORACLES = {
-    "nearest_stops": SQL + f"""SELECT hub_id, rank, stop_id, mode, CAST(round_even(metres, 0) AS BIGINT) AS distance_m FROM (
+    "nearest_stops": SQL + f"""SELECT hub_id, CAST(rank AS INT) AS rank, stop_id, mode, CAST(round_even(metres, 0) AS BIGINT) AS distance_m FROM (
   SELECT h.hub_id, s.stop_id, s.mode, {_DIST.format(a='h', b='s')} AS metres, row_number() OVER (PARTITION BY h.hub_id ORDER BY {_DIST.format(a='h', b='s')}, s.stop_id) AS rank
   FROM transport_hubs h, stops s WHERE {_OK.format(a='h')} AND {_OK.format(a='s')} AND (s.mode = 'bus' OR s.primary_source_id IN ('SYN_METRO', 'SYN_BOARD'))) WHERE rank <= 5""",
     "coordinate_conflicts": SQL + f""", p AS (SELECT *, lower(trim(canonical_name)) AS name FROM stops s WHERE {_OK.format(a='s')} AND trim(canonical_name) <> '')

@@ -88,9 +88,9 @@ _GAP = "SELECT *, minute - lag(minute) OVER (PARTITION BY {by} ORDER BY minute,
 ORACLES = {
     "first_last_service": _D + """SELECT route_id, service_day, CASE WHEN count(*) <= 10000 THEN min(clock) END AS first_departure, CASE WHEN count(*) <= 10000 THEN max(clock) END AS last_departure,
 CASE WHEN count(*) > 10000 THEN 'unavailable' ELSE 'ok' END AS status, string_agg(DISTINCT CAST(direction_id AS VARCHAR), ',' ORDER BY CAST(direction_id AS VARCHAR)) AS directions FROM running GROUP BY ALL""",
-    "scheduled_departures": _D + """SELECT route_id, service_day, rank, clock, trip_id FROM (
+    "scheduled_departures": _D + """SELECT route_id, service_day, CAST(rank AS INT) AS rank, clock, trip_id FROM (
   SELECT *, row_number() OVER (PARTITION BY route_id, service_day ORDER BY clock, event_id) AS rank FROM d WHERE clock >= '08:00:00') WHERE rank <= 5""",
-    "calendar_active_departures": _D + "SELECT route_id, isodow(service_day) - 1 AS weekday, count(*) AS departures FROM running GROUP BY ALL",
+    "calendar_active_departures": _D + "SELECT route_id, CAST(isodow(service_day) - 1 AS INT) AS weekday, count(*) AS departures FROM running GROUP BY ALL",
     "preflight_mode_schedule": _D + "SELECT DISTINCT route_id, CASE WHEN route_id IN (SELECT route_id FROM running) THEN 'ok' ELSE 'published_mode_schedule_absent' END AS reason FROM d",
     "service_frequency": _D + f"""SELECT route_id, service_day, CAST(median(gap) AS DOUBLE) AS median_headway_minutes, count(*) AS sample_intervals
 FROM ({_GAP.format(by='route_id, service_day', where='')}) WHERE gap > 0 AND gap <= 180 GROUP BY ALL""",
@@ -101,6 +101,6 @@ FROM ({_GAP.format(by='route_id', where="WHERE clock >= '08:00:00' AND clock < '
   SELECT 1 FROM d b WHERE b.route_id = 'purchase' AND b.trip_id = a.trip_id AND b.service_day = a.service_day AND b.clock > a.clock)""",
     "relative_days": _D + """SELECT w.word, w.day, count(d.event_id) AS departures FROM (VALUES ('today', DATE '2024-01-10'), ('aaj', DATE '2024-01-10'), ('tomorrow', DATE '2024-01-11'),
   ('yesterday', DATE '2024-01-09'), ('parso', NULL)) w(word, day) LEFT JOIN d ON d.service_day = w.day GROUP BY ALL""",
-    "recent_distinct": """SELECT user_id, event_type, rank FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY max(ts) DESC, event_type) AS rank
+    "recent_distinct": """SELECT user_id, event_type, CAST(rank AS INT) AS rank FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY max(ts) DESC, event_type) AS rank
 FROM events GROUP BY user_id, event_type) WHERE rank <= 5""",
 }

@@ -92,7 +92,7 @@ _C = ", ".join(_COLS)
 _D = ", ".join(c for c in _COLS)
 ORACLES = {
     "plan_route_pairs": _REQ + f"SELECT DISTINCT {_C} FROM full_found",
-    "plan_route_top10": _REQ + f"""SELECT {_C}, rank, truncated FROM (SELECT *, max(rank) OVER (PARTITION BY origin, destination) > 10 AS truncated FROM (
+    "plan_route_top10": _REQ + f"""SELECT {_C}, CAST(rank AS INT) AS rank, truncated FROM (SELECT *, max(rank) OVER (PARTITION BY origin, destination) > 10 AS truncated FROM (
   SELECT *, row_number() OVER (PARTITION BY origin, destination ORDER BY destination_sequence - origin_sequence, route_id, direction_id, origin_sequence) AS rank
   FROM (SELECT DISTINCT {_C} FROM full_found))) WHERE rank <= 10""",
     "plan_route_via": _REQ + f"""SELECT {_C}, via FROM full_found f WHERE EXISTS (SELECT 1 FROM usable m WHERE m.route_id = f.route_id AND m.direction_id = f.direction_id
@@ -105,7 +105,7 @@ opts AS (SELECT DISTINCT e.f, e.t, x.route_id, x.direction_id, x.stop_sequence A
 ranked AS (SELECT *, row_number() OVER (PARTITION BY f, t ORDER BY ds - os, route_id, direction_id, os) AS rank, count(*) OVER (PARTITION BY f, t) > 10 AS truncated FROM opts)
 SELECT f AS origin, t AS destination, truncated, count(*) AS options, min(route_id) AS least_route FROM ranked WHERE rank <= 10 GROUP BY ALL""",
     "route_topology_coverage": SQL + "SELECT *, total_links <> usable_links AS partial_topology FROM coverage",
-    "list_route_stops": SQL + "SELECT route_id, direction_id, count(*) AS n_stops, string_agg(stop_id, '>' ORDER BY stop_sequence, stop_id) AS stops FROM usable GROUP BY ALL HAVING count(*) >= 2",
+    "list_route_stops": SQL + "SELECT route_id, direction_id, CAST(count(*) AS INT) AS n_stops, string_agg(stop_id, '>' ORDER BY stop_sequence, stop_id) AS stops FROM usable GROUP BY ALL HAVING count(*) >= 2",
     "stop_membership": SQL + """, named AS (SELECT route_id, upper(regexp_replace(route_short_name, '[ -]', '', 'g')) AS code FROM routes WHERE status = 'operational' AND upper(regexp_replace(route_short_name, '[ -]', '', 'g')) <> ''),
 asked AS (SELECT DISTINCT n.code, l.stop_id FROM links l JOIN named n ON n.route_id = l.route_id),
 per_code AS (SELECT n.code, count(*) AS routes, bool_or(c.total_links <> c.usable_links OR c.total_links = 0) AS partial FROM named n JOIN coverage c ON c.route_id = n.route_id GROUP BY n.code),
