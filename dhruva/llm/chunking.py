@@ -11,7 +11,6 @@ The next piece begins `overlap` tokens before the cut, so consecutive pieces sha
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +29,11 @@ MARK = 7  # one position in 2^MARK is a landmark
 SLACK = 16  # tokens left free in a piece that begins within a word, as its text may need a few more when encoded alone
 SNAP = 220  # tokens around a landmark within which a boundary of a higher kind wins over a nearer lower one
 
-# Ends of paragraphs, lines and sentences in UTF-8; a word ends before a blank.
-PARAGRAPH = re.compile(rb"(?:\r?\n[ \t]*){2,}|\xe2\x80\xa9")
-LINE = re.compile(rb"\r\n|[\r\n\x0b\x0c]|\xe2\x80\xa8|\xc2\x85")
-SENTENCE = re.compile("(?:[.!?]|…|।|॥|。|！|？)+(?:[\"')\\]]|”|’)*(?=[ \t\n\r]|$)".encode())
-WORD = re.compile("[ \t\n\r\x0b\x0c]+|\x85|\xa0| | | | | | | | | | | | | | | | |　".encode())
+# Blanks, line ends, sentence ends and what may close a sentence after them (fixed values).
+WIDE_BLANKS = "\x85\xa0                　"
+LINE_ENDS, WIDE_LINE_ENDS = b"\n\r\x0b\x0c", "\x85  "
+ENDERS, WIDE_ENDERS = b".!?", "…।॥。！？"
+CLOSERS, WIDE_CLOSERS = b"\"')]", "”’"
 KINDS = ("paragraph", "line", "sentence", "word", "character", "none", "end")
 
 
@@ -53,19 +52,67 @@ def rolling_hash(ids: np.ndarray) -> np.ndarray:
     return _mix(sums - sums[back])
 
 
-def boundaries(text: bytes, ends: np.ndarray) -> np.ndarray:
-    """Kind of each token boundary 0..n, an index of KINDS; ``ends`` are the byte offsets of the boundaries."""
-    kind = np.full(len(ends), 5, np.int8)
-    raw = np.frombuffer(text, np.uint8)
-    inside = np.append((raw & 0xC0) == 0x80, False)
-    kind[~inside[ends]] = 4
-    for k, pattern in ((3, WORD), (2, SENTENCE), (1, LINE), (0, PARAGRAPH)):
-        at = np.fromiter((x for m in pattern.finditer(text) for x in ((m.start(), m.end()) if k == 3 else (m.end(),))), np.int64)
-        if len(at):
-            i = np.searchsorted(ends, at)
-            ok = (i < len(ends)) & (ends[np.minimum(i, len(ends) - 1)] == at)
-            kind[i[ok]] = np.minimum(kind[i[ok]], k)
-    return kind
+def _of(members: bytes) -> np.ndarray:
+    """Which byte values are among ``members``."""
+    table = np.zeros(256, bool)
+    table[list(members)] = True
+    return table
+
+
+_BLANK, _LINE, _ENDER, _CLOSER = _of(b" \t\n\r\x0b\x0c"), _of(LINE_ENDS), _of(ENDERS), _of(CLOSERS)
+
+
+def _wide(raw: np.ndarray, text: str, chars: str) -> list[tuple[np.ndarray, int]]:
+    """(start, bytes) of each of the non-ASCII ``chars`` that occur in the text."""
+    out = []
+    for c in chars if not text.isascii() else "":
+        if c in text:
+            code = c.encode()
+            hit = raw[: len(raw) - len(code) + 1] == code[0]
+            for k in range(1, len(code)):
+                hit = hit & (raw[k : len(raw) - len(code) + 1 + k] == code[k])
+            out.append((np.flatnonzero(hit), len(code)))
+    return out
+
+
+def boundaries(text: str, ends: np.ndarray) -> np.ndarray:
+    """Kind of each token boundary 0..n, an index of KINDS; ``ends`` are the UTF-8 offsets of the boundaries.
+
+    A word ends before and after a blank, a sentence after its mark and closing quotes if a blank follows, a line after
+    its line end, a paragraph after an empty line.
+    """
+    raw = np.frombuffer(text.encode(), np.uint8)
+    n = len(raw)
+    kind = np.full(n + 1, 4, np.int8)
+    kind[:n][(raw & 0xC0) == 0x80] = 5
+    blank = _BLANK[raw]
+    for at, size in _wide(raw, text, WIDE_BLANKS):
+        for k in range(size):
+            blank[at + k] = True
+    edge = np.flatnonzero(np.diff(blank, prepend=False, append=False))
+    kind[edge] = 3
+
+    open_ = np.append(blank, True)
+    marks = [np.flatnonzero(_ENDER[raw]) + 1, *(at + size for at, size in _wide(raw, text, WIDE_ENDERS))]
+    at = np.concatenate(marks)
+    wide = [(set(a.tolist()), size) for a, size in _wide(raw, text, WIDE_CLOSERS)]
+    while len(at):
+        kind[at[open_[at]]] = 2
+        at = at[(at < n) & ~open_[at]]
+        closed = at[_CLOSER[raw[at]]] + 1
+        more = [np.array([x + size for x in at.tolist() if x in starts], np.int64) for starts, size in wide]
+        at = np.concatenate([closed, *more])
+
+    line = np.flatnonzero(_LINE[raw])
+    line = line[~((raw[line] == 13) & (np.append(raw, 0)[line + 1] == 10))] + 1
+    line = np.sort(np.concatenate([line, *(a + size for a, size in _wide(raw, text, WIDE_LINE_ENDS))]))
+    if len(line):
+        kind[line] = 1
+        filled = np.concatenate(([0], np.cumsum(~blank)))
+        kind[line[1:][filled[line[1:]] == filled[line[:-1]]]] = 0
+        for a, size in _wide(raw, text, "\u2029"):
+            kind[a + size] = 0
+    return kind[ends]
 
 
 def cut(ids: np.ndarray, kind: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
@@ -126,7 +173,7 @@ def split_oversized(
                         continue
                     ids, raw = np.frombuffer(data, "<i4"), text.encode()
                     ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths[ids])))
-                    for k, (a, b, kind) in enumerate(cut(ids, boundaries(raw, ends), limit, overlap)):
+                    for k, (a, b, kind) in enumerate(cut(ids, boundaries(text, ends), limit, overlap)):
                         rows_.append(start + i), piece.append(k), first.append(a), size.append(b - a), kinds.append(KINDS[kind])
                         if with_text:
                             x, y = int(ends[a]), int(ends[b])

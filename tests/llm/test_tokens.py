@@ -104,8 +104,12 @@ def test_boundaries_and_bad_limits(spark):
     text = "One two. Three\nfour\n\nfive"
     tokens = np.frombuffer(encoder.encode([text])[0], "<i4")
     ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(encoder.token_bytes[tokens])))
-    kinds = {int(e): KINDS[k] for e, k in zip(ends, boundaries(text.encode(), ends))}
+    kinds = {int(e): KINDS[k] for e, k in zip(ends, boundaries(text, ends))}
     assert kinds[8] == "sentence" and kinds[15] == "line" and kinds[21] == "paragraph" and kinds[3] == "word"
-    assert cut(tokens, boundaries(text.encode(), ends)) == [(0, len(tokens), 6)]
+    quoted = "He left.”\u00a0Then!') no.x  \r\n\t\r\nend।"
+    every = boundaries(quoted, np.arange(len(quoted.encode()) + 1))
+    offset = lambda part: len(quoted[: quoted.index(part)].encode())
+    assert [KINDS[every[k]] for k in (offset("\u00a0"), offset(" no"), offset("x"), offset("\t"), offset("end"), len(every) - 1)] == ["sentence", "sentence", "character", "line", "paragraph", "sentence"]
+    assert cut(tokens, boundaries(text, ends)) == [(0, len(tokens), 6)]
     with pytest.raises(ValueError):
         split_oversized(spark.createDataFrame([], "doc_id long, text string"), limit=100, overlap=50)
