@@ -45,3 +45,9 @@ def slot_scores(rows: DataFrame, expected: str, predicted: str) -> DataFrame:
     s = per.agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.avg((F.col("fp") + F.col("fn") == 0).cast("double")).alias("exact"))
     pr, rc = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     return s.select("tp", "fp", "fn", pr.alias("precision"), rc.alias("recall"), ratio(2 * pr * rc, pr + rc).alias("f1"), "exact")
+
+
+def earliest_best(runs: DataFrame, step: str, score: str) -> DataFrame:
+    """The run with the best score, the earliest of equals."""
+    best = runs.agg(F.max_by(F.struct(*runs.columns), F.struct(F.col(score), -F.col(step))).alias("b"))
+    return best.select("b.*").where(F.col(step).isNotNull())

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dhruva.functions import display
 from dhruva.functions import text as tx
-from dhruva.operators import corpus, features, metrics, names, records, schedule
+from dhruva.operators import contracts, corpus, features, metrics, names, records, schedule
 from dhruva.operators.prefix import running_total
 from dhruva.sources import files
 
@@ -87,6 +88,32 @@ def test_templates(spark):
     assert sorted(r["text"] for r in corpus.generate(t, n, n).collect()) == ["A to B", "B to A"]
 
 
+def test_masked_mean_and_softmax(spark):
+    df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0]), ([[1.0, 1.0]], [0]), (None, None)], "v array<array<double>>, m array<int>")
+    assert [r[0] for r in df.select(features.masked_mean(F.col("v"), F.col("m"))).collect()] == [[2.0, 3.0], None, None]
+    p = df.limit(1).select(features.softmax(F.array(F.lit(1000.0), F.lit(1000.0)))).first()[0]
+    assert p == [0.5, 0.5]
+
+
+def test_contracts(spark):
+    rows = [("origin", "BUS_1"), ("origin", "bus 1"), ("time", "25:00:00"), ("time", "08:00:00"), ("date", "2024-02-30"), ("date", "2024-02-29"), ("stage_number", "31"), ("stage_number", "30"), ("stage_number", "x"), ("transport_mode", "boat"), ("time", None), ("other", "x")]
+    df = spark.createDataFrame(rows, "slot string, value string")
+    got = [r[0] for r in df.select(contracts.reason(F.col("slot"), F.col("value"))).collect()]
+    assert got == [None, "entity_id", "clock", None, "date", None, "stage", None, "stage", "vocabulary", None, None]
+
+
+def test_display(spark):
+    df = spark.createDataFrame([("suburban_rail", "https://www.Example.org/a?b", "<a & 'b'>"), ("other_mode", "x", None), (None, None, "")], "m string, u string, h string")
+    got = df.select(display.label("m"), display.source_title("u"), display.html("h")).collect()
+    assert [tuple(r) for r in got] == [("Suburban rail", "example.org", "&lt;a &amp; &#x27;b&#x27;&gt;"), ("Other mode", None, None), (None, None, "")]
+
+
+def test_earliest_best(spark):
+    df = spark.createDataFrame([(1, 0.5), (2, 0.9), (3, 0.9)], "epoch int, f1 double")
+    assert tuple(metrics.earliest_best(df, "epoch", "f1").first()) == (2, 0.9)
+    assert metrics.earliest_best(df.limit(0), "epoch", "f1").count() == 0
+
+
 def test_files(spark, tmp_path):
     schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.IntegerType())])
     df = spark.createDataFrame([('x "q",\n|', 1), (None, 2)], schema)
