@@ -34,3 +34,10 @@ def test_empty_tables(spark):
     none = _parents(spark, [])
     assert orphan_references(_refs(spark, []), none).count() == 0
     assert orphan_references(_refs(spark, [(1, "stops", "S1", dt(2024, 1, 1), "m", "p", "l")]), none).count() == 1
+
+
+def test_hot_missing_key_keeps_every_row(spark):
+    df = spark.range(30_000).selectExpr("id as link_id", "'stops' as parent", "if(id % 3 = 0, 'HOT', concat('S', id % 50)) as raw", "timestamp_ntz'2024-02-01' as at", "'m' as month")
+    parents = _parents(spark, [(f"S{i}", dt(2024, 1, 1), None, "x") for i in range(50)])
+    out = orphan_references(df.withColumn("key", id_key("raw")), parents)
+    assert out.count() == 10_000 and out.select("raw").distinct().count() == 1
