@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dhruva.functions.text import normalised
 from dhruva.operators import corpus, features, metrics
 from dhruva.operators.intents import predict_intents
-from dhruva.plans.text import NORM_TEXT
+from dhruva.plans.text import NORM, NORM_TEXT
 from dhruva.schema import table
 from dhruva.session import materialise
 
@@ -129,6 +129,16 @@ def leakage_contains(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(F.broadcast(phrases), F.col("t").contains(F.col("phrase"))).groupBy("phrase").agg(F.count_distinct("doc_id").alias("documents"))
 
 
+def leakage_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that contain an evaluation question or a listed station's name in full."""
+    asked = table(spark, sf, "hindi_intents").where(_split("split").isin("validation", "test")).select(F.lit("question").alias("kind"), F.col("id").alias("key"), "text")
+    names = F.explode(F.concat(F.array("canonical_name_en", "canonical_name_hi"), F.coalesce("aliases", F.array().cast("array<string>"))))
+    stations = table(spark, sf, "station_aliases").select(F.lit("station").alias("kind"), F.col("station_key").alias("key"), names.alias("text"))
+    listed = materialise(asked.union(stations).select("kind", "key", normalised("text").alias("text")).distinct(), "listed")
+    found = corpus.contained_texts(table(spark, sf, "documents"), "doc_id", "text", listed, "text")
+    return found.join(listed, "text").groupBy("kind", "key").agg(F.count_distinct("doc_id").alias("documents"))
+
+
 def family_split_check(spark: SparkSession, sf: str) -> DataFrame:
     """Families, as written, with rows in more than one split, as written."""
     return corpus.torn_groups(table(spark, sf, "hindi_intents").select(F.trim("family_id").alias("family"), _split("split").alias("split")).where("family like '%:%'"), "family", "split")
@@ -153,7 +163,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         confusion_matrix, class_prf, metrics_by_language, slot_scores, intent_baseline, document_frequency, char_ngrams, tfidf_top_terms, mean_pool, linear_head_argmax, leakage_exact,
-        leakage_contains, family_split_check, corpus_templates, first_n_per_group_replaced,
+        leakage_contains, leakage_texts, family_split_check, corpus_templates, first_n_per_group_replaced,
     )
 }
 _SPLIT = "CASE WHEN lower(trim(split)) IN ('train', 'training') THEN 'train' WHEN lower(trim(split)) IN ('validation', 'val', 'dev') THEN 'validation' WHEN lower(trim(split)) = 'test' THEN 'test' END"
@@ -205,6 +215,10 @@ p AS (SELECT vec_id, label, score, exp(score - max(score) OVER (PARTITION BY vec
 SELECT vec_id, CAST(arg_max(label, score) AS INT) AS predicted, round(max(e) / sum(e), 6) AS score FROM p GROUP BY vec_id""",
     "leakage_exact": f"WITH r AS (SELECT text, {_SPLIT} AS split FROM hindi_intents WHERE text IS NOT NULL) SELECT text FROM r WHERE split = 'train' INTERSECT SELECT text FROM r WHERE split IN ('validation', 'test')",
     "leakage_contains": "SELECT phrase, count(DISTINCT doc_id) AS documents FROM documents JOIN (VALUES " + ", ".join(f"('{p}')" for p in PHRASES) + ") v(phrase) ON contains(lower(text), phrase) GROUP BY phrase",
+    "leakage_texts": f"""WITH l AS (SELECT 'question' AS kind, id AS key, text FROM hindi_intents WHERE {_SPLIT} IN ('validation', 'test')
+  UNION ALL SELECT 'station', station_key, unnest(list_concat([canonical_name_en, canonical_name_hi], coalesce(aliases, []))) FROM station_aliases),
+n AS (SELECT DISTINCT kind, key, {NORM.replace('{c}', 'text')} AS t FROM l), d AS (SELECT doc_id, ' ' || {NORM.replace('{c}', 'text')} || ' ' AS t FROM documents)
+SELECT kind, key, count(DISTINCT doc_id) AS documents FROM n JOIN d ON contains(d.t, ' ' || n.t || ' ') WHERE n.t <> '' GROUP BY ALL""",
     "family_split_check": f"""WITH r AS (SELECT trim(family_id) AS family, {_SPLIT} AS split FROM hindi_intents WHERE contains(family_id, ':'))
 SELECT family, count(DISTINCT split) AS splits, count(*) AS rows FROM r WHERE split IS NOT NULL GROUP BY family HAVING count(DISTINCT split) > 1""",
     "corpus_templates": "WITH t(label, family, template) AS (VALUES " + ", ".join(f"('{a}', {b}, '{c}')" for a, b, c in _TEMPLATES) + """)

@@ -8,6 +8,7 @@ from dhruva.functions import display
 from dhruva.functions import text as tx
 from dhruva.operators import contracts, corpus, features, metrics, names, records, schedule
 from dhruva.operators.prefix import running_total
+from dhruva.plans import evaluation
 from dhruva.sources import files
 
 
@@ -131,3 +132,22 @@ def test_files(spark, tmp_path):
     assert not files.verified(spark, str(tmp_path / "d"), {"f": "0"})
     with pytest.raises(files.SourceError):
         files.read_parquet(spark, str(tmp_path / "none"))
+
+
+def test_contained_texts_are_whole_however_long(spark):
+    asked = "Where does the last bus to Lake Road stop after ten, and is there a ramp?"
+    docs = [(1, f"Intro. {asked.upper()} The end"), (2, asked.replace("ramp", "lift")), (3, "To lake road-end"), (4, "Lakeroad"), (5, None), (6, "lake road"), (7, "x a b c d e f g h y"), (8, "a a a a a a a a a")]
+    docs = spark.createDataFrame(docs, "doc int, t string")
+    listed = spark.createDataFrame([(asked,), ("Lake Road",), ("a b c d e f g",), ("a b c d e f g h",), ("a a a a a a a a a",), ("a a a a a a a a a a",), ("",), (None,)], "name string")
+    got = sorted(tuple(r) for r in corpus.contained_texts(docs, "doc", "t", listed.select(tx.normalised("name").alias("name")), "name").collect())
+    whole = "where does the last bus to lake road stop after ten and is there a ramp"
+    assert got == sorted([(1, whole), (1, "lake road"), (2, "lake road"), (3, "lake road"), (6, "lake road"), (7, "a b c d e f g"), (7, "a b c d e f g h"), (8, "a a a a a a a a a")])
+
+
+def test_leakage_texts_reports_a_planted_question(spark, tmp_path):
+    q = "kya yahan se lake road tak aakhri bus raat dus baje ke baad chalti hai"
+    spark.createDataFrame([("e1", q, "Test "), ("t1", "train " + q, "train")], "id string, text string, split string").write.parquet(f"{tmp_path}/hindi_intents.parquet")
+    spark.createDataFrame([("S", "Lake Road", None, ["LR"])], "station_key string, canonical_name_en string, canonical_name_hi string, aliases array<string>").write.parquet(f"{tmp_path}/station_aliases.parquet")
+    spark.createDataFrame([(1, f"so: {q}?"), (2, "lake road"), (3, "train")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in evaluation.leakage_texts(spark, str(tmp_path)).collect())
+    assert got == [("question", "e1", 1), ("station", "S", 2)]
