@@ -85,6 +85,11 @@ def document_frequency(spark: SparkSession, sf: str) -> DataFrame:
     return grams.groupBy("term").agg(F.count_distinct("id").alias("df"))
 
 
+def ngram_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    """Character n-grams of two to five characters with their document frequency."""
+    return features.document_frequency(table(spark, sf, "hindi_intents"), "id", "text")
+
+
 def char_ngrams(spark: SparkSession, sf: str) -> DataFrame:
     """N-grams per question and length, counted within the row."""
     q = table(spark, sf, "hindi_intents").select("id", "text").dropDuplicates(["id", "text"])
@@ -103,6 +108,19 @@ def tfidf_top_terms(spark: SparkSession, sf: str) -> DataFrame:
     return weights.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("entry_id", "rank", "term", F.round("weight", 6).alias("weight"))
 
 
+def question_top_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """The three heaviest n-grams of each question, by TF-IDF over all questions; a text that is there several times counts once, under its least id."""
+    from pyspark.sql import Window
+
+    docs = table(spark, sf, "hindi_intents").where("text is not null").groupBy("text").agg(F.min("id").alias("id"))
+    # One id may have several texts. Numbers are short keys, written once as they differ from run to run; spread by them, terms are counted where their text is.
+    docs = materialise(docs.withColumn("doc", F.monotonically_increasing_id()), "questions")
+    weights = features.tfidf(features.term_counts(docs.repartition("doc"), "doc", "text"), "doc", docs.count())
+    w = Window.partitionBy("doc").orderBy(F.round("weight", 9).desc(), "term")
+    top = weights.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+    return top.join(docs, "doc").select("id", "text", "rank", "term", F.round("weight", 6).alias("weight"))
+
+
 def mean_pool(spark: SparkSession, sf: str) -> DataFrame:
     c = features.centroids(table(spark, sf, "embeddings"), "label", "embedding")
     return c.select("label", "i", F.round("mean", 6).alias("mean"))
@@ -162,7 +180,7 @@ def first_n_per_group_replaced(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        confusion_matrix, class_prf, metrics_by_language, slot_scores, intent_baseline, document_frequency, char_ngrams, tfidf_top_terms, mean_pool, linear_head_argmax, leakage_exact,
+        confusion_matrix, class_prf, metrics_by_language, slot_scores, intent_baseline, document_frequency, ngram_frequency, char_ngrams, tfidf_top_terms, question_top_terms, mean_pool, linear_head_argmax, leakage_exact,
         leakage_contains, leakage_texts, family_split_check, corpus_templates, first_n_per_group_replaced,
     )
 }
@@ -208,6 +226,15 @@ c AS (SELECT entry_id, term, count(*) AS tf FROM g GROUP BY ALL), d AS (SELECT t
 w AS (SELECT c.entry_id, c.term, (1 + ln(tf)) * (ln((1 + (SELECT count(DISTINCT (entry_id, canonical_name)) FROM reviewed_name_aliases_v1)) / (1 + df)) + 1) AS w FROM c JOIN d ON c.term = d.term),
 x AS (SELECT entry_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY entry_id)) AS weight FROM w)
 SELECT entry_id, CAST(rank AS INT) AS rank, term, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY round(weight, 9) DESC, term) AS rank FROM x) WHERE rank <= 3""",
+    "ngram_frequency": r"""WITH q AS (SELECT DISTINCT id, regexp_replace(lower(text), '[\s\p{Z}]+', ' ', 'g') AS t FROM hindi_intents),
+g AS (SELECT id, unnest(list_transform(range(1, length(t) - n + 2), lambda i: substr(t, i, n))) AS term FROM q, (VALUES (2), (3), (4), (5)) v(n) WHERE length(t) >= n)
+SELECT term, count(DISTINCT id) AS df FROM g GROUP BY term""",
+    "question_top_terms": r"""WITH q AS (SELECT text, min(id) AS id, regexp_replace(lower(text), '[\s\p{Z}]+', ' ', 'g') AS t FROM hindi_intents WHERE text IS NOT NULL GROUP BY text),
+g AS (SELECT id, text, unnest(list_transform(range(1, length(t) - n + 2), lambda i: substr(t, i, n))) AS term FROM q, (VALUES (2), (3), (4), (5)) v(n) WHERE length(t) >= n),
+c AS (SELECT id, text, term, count(*) AS tf FROM g GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM c GROUP BY term),
+w AS (SELECT c.id, c.text, c.term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM q)) / (1 + df)) + 1) AS w FROM c JOIN d ON c.term = d.term),
+x AS (SELECT id, text, term, w / sqrt(sum(w * w) OVER (PARTITION BY text)) AS weight FROM w)
+SELECT id, text, CAST(rank AS INT) AS rank, term, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY round(weight, 9) DESC, term) AS rank FROM x) WHERE rank <= 3""",
     "mean_pool": "SELECT label, CAST(i - 1 AS INT) AS i, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL",
     "linear_head_argmax": """WITH u AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings),
 c AS (SELECT label, i, avg(x) AS m FROM u GROUP BY ALL), s AS (SELECT u.vec_id, c.label, sum(u.x * c.m) AS score FROM u JOIN c ON c.i = u.i GROUP BY ALL),

@@ -151,3 +151,16 @@ def test_leakage_texts_reports_a_planted_question(spark, tmp_path):
     spark.createDataFrame([(1, f"so: {q}?"), (2, "lake road"), (3, "train")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(tuple(r) for r in evaluation.leakage_texts(spark, str(tmp_path)).collect())
     assert got == [("question", "e1", 1), ("station", "S", 2)]
+
+
+def test_document_frequency_has_all_lengths_and_counts_ids_once(spark):
+    docs = spark.createDataFrame([(1, "abcdef"), (1, "abcdex"), (2, "xbcde"), (3, None), (4, "a")], "id int, text string")
+    got = {r["term"]: r["df"] for r in features.document_frequency(docs, "id", "text").collect()}
+    assert {len(t) for t in got} == {2, 3, 4, 5}
+    assert (got["abcde"], got["bcde"], got["bcdef"], got["xb"]) == (1, 2, 1, 1)
+
+
+def test_question_top_terms_counts_a_text_once(spark, tmp_path):
+    spark.createDataFrame([("a", "zzz"), ("b", "zzz"), ("c", "yy"), ("d", None)], "id string, text string").write.parquet(f"{tmp_path}/hindi_intents.parquet")
+    got = sorted((r["id"], r["rank"], r["term"]) for r in evaluation.question_top_terms(spark, str(tmp_path)).collect())
+    assert got == [("a", 1, "zz"), ("a", 2, "zzz"), ("c", 1, "yy")]
