@@ -32,6 +32,14 @@ def replace_first(rows: DataFrame, by: list[str], order: str, n: int, new: DataF
     return rows.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") > n).drop("__rn").unionByName(new)
 
 
+def family_name(family: str, intent: str) -> Column:
+    """A family as ``intent:number`` in lower case without blanks or leading zeros, a bare number with the row's intent; null for what is no family."""
+    bare = lambda c: F.lower(F.regexp_replace(c, r"[\s\p{Z}\p{Cf}]+", ""))
+    f = bare(family)
+    name = F.when(f.rlike(r"^.+:[0-9]+$"), F.regexp_replace(f, ":[0-9]+$", "")).when(f.rlike("^[0-9]+$"), bare(intent))
+    return F.when(name != "", F.concat_ws(":", name, F.regexp_replace(F.regexp_extract(f, "([0-9]+)$", 1), "^0+([0-9])", "$1")))
+
+
 def torn_groups(rows: DataFrame, group: str, split: str) -> DataFrame:
     """Groups whose rows are in more than one split."""
     counts = rows.where(f"{group} is not null and {split} is not null").groupBy(group).agg(F.count_distinct(split).alias("splits"), F.count("*").alias("rows"))

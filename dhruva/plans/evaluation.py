@@ -162,6 +162,12 @@ def family_split_check(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.torn_groups(table(spark, sf, "hindi_intents").select(F.trim("family_id").alias("family"), _split("split").alias("split")).where("family like '%:%'"), "family", "split")
 
 
+def family_split_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Families, whatever way they are written, with rows in more than one split."""
+    rows = table(spark, sf, "hindi_intents").select(corpus.family_name("family_id", "intent").alias("family"), _split("split").alias("split"))
+    return corpus.torn_groups(rows, "family", "split")
+
+
 _TEMPLATES = [("route_query", 0, "{origin} se {destination} kaise jaun"), ("service_availability", 0, "{origin} aur {destination} ke beech bus hai"), ("ticketing", 0, "{origin} se {destination} ka ticket")]
 
 
@@ -181,7 +187,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         confusion_matrix, class_prf, metrics_by_language, slot_scores, intent_baseline, document_frequency, ngram_frequency, char_ngrams, tfidf_top_terms, question_top_terms, mean_pool, linear_head_argmax, leakage_exact,
-        leakage_contains, leakage_texts, family_split_check, corpus_templates, first_n_per_group_replaced,
+        leakage_contains, leakage_texts, family_split_check, family_split_leaks, corpus_templates, first_n_per_group_replaced,
     )
 }
 _SPLIT = "CASE WHEN lower(trim(split)) IN ('train', 'training') THEN 'train' WHEN lower(trim(split)) IN ('validation', 'val', 'dev') THEN 'validation' WHEN lower(trim(split)) = 'test' THEN 'test' END"
@@ -248,6 +254,9 @@ n AS (SELECT DISTINCT kind, key, {NORM.replace('{c}', 'text')} AS t FROM l), d A
 SELECT kind, key, count(DISTINCT doc_id) AS documents FROM n JOIN d ON contains(d.t, ' ' || n.t || ' ') WHERE n.t <> '' GROUP BY ALL""",
     "family_split_check": f"""WITH r AS (SELECT trim(family_id) AS family, {_SPLIT} AS split FROM hindi_intents WHERE contains(family_id, ':'))
 SELECT family, count(DISTINCT split) AS splits, count(*) AS rows FROM r WHERE split IS NOT NULL GROUP BY family HAVING count(DISTINCT split) > 1""",
+    "family_split_leaks": rf"""WITH b AS (SELECT lower(regexp_replace(family_id, '[\s\p{{Z}}\p{{Cf}}]+', '', 'g')) AS f, lower(regexp_replace(intent, '[\s\p{{Z}}\p{{Cf}}]+', '', 'g')) AS i, {_SPLIT} AS split FROM hindi_intents),
+n AS (SELECT split, CASE WHEN regexp_matches(f, '^.+:[0-9]+$') THEN regexp_replace(f, ':[0-9]+$', '') WHEN regexp_matches(f, '^[0-9]+$') THEN i END AS name, regexp_replace(regexp_extract(f, '([0-9]+)$', 1), '^0+([0-9])', '\1') AS number FROM b)
+SELECT name || ':' || number AS family, count(DISTINCT split) AS splits, count(*) AS rows FROM n WHERE split IS NOT NULL AND name <> '' GROUP BY 1 HAVING count(DISTINCT split) > 1""",
     "corpus_templates": "WITH t(label, family, template) AS (VALUES " + ", ".join(f"('{a}', {b}, '{c}')" for a, b, c in _TEMPLATES) + """)
 SELECT label, family, o.hub_name AS origin, d.hub_name AS destination, replace(replace(template, '{origin}', o.hub_name), '{destination}', d.hub_name) AS text
 FROM t, transport_hubs o, transport_hubs d WHERE o.hub_name <> d.hub_name""",

@@ -164,3 +164,9 @@ def test_question_top_terms_counts_a_text_once(spark, tmp_path):
     spark.createDataFrame([("a", "zzz"), ("b", "zzz"), ("c", "yy"), ("d", None)], "id string, text string").write.parquet(f"{tmp_path}/hindi_intents.parquet")
     got = sorted((r["id"], r["rank"], r["term"]) for r in evaluation.question_top_terms(spark, str(tmp_path)).collect())
     assert got == [("a", 1, "zz"), ("a", 2, "zzz"), ("c", 1, "yy")]
+
+
+def test_families_are_torn_however_they_are_written(spark, tmp_path):
+    rows = [("7", "Ticketing ", "train"), ("ticketing:07", "x", "test"), ("A:0", "a", "train"), (" a : 00", "a", "val"), ("8", "a", "train"), ("a:8", "a", "train"), ("9", None, "train"), ("?", "a", "test"), (None, "a", "test")]
+    spark.createDataFrame(rows, "family_id string, intent string, split string").write.parquet(f"{tmp_path}/hindi_intents.parquet")
+    assert sorted(tuple(r) for r in evaluation.family_split_leaks(spark, str(tmp_path)).collect()) == [("a:0", 2, 2), ("ticketing:7", 2, 2)]
