@@ -2,8 +2,10 @@
 
 Every word, in Devanagari or Latin letters, is reduced to a skeleton in which the usual spellings of one sound agree.
 Distinct skeletons are joined with the reference vocabulary by edit distance: both sides list what is left when up
-to two characters are deleted, equal remains meet, and the distance of those few pairs is computed. The corrected
-words of a value are then compared with each entry that has its most telling word by soft TF-IDF.
+to two characters are deleted (long words: their pieces), equal remains meet, and the distance of those few pairs is
+computed. The corrected words of a value are then compared by soft TF-IDF with every entry that can reach the
+threshold: words of an entry are taken in order of weight until those left are too light to reach it without them,
+so a value that has none of these leading words cannot mean the entry.
 
 The vocabulary holds, for each word of an entry: its skeleton, its spellings in the entry's aliases, and for words
 that occur in several entries ("Nagar", "Junction") their abbreviations. Aliases of one short word are codes and
@@ -15,12 +17,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
-from itertools import combinations
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,8 +44,11 @@ NOISE = frozenset("near nr opp opposite ke ka ki paas pass gate no number num th
 COMMON = 3
 #: Least soft TF-IDF score; scores this close are a tie, which means no decision.
 THRESHOLD, TIE = 0.75, 1e-6
-#: Entries of the reference list up to which its signatures are sent to every executor; beyond it they are shuffled.
-BROADCAST_ENTRIES = 20_000
+#: A value must prove at least this part of an entry's squared weights to reach THRESHOLD: entry words that are not typed
+#: weigh half, so the score is at most sqrt(m / (m + (1 - m) / 2)) where m is the part that is typed.
+PROOF = THRESHOLD**2 / (2 - THRESHOLD**2)
+#: Words up to this length meet by their remains, longer ones by their pieces, which grow with the length only.
+LONG = 24
 _ASPIRATE, _DOUBLE = re.compile(r"([bcdgjkpst])h"), re.compile(r"(.)\1+")
 
 
@@ -115,7 +121,60 @@ def osa(a: str, b: str, most: int) -> int:
         if min(new) > most:
             return most + 1
         before, row = row, new
-    return row[-1]
+    return min(row[-1], most + 1)
+
+
+def _letters(words: Sequence[str]) -> np.ndarray:
+    flat = np.array(words, dtype=np.str_)
+    return flat.view(np.uint32).reshape(len(flat), -1)
+
+
+def osa_many(a: Sequence[str], b: Sequence[str], most: int = 2) -> np.ndarray:
+    """``osa`` of many pairs at once: all pairs go through the diagonals near the main one together."""
+    la, lb = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
+    out = np.full(len(la), most + 1, np.int32)
+    near = np.flatnonzero(np.abs(la - lb) <= most)
+    near = near[np.argsort(la[near], kind="stable")]
+    start = 0
+    while start < len(near):
+        # Pairs of like length together, in blocks of bounded size.
+        count = 1 << 16
+        while count > 1 and count * (la[near[min(start + count, len(near)) - 1]] + 1) > 1 << 21:
+            count //= 2
+        rows = near[start : start + count]
+        out[rows] = _band([a[i] for i in rows], [b[i] for i in rows], la[rows], lb[rows], most)
+        start += count
+    return out
+
+
+def _band(a: list[str], b: list[str], la: np.ndarray, lb: np.ndarray, most: int) -> np.ndarray:
+    x, y = _letters(a), _letters(b)
+    n, far, width = len(a), most + 1, 2 * most + 1
+    y = np.pad(y, ((0, 0), (0, max(0, x.shape[1] + most - y.shape[1]))))
+    row = np.tile(np.where(np.arange(width) >= most, np.arange(width) - most, far), (n, 1)).astype(np.int32)
+    out, before = row[np.arange(n), np.clip(lb - la + most, 0, width - 1)], None
+    for i in range(1, int(la.max(initial=0)) + 1):
+        new = np.full((n, width), far, np.int32)
+        for k in range(width):
+            j = i + k - most
+            if j < 0:
+                continue
+            if j == 0:
+                new[:, k] = min(i, far)
+                continue
+            v = row[:, k] + (x[:, i - 1] != y[:, j - 1])
+            if k + 1 < width:
+                v = np.minimum(v, row[:, k + 1] + 1)
+            if k:
+                v = np.minimum(v, new[:, k - 1] + 1)
+            if i > 1 and j > 1:
+                swap = (x[:, i - 1] == y[:, j - 2]) & (x[:, i - 2] == y[:, j - 1])
+                v = np.where(swap, np.minimum(v, before[:, k] + 1), v)
+            new[:, k] = np.minimum(v, far)
+        before, row = row, new
+        done = la == i
+        out[done] = row[done, (lb - la + most)[done]]
+    return out
 
 
 # -- the reference list ---------------------------------------------------------------------------
@@ -150,18 +209,25 @@ def _entry_forms(key_type: str, key: str, name: str, aliases: str):
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _abbreviations(words: pd.Series) -> pd.Series:
-    """Skeletons of up to five letters of a word in order, its first among them."""
+    """An abbreviation of a word: two to five of its letters in order, its first among them; their skeletons."""
 
     def short(w: str) -> list[str]:
-        w = w[:16]
-        return sorted({skeleton(w[0] + "".join(c)) for n in range(1, 5) for c in combinations(w[1:], n) if n + 1 < len(w)})
+        # Distinct runs of n letters so far: however long the word, there are no more than letters allow.
+        runs: list[set[str]] = [{""}, set(), set(), set(), set()]
+        for c in w[1:]:
+            for n in (4, 3, 2, 1):
+                runs[n] |= {r + c for r in runs[n - 1]}
+        return sorted({skeleton(w[0] + r) for n in range(1, 5) if n + 1 < len(w) for r in runs[n]})
 
     return words.map(short)
 
 
 def _vocabulary(ref: DataFrame, key: str, name: str, aliases: str) -> tuple[DataFrame, DataFrame]:
-    """(forms, entries): what typed words are compared with, and each entry's words with their weights."""
-    rows = ref.select(key, name, aliases).where(F.col(key).isNotNull()).dropDuplicates([key, name])
+    """(forms, entries): what typed words are compared with, and each entry's words with their weights.
+
+    ``entries(entry_id, word, worth, w2, total, upto)``: squared weight, sum over the entry, sum over its words up to this, lightest first.
+    """
+    rows = ref.select(key, name, aliases).where(F.col(key).isNotNull()).distinct()
     key_type = ref.schema[key].dataType.simpleString()
     run, schema = _entry_forms(key_type, key, name, aliases)
     raw = materialise(rows.mapInPandas(run, schema), "vocabulary")
@@ -181,9 +247,9 @@ def _vocabulary(ref: DataFrame, key: str, name: str, aliases: str) -> tuple[Data
     by_word = words.withColumn("kind", F.lit("word")).union(spelt.withColumn("kind", F.lit("word"))).union(short.withColumn("kind", F.lit("short")))
     by_word = by_word.join(counts, "word").select("form", "word", none.alias("entry_id"), F.when((F.col("df") >= COMMON) & (F.col("kind") == "word"), "common").otherwise(F.col("kind")).alias("kind"), "worth")
     by_entry = raw.where("kind in ('code', 'glued')").select("form", F.lit("").alias("word"), "entry_id", "kind", F.lit(0.0).alias("worth")).distinct()
-    per_entry = raw.where("kind = 'word'").select("entry_id", "word").join(counts, "word")
-    entries = per_entry.groupBy("entry_id").agg(F.array_sort(F.collect_set(F.struct(F.col("worth").alias("worth"), F.col("word").alias("word")))).alias("words"))
-    return by_word.union(by_entry), entries
+    per_entry = raw.where("kind = 'word'").select("entry_id", "word").distinct().join(counts, "word").select("entry_id", "word", "worth", (F.col("worth") * F.col("worth")).alias("w2"))
+    w = Window.partitionBy("entry_id")
+    return by_word.union(by_entry), per_entry.select("*", F.sum("w2").over(w).alias("total"), F.sum("w2").over(w.orderBy("worth", "word")).alias("upto"))
 
 
 # -- joins by edit distance ------------------------------------------------------------------------
@@ -197,9 +263,16 @@ def _remains(word: str, edits: str) -> F.Column:
     return F.expr(f"array_distinct(case when {edits} = 0 then array({word}) when {edits} = 1 then concat(array({word}), {one}) else concat(array({word}), {one}, {two}) end)")
 
 
+def _pieces(word: str, lengths: str, shifts: str) -> str:
+    """Fifths of a word as in a word of each of ``lengths``, moved by ``shifts``: two edits leave one fifth whole, moved by two at most."""
+    start, end = "cast((i * n) div 5 as int)", "cast(((i + 1) * n) div 5 as int)"
+    piece = f"concat('#', n, '|', i, '|', substring({word}, greatest(1, {start} + 1 + s), {end} - {start}))"
+    return f"flatten(transform({lengths}, n -> flatten(transform(sequence(0, 4), i -> transform({shifts}, s -> {piece})))))"
+
+
 @F.pandas_udf(T.IntegerType())
 def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([osa(x, y, 2) for x, y in zip(a, b)], dtype="int32")
+    return pd.Series(osa_many(a.tolist(), b.tolist()), dtype="int32")
 
 
 def _size_edits(c: str) -> str:
@@ -207,19 +280,29 @@ def _size_edits(c: str) -> str:
     return f"case when length(ltrim('~', {c})) < 4 then 0 when length(ltrim('~', {c})) < 6 then 1 else 2 end"
 
 
-def match_words(units: DataFrame, forms: DataFrame, small: bool) -> DataFrame:
+def near_forms(units: DataFrame, forms: DataFrame) -> DataFrame:
+    """``(unit, form, d)`` of all pairs of ``units(unit)`` and ``forms(form)`` within the edits that the form's length allows."""
+    spark = units.sparkSession
+    listed = forms.select("form").where("form != ''").distinct().select("form", F.expr(_size_edits("form")).alias("e"))
+    whole = F.expr(_pieces("form", "array(length(form))", "array(0)"))
+    there = materialise(listed.select("form", F.explode(F.when(F.length("form") <= LONG, _remains("form", "e")).otherwise(whole)).alias("rest")), "remains")
+    longest = listed.agg(F.max(F.length("form"))).first()[0] or 0
+    # A unit that is longer by more than two letters than the longest form is near none. Many remains come from few rows:
+    # an explicit number of partitions is not coalesced.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    here = units.select("unit").where(F.length("unit") <= longest + 2).repartition(parts, "unit").select("unit", F.expr(_size_edits("unit")).alias("e"))
+    moved = F.expr(_pieces("unit", "sequence(length(unit) - 2, length(unit) + 2)", "sequence(-2, 2)"))
+    none = F.array().cast("array<string>")
+    both = F.concat(F.when(F.length("unit") <= LONG + 2, _remains("unit", "e")).otherwise(none), F.when(F.length("unit") >= LONG - 1, F.array_distinct(moved)).otherwise(none))
+    met = here.select("unit", F.explode(both).alias("rest")).join(there, "rest").select("unit", "form").distinct()
+    return met.withColumn("d", _distance("unit", "form")).where(f"d <= {_size_edits('form')}")
+
+
+def match_words(units: DataFrame, forms: DataFrame) -> DataFrame:
     """``units(unit, code)`` with each form near enough: ``(unit, word, entry_id, kind, worth, sim)``, the best per target."""
     exact = forms.where("kind in ('short', 'code')")
-    fuzzy = forms.where("kind not in ('short', 'code') and form != ''")
-    most = f"case when kind = 'glued' then least(1, {_size_edits('form')}) else {_size_edits('form')} end"
-    there = fuzzy.select("*", F.expr(most).alias("most")).select("*", F.explode(_remains("form", "most")).alias("rest"))
-    exact = F.broadcast(exact) if small else exact
-    there = F.broadcast(there) if small else there
-    # Longer words than any name need no remains: a word may differ by two edits from one of at most its length + 2.
-    here = units.where("length(unit) <= 64").select("unit", F.expr(_size_edits("unit")).alias("e"))
-    here = here.select("unit", F.explode(_remains("unit", "e")).alias("rest"))
-    met = here.join(there, "rest").drop("rest").distinct()
-    met = met.withColumn("d", _distance("unit", "form")).where("d <= most")
+    fuzzy = forms.where("kind not in ('short', 'code')")
+    met = near_forms(units.select("unit").distinct(), fuzzy).join(fuzzy, "form").where("kind != 'glued' or d <= 1")
     near = met.select("unit", "word", "entry_id", "kind", "worth", (1 - F.col("d") / (2.0 * F.length("form"))).alias("sim"))
     short = units.join(exact.where("kind = 'short'"), F.col("unit") == F.col("form")).select("unit", "word", "entry_id", "kind", "worth", F.lit(0.95).alias("sim"))
     code = units.join(exact.where("kind = 'code'"), F.col("code") == F.col("form")).select("unit", "word", "entry_id", "kind", "worth", F.lit(1.0).alias("sim"))
@@ -240,83 +323,104 @@ def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["value", "pos", "width", "unit", "code", "n", "noise"])
 
 
-def soft_tfidf(entry: list[tuple[float, str]], hits: list, free: list[tuple[int, bool, float]], top: float) -> tuple[float, float, bool]:
+def soft_tfidf(entry: list[tuple[float, str]], hits: list[tuple[int, int, str, bool, float, float]], free: list[tuple[int, bool]], top: float) -> tuple[float, float, bool]:
     """Soft TF-IDF of a value and an entry, the part of it that typed words prove, and whether all words were typed.
 
-    ``entry``: (weight, word); ``hits``: (pos, width, word, kind, weight, sim) of corrected words; ``free``: (pos, noise,
-    length) of the typed words. Entry words that are not typed weigh half. Typed words that stand for a common word of
-    other entries contradict the entry; unknown words weigh as much as the rarest; noise weighs nothing.
+    ``entry``: (weight, word); ``hits``: (pos, width, word, common, weight, sim) of corrected words; ``free``: (pos, noise)
+    of the typed words. Entry words that are not typed weigh half; common words alone name an entry only if they are all
+    it has. Typed words that stand for a common word of other entries contradict the entry; unknown words weigh as
+    much as the rarest; noise weighs nothing.
     """
+    by_word, by_pos = defaultdict(list), defaultdict(list)
+    for pos, width, word, common, weight, sim in hits:
+        by_word[word].append((sim, -width, pos, common))
+        by_pos[pos].append((width, word, common, weight))
     used: set[int] = set()
     dot = norm_e = norm_q = 0.0
-    complete = True
+    complete, named = True, False
     for weight, word in sorted(entry, reverse=True):
-        options = [(sim, -width, pos) for pos, width, w, _, _, sim in hits if w == word and not used.intersection(range(pos, pos + width))]
+        options = [o for o in by_word.get(word, ()) if o[2] not in used and (o[1] == -1 or o[2] + 1 not in used)]
         if not options:
             norm_e += weight * weight / 2
             complete = False
             continue
-        sim, width, pos = max(options)
+        sim, width, pos, common = max(options)
+        named = named or not common
         used.update(range(pos, pos - width))
         dot += sim * weight * weight
         norm_e += weight * weight
         norm_q += weight * weight
+    if not named and not complete:
+        return 0.0, 0.0, False
     own = {w for _, w in entry}
-    for pos, noise, _ in free:
+    for pos, noise in free:
         if pos in used or noise:
             continue
-        others = [(sim, kind, weight) for p, width, w, kind, weight, sim in hits if p == pos and width == 1 and w and w not in own]
-        if any(kind in ("common", "short") for _, kind, _ in others):
+        others = [(common, weight) for width, w, common, weight in by_pos.get(pos, ()) if width == 1 and w and w not in own]
+        if any(common for common, _ in others):
             return 0.0, 0.0, False
-        repeated = any(p == pos and w in own for p, _, w, _, _, _ in hits)
-        norm_q += 0.0 if repeated else max([weight for _, _, weight in others], default=top) ** 2
+        repeated = any(w in own for _, w, _, _ in by_pos.get(pos, ()))
+        norm_q += 0.0 if repeated else max([weight for _, weight in others], default=top) ** 2
     return (dot / (norm_e * norm_q) ** 0.5 if dot else 0.0), dot, complete
 
 
+def candidates(by_word: DataFrame, entries: DataFrame) -> DataFrame:
+    """``(value, entry_id)`` of all pairs whose common words are heavy enough for THRESHOLD.
+
+    An entry is looked up by its leading words: lighter ones follow until they weigh less than PROOF of the entry. What a
+    value then proves, leading words met and all the others, must reach PROOF.
+    """
+    lead = entries.where(F.col("upto") >= PROOF * F.col("total") - TIE)
+    light = entries.groupBy("entry_id").agg(F.sum(F.when(F.col("upto") < PROOF * F.col("total") - TIE, F.col("w2")).otherwise(0.0)).alias("light"))
+    lead = lead.join(light, "entry_id").select("entry_id", "word", "w2", "light", "total")
+    met = by_word.select("value", "word").distinct().join(lead, "word").groupBy("value", "entry_id")
+    sums = met.agg(F.sum("w2").alias("m"), F.first("light").alias("light"), F.first("total").alias("total"))
+    return sums.where(F.col("m") + F.col("light") >= PROOF * F.col("total") - TIE).select("value", "entry_id")
+
+
 def map_values(values: DataFrame, ref: DataFrame, value: str = "value", key: str = "entry_id", name: str = "canonical_name", aliases: str = "aliases") -> DataFrame:
-    """``(value, entry_id, score)`` for every distinct value of ``values``; ``entry_id`` null where it means no entry.
+    """``(value, entry_id, score, fits)`` for every distinct value of ``values``; ``entry_id`` null where it means no entry.
 
-    Null, blank and meaningless values mean none, nor does one that fits several entries equally well. Reference rows
-    without key or name are ignored, aliases may be null. Values are compared once however often they occur, and
-    whole, however long.
+    Null, blank and meaningless values mean none, nor does one that fits several entries equally well: ``fits`` is the
+    number of entries that do, 0 for none. Reference rows without key or name are ignored, aliases may be null.
+    Values are compared once however often they occur, and whole, however long. A value that is an entry's code or the
+    entry written in one word goes by that alone.
     """
     key_type = ref.schema[key].dataType.simpleString()
     forms, entries = _vocabulary(ref, key, name, aliases)
     forms, entries = materialise(forms, "forms"), materialise(entries, "entries")
-    n = entries.count()
-    small = n <= BROADCAST_ENTRIES
+    n = entries.select("entry_id").distinct().count()
     distinct = values.select(F.col(value).alias("value")).where("value is not null").distinct()
     parts = materialise(distinct.mapInPandas(_units, "value string, pos int, width int, unit string, code string, n int, noise boolean"), "units")
     # Codes count only where they are the whole value.
     typed = parts.select("unit", F.when((F.col("n") == 1), F.col("code")).otherwise("").alias("code")).where("unit != ''").distinct()
-    matches = materialise(match_words(typed, forms, small), "matches")
+    matches = materialise(match_words(typed, forms), "matches")
 
     hits = parts.where("unit != ''").join(matches, "unit")
     hits = hits.where("(width = 1 or kind = 'word') and (kind != 'code' or n = 1) and (kind != 'glued' or width = 1)")
     whole = hits.where("kind in ('code', 'glued')").where("n = 1 or kind = 'glued'")
-    by_word = hits.where("word != ''")
-    anchors = entries.select("entry_id", "words", F.element_at("words", -1)["word"].alias("word"))
-    anchors = F.broadcast(anchors) if small else anchors
-    tried = by_word.select("value", "word").distinct().join(anchors, "word").select("value", "entry_id", "words")
-    found = by_word.groupBy("value").agg(F.collect_list(F.struct("pos", "width", "word", "kind", "worth", "sim")).alias("hits"))
-    free = parts.where("width = 1 and not startswith(unit, '~')").groupBy("value").agg(F.collect_list(F.struct("pos", "noise", F.length("unit").cast("double").alias("size"))).alias("free"))
-    pairs = tried.join(found, "value").join(free, "value")
+    by_word = hits.where("word != ''").withColumn("common", F.col("kind").isin("common", "short"))
+    words = entries.groupBy("entry_id").agg(F.array_sort(F.collect_list(F.struct("worth", "word"))).alias("words"))
+    found = by_word.groupBy("value").agg(F.collect_list(F.struct("pos", "width", "word", "common", "worth", "sim")).alias("hits"))
+    free = parts.where("width = 1 and not startswith(unit, '~')").groupBy("value").agg(F.collect_list(F.struct("pos", "noise")).alias("free"))
+    pairs = candidates(by_word, entries).join(words, "entry_id").join(found, "value").join(free, "value")
     top = math.log(1 + n)
+    # Lists of plain values: structs would become one object each.
+    flat = [F.col(c) for c in "words.worth words.word hits.pos hits.width hits.word hits.common hits.worth hits.sim free.pos free.noise".split()]
 
     @F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("proof", T.DoubleType()), T.StructField("complete", T.BooleanType())]))
-    def score(words: pd.Series, hits: pd.Series, free: pd.Series) -> pd.DataFrame:
-        out = []
-        for w, h, f in zip(words, hits, free):
-            entry = [(x["worth"], x["word"]) for x in w]
-            out.append(soft_tfidf(entry, [(x["pos"], x["width"], x["word"], x["kind"], x["worth"], x["sim"]) for x in h], [(x["pos"], x["noise"], x["size"]) for x in f], top))
+    def score(ww: pd.Series, wo: pd.Series, hp: pd.Series, hw: pd.Series, ho: pd.Series, hc: pd.Series, hv: pd.Series, hs: pd.Series, fp: pd.Series, fn: pd.Series) -> pd.DataFrame:
+        lists = (zip(*(c.tolist() for c in row)) for row in zip(hp, hw, ho, hc, hv, hs))
+        out = [soft_tfidf(list(zip(a.tolist(), b.tolist())), list(h), list(zip(c.tolist(), d.tolist())), top) for a, b, h, c, d in zip(ww, wo, lists, fp, fn)]
         return pd.DataFrame(out, columns=["score", "proof", "complete"])
 
-    scored = pairs.select("value", "entry_id", score("words", "hits", "free").alias("s")).select("value", "entry_id", "s.*")
+    scored = pairs.select("value", "entry_id", score(*flat).alias("s")).select("value", "entry_id", "s.*")
     scored = scored.union(whole.select("value", "entry_id", "sim", F.lit(0.0), F.lit(True))).where(F.col("score") >= THRESHOLD)
     scored = scored.groupBy("value", "entry_id").agg(F.max(F.struct("score", "proof", "complete")).alias("s"))
     best = scored.groupBy("value").agg(F.max(F.struct("s", "entry_id")).alias("b"), F.collect_list("s").alias("all"))
     # A tie: another entry scores as high, or, where words of the best are missing, the typed words prove it as well.
     rivals = F.filter("all", lambda x: (x["score"] >= F.col("b.s.score") - TIE) | ~F.col("b.s.complete") & (x["proof"] >= F.col("b.s.proof") - TIE))
-    best = best.withColumn("sure", F.size(rivals) == 1)
-    best = best.select("value", F.when(F.col("sure"), F.col("b.entry_id")).alias("entry_id"), F.when(F.col("sure"), F.col("b.s.score")).alias("score"))
-    return distinct.join(best, "value", "left").select("value", F.col("entry_id").cast(key_type).alias("entry_id"), "score")
+    best = best.withColumn("fits", F.size(rivals))
+    sure = F.col("fits") == 1
+    best = best.select("value", F.when(sure, F.col("b.entry_id")).alias("entry_id"), F.when(sure, F.col("b.s.score")).alias("score"), "fits")
+    return distinct.join(best, "value", "left").select("value", F.col("entry_id").cast(key_type).alias("entry_id"), "score", F.coalesce("fits", F.lit(0)).alias("fits"))

@@ -28,11 +28,11 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_unmatched(spark: SparkSession, sf: str) -> DataFrame:
-    """Values that mean no reviewed entry, with how often they were typed."""
+    """Values that mean no reviewed entry, with how often they were typed and how many entries they fit equally well."""
     typed = _t(spark, sf, "chennai_case_study").select("id", F.posexplode("aliases").alias("alias_pos", "value")).where("id is not null").distinct()
-    none = map_values(typed, _t(spark, sf, "reviewed_name_aliases_v1")).where("entry_id is null").select("value")
+    none = map_values(typed, _t(spark, sf, "reviewed_name_aliases_v1")).where("entry_id is null").select("value", "fits")
     counts = typed.groupBy("value").agg(F.count("*").alias("typed"))
-    return counts.join(none, "value", "left_semi").union(counts.where("value is null"))
+    return counts.join(none, "value", "left").where("fits is not null or value is null").select("value", "typed", F.coalesce("fits", F.lit(0)).alias("fits"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,10 +1,12 @@
 import itertools
+import math
 import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from dhruva.llm.canonical_names import map_values, osa, skeleton
+from dhruva.llm.canonical_names import NOISE, THRESHOLD, TIE, _vocabulary, map_values, osa, osa_many, skeleton, soft_tfidf, spellings, typed_words
 from dhruva.llm.grouped_splits import assign_splits, components, family_key
 from dhruva.llm.mixing import mix_sources
 from dhruva.llm.overlap import split_name
@@ -86,11 +88,7 @@ REF = [
 ]
 
 
-@pytest.mark.parametrize("bound", [20_000, 0])
-def test_map_values(spark, monkeypatch, bound):
-    import dhruva.llm.canonical_names as module
-
-    monkeypatch.setattr(module, "BROADCAST_ENTRIES", bound)
+def test_map_values(spark):
     want = {
         "Bitajavu Bridge": 1, "bridge, BITAJAVU": 1, "beetajaavu brdg": 1, "बितजवु ब्रिज": 1, "बितजवु bridge": 1, "near Bitajavu Bridge gate no 2": 1, "Вitаjavu Вridge": 1, "bitajavubridge": 1, "b.i.b.": 1, "bib": 1,
         "bita javu bridge": 1, "Bitajavu rly stn": 2, "bitajavu": None, "Bitajavu Market": None, "kelurupet": 3, "Kelruupet": 3, "kelurupet ke paas": 3, "kelu rupet": 3, "rob": None, "rokhadogarh": 5, "": None, "  ": None, "?": None, "bridge": None,
@@ -104,7 +102,83 @@ def test_map_values(spark, monkeypatch, bound):
     assert map_values(df.limit(0), ref).count() == 0
 
 
+def test_entries_are_ranked_without_their_rarest_word(spark):
+    ref = spark.createDataFrame([(1, "Zorbex Lake Garden", None), (2, "Lake View", None), (3, "Garden Row", None), (4, "Tamarindseedprocessingworkshop", None), (5, "Abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyz Hall", None)], "entry_id long, canonical_name string, aliases array<string>")
+    want = {
+        "Lake Garden": 1, "lake": None, "Tamarindseedprocesingworkshop": 4, "Tamarindseedprocesisngworkshop": 4, "Tamarindseedproecssignworkshop": 4, "Tamarindsedprocesingworkshop": 4, "Tamarinseedpocesingworkshop": 4, "Tmrinseedprocesingworkop": None,
+        "abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyabcdefghijklmnopqrstuvwxyz hall": 5, "z" * 100_000: None,
+    }
+    got = {r["value"]: r["entry_id"] for r in map_values(spark.createDataFrame([(v,) for v in want], "value string"), ref).collect()}
+    assert got == want
+
+
+def _all_scores(values, forms, entries):
+    """Every value against every entry, without signatures, look-ups or bounds."""
+    by_entry, words = {}, defaultdict(list)
+    for r in entries:
+        words[r["entry_id"]].append((r["worth"], r["word"]))
+    top = math.log(1 + len(words))
+    edits = lambda f: (0 if len(f.lstrip("~")) < 4 else 1 if len(f.lstrip("~")) < 6 else 2)
+    for v in values:
+        typed = typed_words(v)
+        hits = defaultdict(float)
+        for i, w in enumerate(typed):
+            for width, unit in [(1, u) for u in spellings(w)] + ([(2, skeleton(w + typed[i + 1]))] if i + 1 < len(typed) else []):
+                for r in forms:
+                    f, kind = r["form"], r["kind"]
+                    if kind == "short" and unit == f:
+                        sim = 0.95
+                    elif kind == "code" and unit == skeleton(w) and len(typed) == 1 and w == f:
+                        sim = 1.0
+                    elif kind in ("word", "common", "glued") and f and (d := osa(unit, f, 2)) <= (min(1, edits(f)) if kind == "glued" else edits(f)):
+                        sim = 1 - d / (2 * len(f))
+                    else:
+                        continue
+                    if (width == 1 or kind == "word") and (kind != "glued" or width == 1):
+                        k = (i, width, r["word"], kind, r["worth"], r["entry_id"])
+                        hits[k] = max(hits[k], sim)
+        spelt = [(p, n, w, k in ("common", "short"), x, sim) for (p, n, w, k, x, _), sim in hits.items() if w]
+        free = [(i, w in NOISE or w.isdecimal() and len(w) < 3) for i, w in enumerate(typed)]
+        scored = defaultdict(list)
+        for e, own in words.items():
+            scored[e].append(soft_tfidf(own, spelt, free, top))
+        for (_, _, _, k, _, e), sim in hits.items():
+            if k == "glued" or k == "code":
+                scored[e].append((sim, 0.0, True))
+        found = sorted((max(x for x in s if x[0] >= THRESHOLD), e) for e, s in scored.items() if any(x[0] >= THRESHOLD for x in s))
+        best = found[-1][0] if found else None
+        fits = [e for x, e in found if x[0] >= best[0] - TIE or not best[2] and x[1] >= best[1] - TIE]
+        by_entry[v] = (found[-1][1] if len(fits) == 1 else None, len(fits))
+    return by_entry
+
+
+def test_map_values_equals_brute_force(spark):
+    rnd = random.Random(8)
+    pool = ["".join(rnd.choice("aeiou") if i % 2 else rnd.choice("bdgklmnprst") for i in range(rnd.randint(3, 9))) for _ in range(30)]
+    names = {" ".join(rnd.sample(pool[:6], 1) + rnd.sample(pool, rnd.randint(0, 3))) for _ in range(60)}
+    ref = spark.createDataFrame([(i, n, [n.replace(" ", ""), "".join(w[0] for w in n.split())]) for i, n in enumerate(sorted(names))], "entry_id long, canonical_name string, aliases array<string>")
+
+    def slip(w):
+        for _ in range(rnd.choice((0, 0, 1, 2))):
+            i = rnd.randrange(len(w))
+            w = rnd.choice((w[:i] + w[i + 1 :], w[:i] + rnd.choice("aeioubdg") + w[i:], w[:i] + w[i : i + 2][::-1] + w[i + 2 :])) or w
+        return w
+
+    values = set()
+    for n in sorted(names) * 3:
+        w = [slip(x) for x in n.split()]
+        rnd.shuffle(w)
+        values.add(" ".join(w[: rnd.randint(1, len(w))] + rnd.sample([*pool, "near", "7"], rnd.choice((0, 0, 1)))))
+    got = {r["value"]: (r["entry_id"], r["fits"]) for r in map_values(spark.createDataFrame([(v,) for v in values], "value string"), ref).collect()}
+    forms, entries = _vocabulary(ref, "entry_id", "canonical_name", "aliases")
+    want = _all_scores(values, forms.collect(), entries.collect())
+    assert got == want and sum(e is not None for e, _ in want.values()) > 50 and any(n > 1 for _, n in want.values())
+
+
 def test_words_alike():
+    words = ["".join(random.Random(i).choices("abc", k=i % 9)) for i in range(400)] + ["x" * 3_000, "x" * 2_999 + "y", ""]
+    others = words[7:] + words[:7]
+    assert osa_many(words, others).tolist() == [osa(a, b, 2) for a, b in zip(words, others)]
     assert skeleton("गिमोरिक्कम") == skeleton("gimorikkam") == skeleton("Geemorikkaam".lower())
     assert osa("abcd", "abdc", 2) == 1 and osa("abcd", "ab", 1) == 2 and osa("", "", 0) == 0
 
