@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dhruva.llm.confusables import one_form
+from dhruva.llm.confusables import one_form, with_shapes
 from dhruva.session import materialise
 
 # Romanisation of Devanagari (fixed values); aspirates in capitals so that they stay one letter.
@@ -230,7 +230,7 @@ def _vocabulary(ref: DataFrame, key: str, name: str, aliases: str) -> tuple[Data
     rows = ref.select(key, name, aliases).where(F.col(key).isNotNull()).distinct()
     key_type = ref.schema[key].dataType.simpleString()
     run, schema = _entry_forms(key_type, key, name, aliases)
-    raw = materialise(rows.mapInPandas(run, schema), "vocabulary")
+    raw = materialise(rows.mapInPandas(with_shapes(ref.sparkSession, run), schema), "vocabulary")
     n = max(1, raw.select("entry_id").distinct().count())
     counts = raw.where("kind = 'word'").groupBy("word").agg(F.count_distinct("entry_id").alias("df"), F.min("raw").alias("raw"))
     counts = counts.select("word", "df", "raw", F.log(1 + n / F.col("df")).alias("worth"))
@@ -391,7 +391,7 @@ def map_values(values: DataFrame, ref: DataFrame, value: str = "value", key: str
     forms, entries = materialise(forms, "forms"), materialise(entries, "entries")
     n = entries.select("entry_id").distinct().count()
     distinct = values.select(F.col(value).alias("value")).where("value is not null").distinct()
-    parts = materialise(distinct.mapInPandas(_units, "value string, pos int, width int, unit string, code string, n int, noise boolean"), "units")
+    parts = materialise(distinct.mapInPandas(with_shapes(values.sparkSession, _units), "value string, pos int, width int, unit string, code string, n int, noise boolean"), "units")
     # Codes count only where they are the whole value.
     typed = parts.select("unit", F.when((F.col("n") == 1), F.col("code")).otherwise("").alias("code")).where("unit != ''").distinct()
     matches = materialise(match_words(typed, forms), "matches")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dhruva.llm.confusables import words
+from dhruva.llm.confusables import with_shapes, words
 from dhruva.session import materialise
 
 BITS = 18
@@ -44,7 +44,7 @@ def word_sets(rows: DataFrame, text: str) -> DataFrame:
             terms = [sorted(map(_word_hash, set(words(t)))) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(terms, pa.list_(pa.int64()))], names=[*keep, "terms"])
 
-    return rows.select(*keep, text).mapInArrow(run, schema)
+    return rows.select(*keep, text).mapInArrow(with_shapes(rows.sparkSession, run), schema)
 
 
 def _bucket(terms: np.ndarray) -> np.ndarray:

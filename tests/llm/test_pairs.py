@@ -4,8 +4,8 @@ import random
 
 import pytest
 
-from dhruva.llm import overlap
-from dhruva.llm.confusables import look_alike_pairs, one_form, resolved_scripts, words
+from dhruva.llm import confusables, overlap
+from dhruva.llm.confusables import look_alike_classes, look_alike_pairs, one_form, resolved_scripts, words
 from dhruva.llm.overlap import cosine_pairs, cross_split_overlaps
 
 
@@ -29,6 +29,18 @@ def test_scripts():
     assert words("Ｂａs! вы-ход। ड़ा") == ["bas", "вы", "ход", "ड़ा"] or words("ड़ा") == ["ड़ा"]
 
 
+def test_published_look_alikes(spark, monkeypatch):
+    monkeypatch.setattr(confusables, "_in_use", None)
+    confusables.use_shapes(confusables.latin_shapes(spark))
+    for a, b in (("ρ", "p"), ("ո", "n"), ("ց", "g"), ("ӏ", "l"), ("Ӏ", "I"), ("Ԁ", "d"), ("ꓟ", "M"), ("Ьus", "bus"), ("ꓐus", "Bus"), ("mеtrо", "metro"), ("κόσμoς", "κόσμος")):
+        assert one_form(a) == one_form(b), (a, b)
+    for a, b in (("κόσμος", "κόομος"), ("ж", "x"), ("я", "r"), ("बस", "बस़"), ("٣", "3"), ("𝐌", "M"), ("д", "d"), ("ԁ", "D")):
+        assert one_form(a) != one_form(b), (a, b)
+    for text in ("κόσμος", "Москва", "तिरुवनमियूर", "திருவான்மியூர்", "مرحبا"):
+        assert one_form(text) == text
+    assert all(one_form(one_form(chr(c))) == one_form(chr(c)) for c in confusables.latin_shapes(spark).to_latin)
+
+
 def test_look_alike_pairs_edges(spark):
     rows = [("c", "1", "M84"), ("c", "2", "М84"), ("c", "3", "M84"), ("c", "4", "m84"), ("d", "1", "М84"), ("c", None, "М84"), ("c", "5", None), ("c", "1", "M84"), ("c", "6", ""), ("c", "7", "​"), ("c", "1", "М84"), ("c", "8", "x" * 100_000 + "а"), ("c", "9", "x" * 100_000 + "a")]
     df = spark.createDataFrame([(*r, "z", "z") for r in rows], "corpus string, key string, text string, t string, f string")
@@ -36,6 +48,9 @@ def test_look_alike_pairs_edges(spark):
     # Key 1 comes with both texts, so it looks like 2 and like 3.
     assert got == [("c", "1", "2"), ("c", "1", "3"), ("c", "2", "3"), ("c", "6", "7"), ("c", "8", "9")]
     assert look_alike_pairs(df.limit(0)).count() == 0
+    classes = {(r["corpus"], r["key"]): (r["class"], r["texts"], r["keys"]) for r in look_alike_classes(df).collect()}
+    assert classes == {("c", "1"): ("1", 2, 3), ("c", "2"): ("1", 2, 3), ("c", "3"): ("1", 2, 3), ("c", "6"): ("6", 2, 2), ("c", "7"): ("6", 2, 2), ("c", "8"): ("8", 2, 2), ("c", "9"): ("8", 2, 2)}
+    assert look_alike_classes(df.limit(0)).count() == 0
 
 
 def test_hot_group_of_copies_makes_no_pairs(spark):
