@@ -47,6 +47,8 @@ THRESHOLD, TIE = 0.75, 1e-6
 #: A value must prove at least this part of an entry's squared weights to reach THRESHOLD: entry words that are not typed
 #: weigh half, so the score is at most sqrt(m / (m + (1 - m) / 2)) where m is the part that is typed.
 PROOF = THRESHOLD**2 / (2 - THRESHOLD**2)
+#: Rows of remains of the vocabulary (a hash and a form each) up to which they are sent to every executor; more are shuffled.
+BROADCAST_ROWS = 1_000_000
 #: Words up to this length meet by their remains, longer ones by their pieces, which grow with the length only.
 LONG = 24
 _ASPIRATE, _DOUBLE = re.compile(r"([bcdgjkpst])h"), re.compile(r"(.)\1+")
@@ -256,17 +258,20 @@ def _vocabulary(ref: DataFrame, key: str, name: str, aliases: str) -> tuple[Data
 
 
 def _remains(word: str, edits: str) -> F.Column:
-    """What is left of a word when up to ``edits`` (0 to 2) characters are deleted, as an expression."""
-    cut = lambda s, i: f"concat(substring({s}, 1, {i} - 1), substring({s}, {i} + 1))"
-    one = f"transform(sequence(1, length({word})), i -> {cut(word, 'i')})"
-    two = f"flatten(transform(sequence(1, length({word}) - 1), i -> transform(sequence(i, length({word}) - 1), j -> {cut(cut(word, 'i'), 'j')})))"
-    return F.expr(f"array_distinct(case when {edits} = 0 then array({word}) when {edits} = 1 then concat(array({word}), {one}) else concat(array({word}), {one}, {two}) end)")
+    """What is left of a word when up to ``edits`` (0 to 2) characters are deleted, hashed, as an expression."""
+    cut = lambda s, i: f"substring({s}, 1, {i} - 1), substring({s}, {i} + 1)"
+    one = f"transform(sequence(1, length({word})), i -> xxhash64(concat({cut(word, 'i')})))"
+    # The second deletion lies behind the first.
+    twice = f"concat(substring({word}, 1, i - 1), substring({word}, i + 1, j - i), substring({word}, j + 2))"
+    two = f"flatten(transform(sequence(1, length({word}) - 1), i -> transform(sequence(i, length({word}) - 1), j -> xxhash64({twice}))))"
+    whole = f"array(xxhash64({word}))"
+    return F.expr(f"array_distinct(case when {edits} = 0 then {whole} when {edits} = 1 then concat({whole}, {one}) else concat({whole}, {one}, {two}) end)")
 
 
 def _pieces(word: str, lengths: str, shifts: str) -> str:
     """Fifths of a word as in a word of each of ``lengths``, moved by ``shifts``: two edits leave one fifth whole, moved by two at most."""
     start, end = "cast((i * n) div 5 as int)", "cast(((i + 1) * n) div 5 as int)"
-    piece = f"concat('#', n, '|', i, '|', substring({word}, greatest(1, {start} + 1 + s), {end} - {start}))"
+    piece = f"xxhash64(n, i, substring({word}, greatest(1, {start} + 1 + s), {end} - {start}))"
     return f"flatten(transform({lengths}, n -> flatten(transform(sequence(0, 4), i -> transform({shifts}, s -> {piece})))))"
 
 
@@ -286,13 +291,14 @@ def near_forms(units: DataFrame, forms: DataFrame) -> DataFrame:
     listed = forms.select("form").where("form != ''").distinct().select("form", F.expr(_size_edits("form")).alias("e"))
     whole = F.expr(_pieces("form", "array(length(form))", "array(0)"))
     there = materialise(listed.select("form", F.explode(F.when(F.length("form") <= LONG, _remains("form", "e")).otherwise(whole)).alias("rest")), "remains")
-    longest = listed.agg(F.max(F.length("form"))).first()[0] or 0
+    size = there.agg(F.count("*"), F.max(F.length("form"))).first()
+    there = F.broadcast(there) if size[0] <= BROADCAST_ROWS else there
     # A unit that is longer by more than two letters than the longest form is near none. Many remains come from few rows:
     # an explicit number of partitions is not coalesced.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    here = units.select("unit").where(F.length("unit") <= longest + 2).repartition(parts, "unit").select("unit", F.expr(_size_edits("unit")).alias("e"))
+    here = units.select("unit").where(F.length("unit") <= (size[1] or 0) + 2).repartition(parts, "unit").distinct().select("unit", F.expr(_size_edits("unit")).alias("e"))
     moved = F.expr(_pieces("unit", "sequence(length(unit) - 2, length(unit) + 2)", "sequence(-2, 2)"))
-    none = F.array().cast("array<string>")
+    none = F.array().cast("array<bigint>")
     both = F.concat(F.when(F.length("unit") <= LONG + 2, _remains("unit", "e")).otherwise(none), F.when(F.length("unit") >= LONG - 1, F.array_distinct(moved)).otherwise(none))
     met = here.select("unit", F.explode(both).alias("rest")).join(there, "rest").select("unit", "form").distinct()
     return met.withColumn("d", _distance("unit", "form")).where(f"d <= {_size_edits('form')}")
@@ -302,7 +308,7 @@ def match_words(units: DataFrame, forms: DataFrame) -> DataFrame:
     """``units(unit, code)`` with each form near enough: ``(unit, word, entry_id, kind, worth, sim)``, the best per target."""
     exact = forms.where("kind in ('short', 'code')")
     fuzzy = forms.where("kind not in ('short', 'code')")
-    met = near_forms(units.select("unit").distinct(), fuzzy).join(fuzzy, "form").where("kind != 'glued' or d <= 1")
+    met = near_forms(units, fuzzy).join(fuzzy, "form").where("kind != 'glued' or d <= 1")
     near = met.select("unit", "word", "entry_id", "kind", "worth", (1 - F.col("d") / (2.0 * F.length("form"))).alias("sim"))
     short = units.join(exact.where("kind = 'short'"), F.col("unit") == F.col("form")).select("unit", "word", "entry_id", "kind", "worth", F.lit(0.95).alias("sim"))
     code = units.join(exact.where("kind = 'code'"), F.col("code") == F.col("form")).select("unit", "word", "entry_id", "kind", "worth", F.lit(1.0).alias("sim"))

@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from dhruva.llm import canonical_names
 from dhruva.llm.canonical_names import NOISE, THRESHOLD, TIE, _vocabulary, map_values, osa, osa_many, skeleton, soft_tfidf, spellings, typed_words
 from dhruva.llm.grouped_splits import assign_splits, components, family_key
 from dhruva.llm.mixing import mix_sources
@@ -152,7 +153,9 @@ def _all_scores(values, forms, entries):
     return by_entry
 
 
-def test_map_values_equals_brute_force(spark):
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_map_values_equals_brute_force(spark, monkeypatch, bound):
+    monkeypatch.setattr(canonical_names, "BROADCAST_ROWS", bound)
     rnd = random.Random(8)
     pool = ["".join(rnd.choice("aeiou") if i % 2 else rnd.choice("bdgklmnprst") for i in range(rnd.randint(3, 9))) for _ in range(30)]
     names = {" ".join(rnd.sample(pool[:6], 1) + rnd.sample(pool, rnd.randint(0, 3))) for _ in range(60)}
