@@ -26,10 +26,10 @@ LARGE = 0.001
 
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of every node in ``edges(a, b)``; a component is named by its least node."""
-    edges = edges.select("a", "b").where("a is not null and b is not null").distinct()
+    edges = materialise(edges.select("a", "b").where("a is not null and b is not null").distinct(), "edges")
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     parent = materialise(nodes.select("node", F.col("node").alias("root")), "parents")
-    live = materialise(edges.where("a != b"), "edges")
+    live = edges.where("a != b")
     while not live.isEmpty():
         # Hook: the roots in `live` point to the least root they touch ...
         both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -97,13 +97,13 @@ def _node(key: str) -> Column:
 
 
 def assign_splits(
-    records: DataFrame, keys: list[str], ratios: dict[str, float], state: DataFrame | None = None, conflicts: str = "quarantine", row_key: str | None = None
+    records: DataFrame, keys: list[str], ratios: dict[str, float], state: DataFrame | None = None, conflicts: str = "quarantine", row_key: str | None = None, weight: str | None = None
 ) -> Splits:
     """Splits in the given ratios of rows, with all rows that share a value of any of ``keys`` in one split.
 
     ``state`` is the component table of earlier batches, rows ``(node, component, split)``; a null split means not yet
     placed. A record without any key is its own component, named by ``row_key`` (then required), or by all of
-    its columns. ``conflicts``: "quarantine" leaves the rows of torn components without a split, "reassign" places
+    its columns. ``weight`` names a column with the number of records a row stands for. ``conflicts``: "quarantine" leaves the rows of torn components without a split, "reassign" places
     each such component anew as a whole. Null keys link nothing; repeated rows count as often as they come; an
     empty table gives empty results.
     """
@@ -112,7 +112,11 @@ def assign_splits(
     spark = records.sparkSession
     own = F.col(row_key).cast("string") if row_key else F.sha2(F.to_json(F.struct(*records.columns)), 256)
     anchor = F.coalesce(*(_node(k) for k in keys), F.concat(F.lit("row="), F.coalesce(own, F.lit(""))))
-    first = records.select(anchor.alias("a"), *(_node(k).alias(f"k{i}") for i, k in enumerate(keys)))
+    # Records with the same keys are one row from here on.
+    names = [f"k{i}" for i in range(len(keys))]
+    amount = F.coalesce(F.col(weight).cast("long"), F.lit(0)) if weight else F.lit(1)
+    first = records.select(anchor.alias("a"), *(_node(k).alias(n) for k, n in zip(keys, names)), amount.alias("n"))
+    first = materialise(first.groupBy("a", *names).agg(F.sum("n").alias("n")), "links")
     edges = first.select("a", F.col("a").alias("b"))
     for i in range(len(keys)):
         edges = edges.union(first.select("a", F.col(f"k{i}")).where(f"k{i} is not null"))
@@ -121,7 +125,9 @@ def assign_splits(
         # A component of the table is a node too: what it held is linked to it, and it carries the split.
         old = state.select("node", F.concat(F.lit("component="), F.col("component")).alias("c"), "split")
         edges = edges.union(old.select("node", "c"))
-    member = materialise(components(edges), "components")
+    # A component keeps its name: the mark of table rows is not part of it.
+    found = components(edges).withColumn("component", F.regexp_replace("component", "^component=", ""))
+    member = materialise(found, "components")
     if old is None:
         known = spark.createDataFrame([], "component string, splits array<string>")
     else:
@@ -130,7 +136,7 @@ def assign_splits(
     known = materialise(known, "known")
 
     def sizes() -> DataFrame:
-        rows = first.select(F.col("a").alias("node")).groupBy("node").agg(F.count("*").alias("n")).join(member, "node")
+        rows = first.select(F.col("a").alias("node"), "n").groupBy("node").agg(F.sum("n").alias("n")).join(member, "node")
         return rows.groupBy("component").agg(F.sum("n").alias("n")).join(known, "component", "left")
 
     return Splits(records, anchor, member, known, sizes, ratios, conflicts)

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dhruva.llm.canonical_names import map_values
 from dhruva.llm.chunking import split_oversized
-from dhruva.llm.confusables import look_alike_pairs
+from dhruva.llm.confusables import consistent_form, look_alike_classes, look_alike_pairs
 from dhruva.llm.encoding import encode_corpus
-from dhruva.llm.grouped_splits import Splits, assign_splits, family_key
+from dhruva.llm.grouped_splits import assign_splits, family_key
 from dhruva.llm.mixing import mix_sources
 from dhruva.llm.overlap import cross_split_overlaps, split_name
+from dhruva.session import materialise
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -35,36 +36,68 @@ def p1_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     return counts.join(none, "value", "left").where("fits is not null or value is null").select("value", "typed", F.coalesce("fits", F.lit(0)).alias("fits"))
 
 
-def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Question texts and aliases that look the same but are different strings."""
-    intents = _t(spark, sf, "hindi_intents").select(F.lit("intents").alias("corpus"), F.col("id").alias("key"), "text")
-    parts = [intents]
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [_t(spark, sf, "hindi_intents").select(F.lit("intents").alias("corpus"), F.col("id").alias("key"), "text")]
     for table, key in (("station_aliases", "station_key"), ("reviewed_name_aliases_v1", "entry_id")):
         rows = _t(spark, sf, table).select(F.col(key).cast("string").alias("k"), F.posexplode("aliases").alias("pos", "text"))
         parts.append(rows.select(F.lit("aliases").alias("corpus"), F.concat_ws("/", F.lit(table), "k", F.col("pos").cast("string")).alias("key"), "text"))
-    return look_alike_pairs(parts[0].union(parts[1]).union(parts[2]))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Question texts and aliases that look the same but are different strings."""
+    return look_alike_pairs(_texts(spark, sf))
+
+
+def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as one row per key: its class, and how many texts and keys the class has."""
+    return look_alike_classes(_texts(spark, sf))
 
 
 RATIOS = {"train": 0.70, "validation": 0.12, "test": 0.18}
 
 
-def _splits(spark: SparkSession, sf: str, conflicts: str) -> Splits:
+def _recorded(rows: DataFrame) -> DataFrame:
     """The recorded splits are the component table so far: each family with each split it was recorded in."""
-    rows = _t(spark, sf, "hindi_intents").select("id", "intent", "source", "created_at", family_key("family_id", "intent").alias("family"), split_name("split").alias("recorded"))
     node = F.concat(F.lit("family="), F.col("family"))
-    recorded = rows.where("family is not null and recorded is not null").select(node.alias("node"), F.concat_ws("@", "family", "recorded").alias("component"), F.col("recorded").alias("split"))
-    return assign_splits(rows, ["family"], RATIOS, recorded.distinct(), conflicts, row_key="id")
+    known = rows.where("family is not null and recorded is not null")
+    return known.select(node.alias("node"), F.concat_ws("@", "family", "recorded").alias("component"), F.col("recorded").alias("split")).distinct()
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Families that the recorded split tears apart."""
-    torn = _splits(spark, sf, "quarantine").quarantine
+    """Families that the recorded split tears apart; only families can be torn, so rows of one spelling are one row first."""
+    spelt = _t(spark, sf, "hindi_intents").where("family_id is not null and split is not null").groupBy("family_id", "intent", "split").agg(F.count("*").alias("n"))
+    rows = spelt.select(family_key("family_id", "intent").alias("family"), split_name("split").alias("recorded"), "n").where("family is not null and recorded is not null")
+    rows = materialise(rows.groupBy("family", "recorded").agg(F.sum("n").alias("n")), "families")
+    torn = assign_splits(rows, ["family"], RATIOS, _recorded(rows), row_key="family", weight="n").quarantine
     return torn.where("startswith(node, 'family=')").select(F.expr("substring(node, 8)").alias("family_id")).distinct()
 
 
+def _questions(spark: SparkSession, sf: str, *more: Column) -> DataFrame:
+    rows = _t(spark, sf, "hindi_intents").select("id", family_key("family_id", "intent").alias("family"), split_name("split").alias("recorded"), *more)
+    return materialise(rows, "questions")
+
+
 def p3_splits(spark: SparkSession, sf: str) -> DataFrame:
     """Every question with its split at 70/12/18 %; families in one recorded split keep it, torn ones are placed anew."""
-    return _splits(spark, sf, "reassign").records.select("id", "family", "recorded", "split")
+    rows = _questions(spark, sf)
+    return assign_splits(rows, ["family"], RATIOS, _recorded(rows), "reassign", row_key="id").records.select("id", "family", "recorded", "split")
+
+
+def p3_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The questions in two batches, the later fifth second, kept together by family and by look-alike text.
+
+    The component table of the first batch is written and read again; its components keep their split, and a question
+    of the second batch that joins components of different splits is quarantined (null split).
+    """
+    rows = _questions(spark, sf, F.md5(consistent_form(spark, "text")).alias("twin"), "created_at")
+    since = rows.agg(F.percentile_approx(F.col("created_at").cast("timestamp").cast("long"), 0.8)).first()[0]
+    late = F.coalesce(F.col("created_at").cast("timestamp").cast("long") > F.lit(since), F.lit(False))
+    rows = rows.withColumn("batch", F.when(late, 2).otherwise(1)).drop("created_at")
+    before = assign_splits(rows.where("batch = 1"), ["family", "twin"], RATIOS, row_key="id")
+    table = materialise(before.state, "component-table")
+    after = assign_splits(rows.where("batch = 2"), ["family", "twin"], RATIOS, table, row_key="id")
+    return before.records.unionByName(after.records).select("id", "family", "twin", "batch", "split")
 
 
 def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,7 +142,7 @@ def p9_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_oversized(_t(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p3_found, p3_splits, p5_found, p5_report, p7_ids, p8_mix, p8_shares, p9_found, p9_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_classes, p3_found, p3_splits, p3_batches, p5_found, p5_report, p7_ids, p8_mix, p8_shares, p9_found, p9_pieces)}
 ORACLES: dict[str, str] = {
     "p3_found": r"""WITH k AS (
   SELECT lower(regexp_replace(family_id, '\s', '', 'g')) AS f, lower(regexp_replace(intent, '\s', '', 'g')) AS i, lower(trim(split)) AS s
