@@ -286,17 +286,20 @@ def _size_edits(c: str) -> str:
 
 
 def near_forms(units: DataFrame, forms: DataFrame) -> DataFrame:
-    """``(unit, form, d)`` of all pairs of ``units(unit)`` and ``forms(form)`` within the edits that the form's length allows."""
+    """``(unit, form, d)`` of all pairs of ``units(unit, width)`` and ``forms(form, kind)`` within the edits that the form's length allows.
+
+    Units of width 2, two neighbours in one, are looked for among words only: longer ones than any word are near none.
+    """
     spark = units.sparkSession
     listed = forms.select("form").where("form != ''").distinct().select("form", F.expr(_size_edits("form")).alias("e"))
     whole = F.expr(_pieces("form", "array(length(form))", "array(0)"))
     there = materialise(listed.select("form", F.explode(F.when(F.length("form") <= LONG, _remains("form", "e")).otherwise(whole)).alias("rest")), "remains")
-    size = there.agg(F.count("*"), F.max(F.length("form"))).first()
-    there = F.broadcast(there) if size[0] <= BROADCAST_ROWS else there
+    there = F.broadcast(there) if there.count() <= BROADCAST_ROWS else there
+    longest = forms.agg(F.max(F.length("form")), F.max(F.when(F.col("kind") == "word", F.length("form")))).first()
     # A unit that is longer by more than two letters than the longest form is near none. Many remains come from few rows:
     # an explicit number of partitions is not coalesced.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    here = units.select("unit").where(F.length("unit") <= (size[1] or 0) + 2).repartition(parts, "unit").distinct().select("unit", F.expr(_size_edits("unit")).alias("e"))
+    here = units.where(F.length("unit") <= F.when(F.col("width") == 1, longest[0] or 0).otherwise(longest[1] or 0) + 2).select("unit").repartition(parts, "unit").distinct().select("unit", F.expr(_size_edits("unit")).alias("e"))
     moved = F.expr(_pieces("unit", "sequence(length(unit) - 2, length(unit) + 2)", "sequence(-2, 2)"))
     none = F.array().cast("array<bigint>")
     both = F.concat(F.when(F.length("unit") <= LONG + 2, _remains("unit", "e")).otherwise(none), F.when(F.length("unit") >= LONG - 1, F.array_distinct(moved)).otherwise(none))
@@ -305,7 +308,7 @@ def near_forms(units: DataFrame, forms: DataFrame) -> DataFrame:
 
 
 def match_words(units: DataFrame, forms: DataFrame) -> DataFrame:
-    """``units(unit, code)`` with each form near enough: ``(unit, word, entry_id, kind, worth, sim)``, the best per target."""
+    """``units(unit, code, width)`` with each form near enough: ``(unit, word, entry_id, kind, worth, sim)``, the best per target."""
     exact = forms.where("kind in ('short', 'code')")
     fuzzy = forms.where("kind not in ('short', 'code')")
     met = near_forms(units, fuzzy).join(fuzzy, "form").where("kind != 'glued' or d <= 1")
@@ -399,7 +402,7 @@ def map_values(values: DataFrame, ref: DataFrame, value: str = "value", key: str
     distinct = values.select(F.col(value).alias("value")).where("value is not null").distinct()
     parts = materialise(distinct.mapInPandas(with_shapes(values.sparkSession, _units), "value string, pos int, width int, unit string, code string, n int, noise boolean"), "units")
     # Codes count only where they are the whole value.
-    typed = parts.select("unit", F.when((F.col("n") == 1), F.col("code")).otherwise("").alias("code")).where("unit != ''").distinct()
+    typed = parts.select("unit", F.when((F.col("n") == 1), F.col("code")).otherwise("").alias("code"), "width").where("unit != ''").groupBy("unit", "code").agg(F.min("width").alias("width"))
     matches = materialise(match_words(typed, forms), "matches")
 
     hits = parts.where("unit != ''").join(matches, "unit")
