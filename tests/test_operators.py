@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from dhruva.functions import display
 from dhruva.functions import text as tx
 from dhruva.operators import contracts, corpus, features, metrics, names, records, schedule
-from dhruva.operators.prefix import running_total
+from dhruva.operators.prefix import front, running_total
 from dhruva.plans import evaluation
 from dhruva.sources import files
 
@@ -24,6 +24,21 @@ def test_running_total_over_groups(spark):
     assert running_total(df.limit(0), "v", ["id"]).count() == 0
 
 
+def test_front_of_groups(spark):
+    rows = [(i, "ab"[i % 5 == 0], (i * 37) % 101, i % 7, [60, 11][i % 5 == 0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, g string, o int, v int, most int")
+    want = set()
+    for g in "ab":
+        total = 0
+        for i, _, _, v, most in sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0])):
+            total += v
+            if total > most:
+                break
+            want.add(i)
+    assert {r["id"] for r in front(df, "v", ["o", "id"], ["g"], "most").collect()} == want
+    assert front(df.limit(0), "v", ["id"], ["g"], "most").count() == 0
+
+
 def test_word_boundaries(spark):
     t = spark.createDataFrame([("लोकल",), ("कल",)], "t string")
     assert [r[0] for r in t.select(tx.has_word(F.col("t"), "कल", True)).collect()] == [False, True]
