@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from dhruva.llm import canonical_names
 from dhruva.llm.canonical_names import NOISE, THRESHOLD, TIE, _vocabulary, map_values, osa, osa_many, skeleton, soft_tfidf, spellings, typed_words
 from dhruva.llm.grouped_splits import assign_splits, components, family_key
-from dhruva.llm.mixing import mix_sources
+from dhruva.llm.mixing import _fill, choose, mix_sources
 from dhruva.llm.overlap import split_name
 
 RATIOS = {"train": 0.7, "validation": 0.12, "test": 0.18}
@@ -209,5 +209,36 @@ def test_mix(spark):
     assert sorted(map(tuple, mix_sources(docs, goals, total=total, seed=2).selection.collect())) != sorted(map(tuple, chosen))
     default = mix_sources(docs, goals).shares.where("source in ('a', 'b')").collect()
     assert all(abs(r["share_of_target_total"] - r["target_share"]) < 0.01 for r in default)
+    # No source passes its share, and one that is short has no document that would still fit.
+    for r in mix.shares.where("target_share > 0").collect():
+        assert r["selected_tokens"] <= r["target_share"] * total + 1e-6
+    twice = spark.createDataFrame([(1, "a", "bus stop"), (1, None, None), (1, "a", "bus"), (2, "a", "metro gate"), (None, "a", "gate")], "doc_id long, source string, text string")
+    assert {r["id"]: r["copies"] for r in mix_sources(twice, goals.where("source = 'a'"), total=100).selection.collect()} == {1: 1, 2: 1}
     empty = mix_sources(docs.limit(0), goals)
     assert empty.selection.count() == 0 and {r["status"] for r in empty.shares.where("target_share > 0 and source is not null").collect()} == {"absent"}
+
+
+def test_choice_of_sizes():
+    rnd = random.Random(3)
+    for _ in range(200):
+        sizes = [rnd.randint(1, 40) for _ in range(rnd.randint(0, 8))]
+        budget, enough = rnd.randint(0, 120), rnd.choice((0, 3))
+        sums = [sum(c) for n in range(len(sizes) + 1) for c in itertools.combinations(sizes, n)]
+        best = max(x for x in sums if x <= budget)
+        got = sum(sizes[i] for i in choose(sizes, budget, enough))
+        assert got <= budget and (got >= budget - enough or got == best)
+    assert sum([10**9, 3 * 10**9][i] for i in choose([10**9, 3 * 10**9], 3 * 10**9 + 5, 10**7)) == 3 * 10**9
+
+
+def test_filling_follows_the_ranking(spark):
+    rnd = random.Random(9)
+    rows = [(i, s, rnd.choice((1, 2, 5, 9, 30, 400)), {"a": 5_000.0, "b": 77.0, "c": 3.0}[s], rnd.random()) for i in range(900) for s in ("a" if i % 3 else "b", "c")]
+    rows = [(10 * i + "abc".index(s), s, t, rest, q) for i, s, t, rest, q in rows]
+    drawn = spark.createDataFrame(rows, "id long, source string, tokens long, rest double, q double")
+    got = {r["id"] for r in _fill(drawn, {s: (b, b) for s, b in (("a", 5_000.0), ("b", 77.0), ("c", 3.0))}).collect()}
+    want, left = set(), {"a": 5_000, "b": 77, "c": 3}
+    for i, s, t, _, q in sorted(rows, key=lambda r: (r[4], r[0])):
+        if t <= left[s]:
+            left[s] -= t
+            want.add(i)
+    assert got == want
