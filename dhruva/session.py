@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,24 +32,54 @@ def get_session(app: str = "dhruva", master: str | None = None, **conf: str) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is configured (tests)."""
+    """The shared folder of the cluster; a temporary one only in local mode where none is configured (tests)."""
     path = spark.conf.get(CHECKPOINT_KEY, None)
     if path is None:
         path = spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if path is None:
-        path = f"file://{tempfile.gettempdir()}/dhruva-checkpoints"
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all machines share; {master} has none")
+        path = f"file://{tempfile.mkdtemp(prefix='dhruva-checkpoints-')}"
         spark.conf.set(CHECKPOINT_KEY, path)
     return path
 
 
+_written: list[str] = []
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives executor loss."""
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives executor loss.
+
+    What is written goes when the driver ends, or before at the end of an ``intermediates`` block.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder, fs = _file_system(spark, path)
+    fs.deleteOnExit(folder)
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write within the block are removed at its end; results must have been used or written by then."""
+    first = len(_written)
+    try:
+        yield
+    finally:
+        while len(_written) > first:
+            folder, fs = _file_system(spark, _written.pop())
+            fs.delete(folder, True)
+            fs.cancelDeleteOnExit(folder)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin a scan that has fewer input partitions than the cluster has cores (asking a shuffled frame would run it)."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -9,6 +9,7 @@ from dhruva.functions import text as tx
 from dhruva.operators import contracts, corpus, features, metrics, names, records, schedule
 from dhruva.operators.prefix import front, running_total
 from dhruva.plans import evaluation
+from dhruva.session import checkpoint_dir, intermediates, materialise
 from dhruva.sources import files
 
 
@@ -24,6 +25,29 @@ def test_running_total_over_groups(spark):
     assert running_total(df.limit(0), "v", ["id"]).count() == 0
 
 
+def test_intermediate_tables_go(spark):
+    from pathlib import Path
+
+    with intermediates(spark):
+        df = materialise(spark.range(5), "scope")
+        path = Path(df.inputFiles()[0].removeprefix("file://")).parent
+        assert df.count() == 5 and path.exists()
+    assert not path.exists()
+
+
+def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
+    class Elsewhere:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(dict)  # noqa: N815
+
+    with pytest.raises(ValueError):
+        checkpoint_dir(Elsewhere)
+
+
 def test_front_of_groups(spark):
     rows = [(i, "ab"[i % 5 == 0], (i * 37) % 101, i % 7, [60, 11][i % 5 == 0]) for i in range(300)]
     df = spark.createDataFrame(rows, "id int, g string, o int, v int, most int")
