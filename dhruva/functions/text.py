@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 # Punctuation that counts as a blank (fixed values).
 PUNCTUATION = "।॥?!,.:;\\-_()\\[\\]{}'\"‘’“”/\\\\"
+# All that separates words: blanks, line ends and the separators among the control characters (fixed values).
+BLANK = r"\s\p{Z}\x0b\x1c-\x1f\x{85}"
 # Two notions of a word boundary, both needed: with combining marks as letters, and without.
 MARK_WORD, PLAIN_WORD = r"\p{L}\p{N}\p{M}_", r"\p{L}\p{N}_"
 #: Digits of the scripts in use, zero to nine each (fixed values).
@@ -68,7 +70,7 @@ def nfc(texts: pd.Series) -> pd.Series:
 def normalised(text: Column | str) -> Column:
     """NFC, lower case, punctuation as blanks, runs of blanks as one, trimmed. Null stays null."""
     spaced = F.regexp_replace(F.lower(nfc(text)), f"[{PUNCTUATION}]+", " ")
-    return F.trim(F.regexp_replace(spaced, r"[\s\p{Z}]+", " "))
+    return F.trim(F.regexp_replace(spaced, f"[{BLANK}]+", " "))
 
 
 def ascii_digits(text: Column | str) -> Column:

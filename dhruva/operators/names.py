@@ -1,6 +1,6 @@
 """Names in texts: alias index, collisions, longest non-overlapping spans, resolution.
 
-An ambiguous name keeps all its candidates. Everything is a join on normalised names; no index is sent to workers.
+An ambiguous name keeps all its candidates. Everything is a join on normalised names.
 """
 
 from __future__ import annotations
@@ -8,13 +8,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dhruva.functions.text import normalised
-from dhruva.session import spread
+from dhruva.functions.text import normalised, qualifier
+from dhruva.session import materialise, spread
 
 #: Qualifiers that may follow a stop's name, by mode (fixed values).
-QUALIFIERS = {"metro": ("metro station", "मेट्रो स्टेशन"), "bus": ("bus stop", "बस स्टॉप"), "suburban_rail": ("railway station", "रेलवे स्टेशन"), "mrts": ("mrts station", "एमआरटीएस स्टेशन")}
+QUALIFIERS = {
+    "metro": ("metro station", "मेट्रो स्टेशन"),
+    "bus": ("bus stop", "बस स्टॉप"),
+    "suburban_rail": ("suburban railway station", "railway station", "उपनगरीय रेल स्टेशन", "रेलवे स्टेशन"),
+    "mrts": ("mrts station", "एमआरटीएस स्टेशन"),
+}
 #: Names that are no places (fixed values).
 GENERIC = ("bus stop", "metro station", "railway station", "station", "stop", "bus terminus", "मेट्रो स्टेशन", "रेलवे स्टेशन", "बस स्टॉप")
+#: The city itself as a qualifier adds nothing to a name (fixed values).
+CITY = ("chennai", "chennai city")
+#: Rows of names up to which they are sent to every executor; more are shuffled, with the same result.
+BROADCAST_NAMES = 500_000
+JOURNEY = ("origin", "destination", "via")
+JOURNEY_OPERATIONS = ("point_to_point_route", "multimodal_route", "mode_availability")
+#: Words that make a stop's name a thing one can stand at (fixed values).
+PHYSICAL = "station|stop|terminus|terminal|depot|metro|railway|mrts|स्टेशन|स्टॉप|मेट्रो|एमआरटीएस"
 
 
 def compact(name: Column | str) -> Column:
@@ -22,26 +35,44 @@ def compact(name: Column | str) -> Column:
     return F.replace(F.col(name) if isinstance(name, str) else name, F.lit(" "), F.lit(""))
 
 
-def alias_index(stops: DataFrame, hubs: DataFrame, aliases: DataFrame) -> DataFrame:
-    """``(name, entity_id, kind, mode)``: every name with every entity it may mean.
+def alias_index(stops: DataFrame, hubs: DataFrame, aliases: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """``(name, entity_id, kind, mode, partial)``: every name with every entity it may mean.
 
     ``aliases(canonical_name, alias)`` passes all candidates of the canonical name on to the alias. Stops are also
-    known with their mode's qualifiers.
+    known with their mode's qualifiers, all names also written in one word, and names that differ by blanks only share
+    their candidates. ``places(place_id, name)``: of a name with a comma the part before it is ``partial`` - it needs
+    its qualifier and means nothing alone - unless the qualifier is the city. Null and blank names are left out.
     """
+    none = F.lit(None).cast("string").alias("mode")
     s = stops.select(normalised("canonical_name").alias("name"), F.col("stop_id").alias("entity_id"), F.lit("stop").alias("kind"), "mode")
-    h = hubs.select(normalised("hub_name").alias("name"), F.col("hub_id").alias("entity_id"), F.lit("hub").alias("kind"), F.lit(None).cast("string").alias("mode"))
-    base = s.union(h).where("name != ''").distinct()
+    h = hubs.select(normalised("hub_name").alias("name"), F.col("hub_id").alias("entity_id"), F.lit("hub").alias("kind"), none)
+    base = s.union(h)
+    bare = None
+    if places is not None:
+        first, rest = qualifier("name")
+        p = places.select("name", F.col("place_id").cast("string").alias("entity_id"), F.lit("place").alias("kind"), none, normalised(first).alias("first"), normalised(rest).alias("rest"))
+        base = base.union(p.select(normalised("name").alias("name"), "entity_id", "kind", "mode")).union(p.where(F.col("rest").isin(*CITY)).select("first", "entity_id", "kind", "mode"))
+        bare = p.where(F.col("rest").isNotNull() & ~F.col("rest").isin("", *CITY)).select(F.col("first").alias("name"), "entity_id", "kind", "mode").where("name != ''").distinct()
+    base = base.where("name != ''").distinct()
     passed = base.join(aliases.select(normalised("canonical_name").alias("name"), normalised("alias").alias("alias")).distinct(), "name").select(F.col("alias").alias("name"), "entity_id", "kind", "mode")
+    known = base.union(passed).where("name != ''").distinct()
+    known = known.union(known.where("instr(name, ' ') > 0").select(compact("name"), "entity_id", "kind", "mode")).distinct()
     words = F.create_map(*(x for m, q in QUALIFIERS.items() for x in (F.lit(m), F.array(*map(F.lit, q)))))
     longer = F.transform(F.try_element_at(words, F.col("mode")), lambda q: F.concat_ws(" ", F.col("name"), q))
-    qualified = base.where("kind = 'stop'").select(F.explode(longer).alias("name"), "entity_id", "kind", "mode")
-    return base.union(passed).union(qualified).where("name != ''").distinct().where(~F.col("name").isin(*GENERIC))
+    qualified = known.where("kind = 'stop'").select(F.explode(longer).alias("name"), "entity_id", "kind", "mode")
+    full = spacing_closure(known.union(qualified)).withColumn("partial", F.lit(False))
+    if bare is not None:
+        half = spacing_closure(bare).withColumn("partial", F.lit(True))
+        # A name that needs its qualifier needs it whatever else it may mean.
+        full = full.join(half.select("name", F.lit(True).alias("half")).distinct(), "name", "left").withColumn("partial", F.coalesce("half", F.lit(False))).drop("half").union(half).distinct()
+    return full.where(~F.col("name").isin(*GENERIC))
 
 
 def spacing_closure(index: DataFrame) -> DataFrame:
-    """Each name with the candidates of every name that is spelled alike but for blanks."""
+    """Each name, and each written in one word, with the candidates of every name that is spelled alike but for blanks."""
     groups = index.select(compact("name").alias("key"), "entity_id", "kind", "mode").distinct()
-    return index.select("name", compact("name").alias("key")).distinct().join(groups, "key").drop("key")
+    listed = index.select("name", compact("name").alias("key"))
+    return listed.union(listed.select("key", "key")).distinct().join(groups, "key").select("name", "entity_id", "kind", "mode")
 
 
 def collisions(index: DataFrame) -> DataFrame:
@@ -49,20 +80,24 @@ def collisions(index: DataFrame) -> DataFrame:
     return index.groupBy("name").agg(F.count_distinct("entity_id").alias("candidates"), F.count_distinct("kind").alias("kinds"), F.min("entity_id").alias("least_id")).where("candidates > 1")
 
 
-def name_spans(docs: DataFrame, id_col: str, text: str, names: DataFrame, longest: int = 4) -> DataFrame:
+def name_spans(docs: DataFrame, id_col: str, text: str, names: DataFrame) -> DataFrame:
     """Longest non-overlapping names from left to right: ``(id, start, words, surface)``, positions in words.
 
-    Words that begin a name are kept, runs of up to ``longest`` words from there are joined with the names; a fold over the hits of a text, in order of
-    position and then length, drops what overlaps an accepted one.
+    At each word that begins a name, runs of up to as many words as the longest name with that beginning has are looked
+    up; a fold over the hits of a text, in order of position and then length, drops what overlaps an accepted one.
+    Null texts have no names; a text's rows are taken together by id.
     """
     words = spread(docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"))).select("id", F.split(normalised("t"), " ").alias("w")).where("w is not null")
-    # Only places where some name's first word stands are looked at; of those, all runs of words.
-    listed = names.select(F.col("name").alias("surface")).distinct()
-    first = listed.select(F.substring_index("surface", " ", 1).alias("x")).distinct()
+    listed = materialise(names.select(F.col("name").alias("surface")).where("surface != ''").distinct(), "names")
+    length = F.size(F.split("surface", " "))
+    first = listed.groupBy(F.substring_index("surface", " ", 1).alias("x")).agg(F.max(length).alias("most"))
+    longest, count = listed.agg(F.max(length), F.count("*")).first()
+    if count <= BROADCAST_NAMES:
+        listed, first = F.broadcast(listed), F.broadcast(first)
     # The words that follow come along, so a text is not carried once per position.
-    window = F.expr(f"transform(w, (x, i) -> named_struct('start', i, 'x', x, 'next', slice(w, i + 1, {longest})))")
-    places = words.select("id", F.explode(window).alias("p")).select("id", "p.*").join(first, "x", "left_semi")
-    runs = F.expr("transform(sequence(1, size(next)), n -> named_struct('start', start, 'words', n, 'surface', array_join(slice(next, 1, n), ' ')))")
+    window = F.expr(f"transform(w, (x, i) -> named_struct('start', i, 'x', x, 'next', slice(w, i + 1, {longest or 1})))")
+    places = words.select("id", F.explode(window).alias("p")).select("id", "p.*").join(first, "x")
+    runs = F.expr("transform(sequence(1, least(most, size(next))), n -> named_struct('start', start, 'words', n, 'surface', array_join(slice(next, 1, n), ' ')))")
     hits = places.select("id", F.explode(runs).alias("r")).select("id", "r.*").join(listed, "surface", "left_semi")
     found = hits.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", (-F.col("words")).alias("minus"), "surface"))).alias("h"))
     fold = """aggregate(h, named_struct('next', 0, 'kept', cast(array() as array<struct<start:int,words:int,surface:string>>)),
@@ -70,14 +105,46 @@ def name_spans(docs: DataFrame, id_col: str, text: str, names: DataFrame, longes
     return found.select("id", F.explode(F.expr(fold)).alias("s")).select("id", "s.*")
 
 
-def resolve(spans: DataFrame, index: DataFrame, mode: str | None = None) -> DataFrame:
-    """Spans with the entity they mean: hubs before stops, stops of the asked mode before others; null if several remain.
+def resolve(spans: DataFrame, index: DataFrame, role: str | None = None, operation: str | None = None, mode: str | None = None, route: str | None = None, on_route: DataFrame | None = None) -> DataFrame:
+    """Spans with the entity they mean; null if several remain or the name needs its qualifier.
 
-    ``mode`` names a column of ``spans``. ``(.., entity_id, candidates, ambiguous)``.
+    ``role``, ``operation``, ``mode`` and ``route`` name columns of ``spans(surface, ..)`` (without a role, a journey's origin
+    is meant). A role decides which kinds count: landmarks and localities are places or, failing that, stops and hubs;
+    stations and stops are stops. Then an asked mode prefers its stops, else places, else keeps all; without one
+    journeys prefer hubs. A route (``on_route(route, entity_id)``) prefers its own stops. Each preference holds only where
+    it leaves a candidate. ``(.., entity_id, candidates, ambiguous)``: candidates that remain.
+
+    Distinct questions are ranked, not spans, by aggregates only: a name with very many candidates is no large group.
     """
-    rows = spans.join(index.withColumnsRenamed({"name": "surface", "mode": "entity_mode"}), "surface")
-    asked = F.col(mode).isNotNull() & (F.col("entity_mode") == F.col(mode)) if mode else F.lit(False)
-    rank = F.when(asked, 0).when(F.col("kind") == "hub", 1).otherwise(2)
-    best = rows.groupBy(*spans.columns).agg(F.min(F.struct(rank.alias("rank"))).alias("top"), F.collect_set(F.struct(rank.alias("rank"), "entity_id")).alias("all"))
-    kept = best.withColumn("ids", F.array_sort(F.expr("transform(filter(all, x -> x.rank = top.rank), x -> x.entity_id)")))
-    return kept.select(*spans.columns, F.when(F.size("ids") == 1, F.element_at("ids", 1)).alias("entity_id"), F.size("ids").alias("candidates"), (F.size("ids") > 1).alias("ambiguous"))
+    asked = [c for c in (role, operation, mode, route) if c]
+    keys = list(dict.fromkeys(["surface", *asked]))
+    of = lambda c: F.col(c) if c else F.lit(None).cast("string")
+    what = F.coalesce(of(role), F.lit("origin"))
+    questions = spans.select(*keys).distinct()
+    rows = questions.join(index.select(F.col("name").alias("surface"), "entity_id", F.col("kind").alias("__kind"), F.col("mode").alias("__mode"), F.col("partial").alias("__partial")), "surface")
+    kind, place = F.col("__kind"), what.isin("landmark", "locality")
+    fits = F.when(place, F.when(kind == "place", 0).when(kind.isin("stop", "hub"), 1)).when(what.isin("station", "stop"), F.when(kind == "stop", 0)).otherwise(0)
+    wanted = of(mode).isNotNull() & (of(mode) != "any") & ~place
+    by_mode = F.when(wanted, F.when((kind == "stop") & (F.col("__mode") == of(mode)), 0).when(kind == "place", 1).otherwise(2))
+    journey = what.isin(*JOURNEY) & F.coalesce(of(operation), F.lit(JOURNEY_OPERATIONS[0])).isin(*JOURNEY_OPERATIONS)
+    by_mode = by_mode.when(journey, F.when(kind == "hub", 0).otherwise(1)).otherwise(0)
+    there = F.lit(0)
+    if route and on_route is not None:
+        known = on_route.select(F.col("route").alias("__route"), F.col("entity_id").alias("__stop"), F.lit(True).alias("__on")).distinct()
+        rows = rows.join(known, (F.col(route) == F.col("__route")) & (F.col("entity_id") == F.col("__stop")), "left")
+        there = F.when(what.isin("station", "stop") & F.col("__on"), 0).otherwise(1)
+    ranked = rows.select(*keys, "entity_id", "__kind", "__partial", F.struct(fits.alias("a"), by_mode.alias("b"), there.alias("c")).alias("rank"))
+    # Names that need their qualifier keep all they may mean.
+    ranked = ranked.withColumn("rank", F.when(F.col("__partial"), F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"))).otherwise(F.col("rank"))).where("rank.a is not null")
+    each = ranked.groupBy(*keys, "rank").agg(F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("one"), F.max("__kind").alias("kind"), F.bool_or("__partial").alias("partial"))
+    best = each.groupBy(*keys).agg(F.min_by(F.struct("n", "one", "kind", "partial"), "rank").alias("b")).select(*keys, "b.*")
+    # "Near X" needs a thing to stand at: a bare stop name is none.
+    vague = (of(operation) == "nearest_transport") & place & (F.col("kind") == "stop") & ~F.col("surface").rlike(rf"(?<![\p{{L}}\p{{N}}_])(?:{PHYSICAL})(?![\p{{L}}\p{{N}}_])")
+    open_ = F.col("partial") | (F.col("n") > 1) | F.coalesce(vague, F.lit(False))
+    out = best.select(*keys, F.when(~open_, F.col("one")).alias("entity_id"), F.col("n").alias("candidates"), open_.alias("ambiguous"))
+    same = None
+    for k in keys:
+        cond = F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+        same = cond if same is None else same & cond
+    found = spans.alias("a").join(out.alias("b"), same, "left")
+    return found.select(*(f"a.{c}" for c in spans.columns), "b.entity_id", F.coalesce("b.candidates", F.lit(0)).alias("candidates"), F.coalesce("b.ambiguous", F.lit(False)).alias("ambiguous"))

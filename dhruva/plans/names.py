@@ -6,15 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dhruva.operators import names as op
+from dhruva.operators.topology import route_key
 from dhruva.plans.text import NORM
 from dhruva.schema import SQL, network, table
+from dhruva.session import materialise
+
+#: What each name is asked as: role, operation, mode.
+ASKED = [("origin", "point_to_point_route", None), ("destination", "service_frequency", None), ("via", "multimodal_route", "metro"), ("station", "station_facilities", None), ("stop", "scheduled_departure", "bus"), ("landmark", "nearest_transport", "bus"), ("locality", "realtime_status_query", "any")]
 
 
 def _index(spark: SparkSession, sf: str) -> DataFrame:
     net = network(spark, sf)
     a = table(spark, sf, "station_aliases").select(F.col("canonical_name_en").alias("canonical_name"), F.explode("aliases").alias("alias"))
-    b = table(spark, sf, "reviewed_name_aliases_v1").select("canonical_name", F.explode("aliases").alias("alias"))
-    return op.alias_index(net.stops, net.hubs, a.union(b))
+    reviewed = table(spark, sf, "reviewed_name_aliases_v1")
+    b = reviewed.select("canonical_name", F.explode("aliases").alias("alias"))
+    places = reviewed.select(F.concat(F.lit("PLACE_"), F.col("entry_id").cast("string")).alias("place_id"), F.col("canonical_name").alias("name"))
+    typed = table(spark, sf, "chennai_case_study").select(F.concat(F.lit("CASE_"), "id").alias("place_id"), F.col("name_en").alias("name"))
+    return materialise(op.alias_index(net.stops, net.hubs, a.union(b), places.union(typed)), "index")
 
 
 def alias_index(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,35 +34,105 @@ def alias_collisions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spacing_groups(spark: SparkSession, sf: str) -> DataFrame:
-    rows = op.spacing_closure(_index(spark, sf))
+    rows = _index(spark, sf)
     return rows.groupBy(op.compact("name").alias("key")).agg(F.count_distinct("name").alias("names"), F.count_distinct("entity_id").alias("entities")).where("names > 1")
 
 
+def incomplete_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names that mean nothing without their qualifier."""
+    return _index(spark, sf).where("partial").groupBy("name").agg(F.count_distinct("entity_id").alias("candidates"))
+
+
 def name_spans(spark: SparkSession, sf: str) -> DataFrame:
-    """Stop names in the passenger documents."""
+    """Names in the passenger documents."""
     docs = table(spark, sf, "documents")
     return op.name_spans(docs, "doc_id", "text", _index(spark, sf)).withColumnRenamed("id", "doc_id")
 
 
 def resolve_spans(spark: SparkSession, sf: str) -> DataFrame:
-    """What the names in documents mean, counted."""
+    """What the names in documents mean as ends of a journey, counted."""
     index = _index(spark, sf)
     spans = op.name_spans(table(spark, sf, "documents"), "doc_id", "text", index)
-    found = op.resolve(spans, index)
-    return found.groupBy("surface", "entity_id", "candidates", "ambiguous").agg(F.count("*").alias("mentions"))
+    found = op.resolve(spans.groupBy("surface").agg(F.count("*").alias("mentions")), index)
+    return found.select("surface", "entity_id", "candidates", "ambiguous", "mentions")
+
+
+def resolve_roles(spark: SparkSession, sf: str) -> DataFrame:
+    """What every name means in several roles, with and without an asked mode."""
+    index = _index(spark, sf)
+    asked = spark.createDataFrame(ASKED, "role string, operation string, mode string")
+    spans = index.select(F.col("name").alias("surface")).distinct().crossJoin(F.broadcast(asked))
+    return op.resolve(spans, index, "role", "operation", "mode")
+
 
+def resolve_on_route(spark: SparkSession, sf: str) -> DataFrame:
+    """Stop names asked for together with a route that calls at one of the stops so named."""
+    net, index = network(spark, sf), _index(spark, sf)
+    on = net.usable.select(route_key("route_short_name").alias("route"), F.col("stop_id").alias("entity_id")).where("route != ''").distinct()
+    names = index.where("kind = 'stop' and not partial").select(F.col("name").alias("surface"), "entity_id")
+    spans = names.join(on, "entity_id").select("surface", F.lit("stop").alias("role"), F.lit("scheduled_departure").alias("operation"), "route").distinct()
+    return op.resolve(spans, index, "role", "operation", None, "route", on).select("surface", "route", "entity_id", "candidates", "ambiguous")
 
-QUERIES = {f.__name__: f for f in (alias_index, alias_collisions, spacing_groups, name_spans, resolve_spans)}
+
+QUERIES = {f.__name__: f for f in (alias_index, alias_collisions, spacing_groups, incomplete_names, name_spans, resolve_spans, resolve_roles, resolve_on_route)}
 _N = lambda c: NORM.replace("{c}", c)
-_INDEX = SQL + f""", base AS (SELECT DISTINCT * FROM (SELECT {_N('canonical_name')} AS name, stop_id AS entity_id, 'stop' AS kind, mode FROM stops UNION ALL SELECT {_N('hub_name')}, hub_id, 'hub', NULL FROM transport_hubs) WHERE name <> ''),
+_INDEX = SQL + f""", pl AS (SELECT 'PLACE_' || entry_id AS id, canonical_name AS n FROM reviewed_name_aliases_v1 UNION ALL SELECT 'CASE_' || id, name_en FROM chennai_case_study),
+pq AS (SELECT id, n, {_N("split_part(n, ',', 1)")} AS first, CASE WHEN contains(n, ',') THEN {_N("substr(n, strpos(n, ',') + 1)")} ELSE '' END AS rest FROM pl),
+base AS (SELECT DISTINCT * FROM (SELECT {_N('canonical_name')} AS name, stop_id AS entity_id, 'stop' AS kind, mode FROM stops UNION ALL SELECT {_N('hub_name')}, hub_id, 'hub', NULL FROM transport_hubs
+  UNION ALL SELECT {_N('n')}, id, 'place', NULL FROM pq UNION ALL SELECT first, id, 'place', NULL FROM pq WHERE rest IN ('chennai', 'chennai city')) WHERE name <> ''),
+bare AS (SELECT DISTINCT first AS name, id AS entity_id, 'place' AS kind, CAST(NULL AS VARCHAR) AS mode FROM pq WHERE rest NOT IN ('', 'chennai', 'chennai city') AND first <> ''),
 al AS (SELECT {_N('c')} AS name, {_N('a')} AS alias FROM (SELECT canonical_name_en AS c, unnest(aliases) AS a FROM station_aliases UNION ALL SELECT canonical_name, unnest(aliases) FROM reviewed_name_aliases_v1)),
 quals(mode, q) AS (VALUES """ + ", ".join(f"('{m}', '{q}')" for m, qs in op.QUALIFIERS.items() for q in qs) + """),
-idx AS (SELECT DISTINCT * FROM (SELECT * FROM base UNION ALL SELECT al.alias, b.entity_id, b.kind, b.mode FROM base b JOIN al ON al.name = b.name
-  UNION ALL SELECT b.name || ' ' || q.q, b.entity_id, b.kind, b.mode FROM base b JOIN quals q ON q.mode = b.mode WHERE b.kind = 'stop')
-  WHERE name <> '' AND name NOT IN (""" + ", ".join(f"'{g}'" for g in op.GENERIC) + """))
+k1 AS (SELECT DISTINCT * FROM (SELECT * FROM base UNION ALL SELECT al.alias, b.entity_id, b.kind, b.mode FROM base b JOIN al ON al.name = b.name) WHERE name <> ''),
+known AS (SELECT DISTINCT * FROM (SELECT * FROM k1 UNION ALL SELECT replace(name, ' ', ''), entity_id, kind, mode FROM k1)),
+every AS (SELECT DISTINCT * FROM (SELECT * FROM known UNION ALL SELECT b.name || ' ' || q.q, b.entity_id, b.kind, b.mode FROM known b JOIN quals q ON q.mode = b.mode WHERE b.kind = 'stop')),
+listed AS (SELECT DISTINCT name FROM (SELECT name FROM every UNION ALL SELECT replace(name, ' ', '') FROM every)),
+full_index AS (SELECT DISTINCT l.name, e.entity_id, e.kind, e.mode FROM listed l JOIN every e ON replace(l.name, ' ', '') = replace(e.name, ' ', '')),
+half_names AS (SELECT DISTINCT name FROM (SELECT name FROM bare UNION ALL SELECT replace(name, ' ', '') FROM bare)),
+half AS (SELECT DISTINCT l.name, e.entity_id, e.kind, e.mode, true AS partial FROM half_names l JOIN bare e ON replace(l.name, ' ', '') = replace(e.name, ' ', '')),
+idx AS (SELECT DISTINCT * FROM (SELECT *, name IN (SELECT name FROM half_names) AS partial FROM full_index UNION ALL SELECT * FROM half)
+  WHERE name NOT IN (""" + ", ".join(f"'{g}'" for g in op.GENERIC) + """))
+"""
+# Names at each word, the longest first; then the chain of those that begin where the one before has ended.
+_SPANS = _INDEX + f""", w AS (SELECT doc_id, string_split({_N('text')}, ' ') AS w FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, w, unnest(range(len(w))) AS start FROM w),
+r AS (SELECT doc_id, start, n, array_to_string(w[start + 1 : start + n], ' ') AS surface FROM p, range(1, (SELECT max(len(string_split(name, ' '))) FROM idx) + 1) t(n) WHERE start + n <= len(w) AND w[start + 1] IN (SELECT split_part(name, ' ', 1) FROM idx)),
+h AS (SELECT doc_id, start, max(n) AS n, max_by(surface, n) AS surface FROM r WHERE surface IN (SELECT name FROM idx) GROUP BY doc_id, start),
+nxt AS (SELECT a.doc_id, a.start, min(b.start) AS after FROM h a LEFT JOIN h b ON b.doc_id = a.doc_id AND b.start >= a.start + a.n GROUP BY ALL),
+chain AS (WITH RECURSIVE c AS (SELECT doc_id, min(start) AS start FROM h GROUP BY doc_id UNION ALL SELECT c.doc_id, x.after FROM c JOIN nxt x ON x.doc_id = c.doc_id AND x.start = c.start WHERE x.after IS NOT NULL) SELECT * FROM c),
+spans AS (SELECT h.doc_id, CAST(h.start AS INT) AS start, CAST(h.n AS INT) AS words, h.surface FROM chain JOIN h USING (doc_id, start))
 """
+
+
+def _resolved(asked: str, route: str = "0") -> str:
+    """SQL of the rank of candidates: ``asked`` is a table (surface, role, operation, mode, route)."""
+    return rf""", q AS ({asked}),
+c AS (SELECT q.*, i.entity_id, i.kind, i.partial, CASE WHEN i.partial THEN [0, 0, 0] ELSE [
+  CASE WHEN role IN ('landmark', 'locality') THEN CASE kind WHEN 'place' THEN 0 ELSE 1 END WHEN role IN ('station', 'stop') THEN CASE kind WHEN 'stop' THEN 0 END ELSE 0 END,
+  CASE WHEN q.mode <> 'any' AND role NOT IN ('landmark', 'locality') THEN CASE WHEN kind = 'stop' AND i.mode = q.mode THEN 0 WHEN kind = 'place' THEN 1 ELSE 2 END
+    WHEN role IN ('origin', 'destination', 'via') AND operation IN ('point_to_point_route', 'multimodal_route', 'mode_availability') THEN CASE kind WHEN 'hub' THEN 0 ELSE 1 END ELSE 0 END,
+  {route}] END AS rank FROM q JOIN idx i ON i.name = q.surface),
+top AS (SELECT surface, role, operation, mode, route, count(DISTINCT entity_id) AS n, min(entity_id) AS one, max(kind) AS kind, bool_or(partial) AS partial FROM
+  (SELECT *, min(rank) OVER (PARTITION BY surface, role, operation, mode, route) AS best FROM c WHERE rank[1] IS NOT NULL) WHERE rank = best GROUP BY ALL),
+answers AS (SELECT q.*, coalesce(t.n, 0) AS candidates, coalesce(t.partial OR t.n > 1 OR (q.operation = 'nearest_transport' AND q.role IN ('landmark', 'locality') AND t.kind = 'stop'
+    AND NOT regexp_matches(q.surface, '(^|[^\p{{L}}\p{{N}}_])({op.PHYSICAL})($|[^\p{{L}}\p{{N}}_])')), false) AS ambiguous, t.one FROM q LEFT JOIN top t
+  ON t.surface = q.surface AND t.role = q.role AND t.operation = q.operation AND t.mode IS NOT DISTINCT FROM q.mode AND t.route IS NOT DISTINCT FROM q.route)
+"""
+
+
+_ASKED = ", ".join(f"('{r}', '{o}', {repr(m) if m else 'NULL'})" for r, o, m in ASKED)
 ORACLES = {
     "alias_index": _INDEX + "SELECT * FROM idx",
     "alias_collisions": _INDEX + "SELECT name, count(DISTINCT entity_id) AS candidates, count(DISTINCT kind) AS kinds, min(entity_id) AS least_id FROM idx GROUP BY name HAVING count(DISTINCT entity_id) > 1",
     "spacing_groups": _INDEX + "SELECT replace(name, ' ', '') AS key, count(DISTINCT name) AS names, count(DISTINCT entity_id) AS entities FROM idx GROUP BY 1 HAVING count(DISTINCT name) > 1",
-}
+    "incomplete_names": _INDEX + "SELECT name, count(DISTINCT entity_id) AS candidates FROM idx WHERE partial GROUP BY name",
+    "name_spans": _SPANS + "SELECT * FROM spans",
+    "resolve_spans": _SPANS + _resolved("SELECT surface, 'origin' AS role, 'point_to_point_route' AS operation, CAST(NULL AS VARCHAR) AS mode, CAST(NULL AS VARCHAR) AS route, count(*) AS mentions FROM spans GROUP BY surface")
+    + "SELECT surface, CASE WHEN NOT ambiguous THEN one END AS entity_id, candidates, ambiguous, mentions FROM answers",
+    "resolve_roles": _INDEX + _resolved(f"SELECT n.name AS surface, a.role, a.operation, a.mode, CAST(NULL AS VARCHAR) AS route FROM (SELECT DISTINCT name FROM idx) n, (VALUES {_ASKED}) a(role, operation, mode)")
+    + "SELECT surface, role, operation, mode, CASE WHEN NOT ambiguous THEN one END AS entity_id, candidates, ambiguous FROM answers",
+    "resolve_on_route": _INDEX + ", codes AS (SELECT DISTINCT upper(regexp_replace(route_short_name, '[ -]', '', 'g')) AS route, stop_id FROM usable WHERE upper(regexp_replace(route_short_name, '[ -]', '', 'g')) <> '')"
+    + _resolved("SELECT DISTINCT i.name AS surface, 'stop' AS role, 'scheduled_departure' AS operation, CAST(NULL AS VARCHAR) AS mode, k.route FROM idx i JOIN codes k ON k.stop_id = i.entity_id WHERE i.kind = 'stop' AND NOT i.partial",
+                "CASE WHEN EXISTS (SELECT 1 FROM codes k WHERE k.route = q.route AND k.stop_id = i.entity_id) THEN 0 ELSE 1 END")
+    + "SELECT surface, route, CASE WHEN NOT ambiguous THEN one END AS entity_id, candidates, ambiguous FROM answers",
+}

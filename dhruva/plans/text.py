@@ -74,7 +74,7 @@ QUERIES = {
     f.__name__: f for f in (normalize_text, route_keys, ascii_digits, one_edit, word_boundaries, keyword_slots, goal_cues, enum_first_hit, requested_modes, qualified_names)
 }
 _P = "[" + tx.PUNCTUATION.replace("'", "''") + "]+"
-NORM = rf"trim(regexp_replace(regexp_replace(lower(nfc_normalize({{c}})), '{_P}', ' ', 'g'), '[\s\p{{{{Z}}}}]+', ' ', 'g'))".replace("{{Z}}", "{Z}")
+NORM = f"trim(regexp_replace(regexp_replace(lower(nfc_normalize({{c}})), '{_P}', ' ', 'g'), '[{tx.BLANK}]+', ' ', 'g'))"
 NORM_TEXT = NORM.replace("{c}", "text")
 _Q = f"WITH q AS (SELECT DISTINCT id, text, intent, language, split FROM hindi_intents), n AS (SELECT *, {NORM_TEXT} AS t FROM q)\n"
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,17 +103,48 @@ def test_ngrams_of_short_and_null_texts(spark):
 
 
 def test_spans_are_longest_and_do_not_overlap(spark):
-    docs = spark.createDataFrame([(1, "Central Bus Stop, near Lake central"), (2, None), (3, ""), (4, "bus " * 50)], "doc long, body string")
-    index = spark.createDataFrame([("central",), ("central bus",), ("bus stop near",), ("lake central",)], "name string")
-    got = sorted((r["id"], r["start"], r["surface"]) for r in names.name_spans(docs, "doc", "body", index).collect())
-    assert got == [(1, 0, "central bus"), (1, 4, "lake central")]
+    docs = spark.createDataFrame([(1, "Central Bus Stop, near Lake central"), (2, None), (3, ""), (4, "bus " * 50), (5, "kya tiyoguvadi main road bus stop band hai")], "doc long, body string")
+    index = spark.createDataFrame([("central",), ("central bus",), ("bus stop near",), ("lake central",), ("tiyoguvadi main road",), ("tiyoguvadi main road bus stop",), ("tiyoguvadi main road bus stop gate four b",)], "name string")
+    got = sorted((r["id"], r["start"], r["words"], r["surface"]) for r in names.name_spans(docs, "doc", "body", index).collect())
+    assert got == [(1, 0, 2, "central bus"), (1, 4, 2, "lake central"), (5, 1, 5, "tiyoguvadi main road bus stop")]
+    assert names.name_spans(docs, "doc", "body", index.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bound", [500_000, 0])
+def test_spans_equal_brute_force(spark, monkeypatch, bound):
+    monkeypatch.setattr(names, "BROADCAST_NAMES", bound)
+    rnd = random.Random(5)
+    known = {" ".join(rnd.choices("abcd", k=rnd.choice((1, 1, 2, 3, 5, 7)))) for _ in range(60)} - {"a", "b"}
+    texts = [" ".join(rnd.choices("abcdx", k=rnd.randint(0, 40))) for _ in range(200)]
+    want = []
+    for i, t in enumerate(texts):
+        w, at = t.split(), 0
+        while at < len(w):
+            n = next((n for n in range(min(7, len(w) - at), 0, -1) if " ".join(w[at : at + n]) in known), 0)
+            if n:
+                want.append((i, at, n, " ".join(w[at : at + n])))
+            at += n or 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, body string")
+    got = names.name_spans(docs, "doc", "body", spark.createDataFrame([(n,) for n in known], "name string")).collect()
+    assert sorted((r["id"], r["start"], r["words"], r["surface"]) for r in got) == want
 
 
 def test_resolution_keeps_ambiguous_candidates(spark):
-    index = spark.createDataFrame([("x", "S1", "stop", "bus"), ("x", "S2", "stop", "metro"), ("y", "H", "hub", None), ("y", "S3", "stop", "bus")], "name string, entity_id string, kind string, mode string")
-    spans = spark.createDataFrame([("x", None), ("x", "metro"), ("y", None), ("y", "bus")], "surface string, asked string")
-    got = {(r["surface"], r["asked"]): (r["entity_id"], r["candidates"]) for r in names.resolve(spans, index, "asked").collect()}
-    assert got == {("x", None): (None, 2), ("x", "metro"): ("S2", 1), ("y", None): ("H", 1), ("y", "bus"): ("S3", 1)}
+    stops = spark.createDataFrame([("M1", "Guindy", "metro"), ("R1", "Guindy", "suburban_rail"), ("B1", "Guindy", "bus"), ("B2", "Guindy", "bus"), ("B3", "Maple Quay", "bus")], "stop_id string, canonical_name string, mode string")
+    hubs = spark.createDataFrame([("HUB", "Guindy")], "hub_id string, hub_name string")
+    places = spark.createDataFrame([("P1", "Maple Research Institute, Estuary Campus"), ("P2", "Marina Beach, Chennai"), ("P3", "Lake,")], "place_id string, name string")
+    index = names.alias_index(stops, hubs, spark.createDataFrame([("Guindy", "गिंडी")], "canonical_name string, alias string"), places)
+    on = spark.createDataFrame([("29C", "B1"), ("5", "B1"), ("5", "B2")], "route string, entity_id string")
+    ask = [
+        ("guindy", "origin", "point_to_point_route", None, None, "HUB", 1), ("guindy", "origin", "service_frequency", None, None, None, 5), ("guindy", "origin", "point_to_point_route", "metro", None, "M1", 1), ("guindy", "station", "x", None, None, None, 4),
+        ("guindy", "stop", "x", "bus", "29C", "B1", 1), ("guindy", "stop", "x", "bus", "5", None, 2), ("guindy", "stop", "x", "bus", "77", None, 2), ("guindy metro station", "station", "x", None, None, "M1", 1), ("गिंडी", "station", "x", "metro", None, "M1", 1),
+        ("maple research institute", "landmark", "x", None, None, None, 1), ("maple research institute estuary campus", "landmark", "x", None, None, "P1", 1), ("marina beach", "landmark", "x", None, None, "P2", 1), ("marinabeach", "landmark", "x", None, None, "P2", 1),
+        ("maple quay", "landmark", "nearest_transport", None, None, None, 1), ("maple quay bus stop", "landmark", "nearest_transport", None, None, "B3", 1), ("maple quay", "origin", "point_to_point_route", "metro", None, "B3", 1), ("lake", "landmark", "x", None, None, "P3", 1),
+        ("marina beach", "stop", "x", None, None, None, 0), ("guindy", "landmark", "x", "metro", None, None, 5), ("nowhere", "origin", "x", None, None, None, 0), (None, "origin", "x", None, None, None, 0),
+    ]
+    spans = spark.createDataFrame([a[:5] for a in ask], "surface string, role string, operation string, mode string, route string")
+    got = {tuple(r[:5]): (r["entity_id"], r["candidates"]) for r in names.resolve(spans, index, "role", "operation", "mode", "route", on).collect()}
+    assert got == {a[:5]: a[5:] for a in ask}
 
 
 def test_nearest_refuses_many_anchors(spark, monkeypatch):
