@@ -90,14 +90,17 @@ listed AS (SELECT DISTINCT name FROM (SELECT name FROM every UNION ALL SELECT re
 full_index AS (SELECT DISTINCT l.name, e.entity_id, e.kind, e.mode FROM listed l JOIN every e ON replace(l.name, ' ', '') = replace(e.name, ' ', '')),
 half_names AS (SELECT DISTINCT name FROM (SELECT name FROM bare UNION ALL SELECT replace(name, ' ', '') FROM bare)),
 half AS (SELECT DISTINCT l.name, e.entity_id, e.kind, e.mode, true AS partial FROM half_names l JOIN bare e ON replace(l.name, ' ', '') = replace(e.name, ' ', '')),
-idx AS (SELECT DISTINCT * FROM (SELECT *, name IN (SELECT name FROM half_names) AS partial FROM full_index UNION ALL SELECT * FROM half)
+idx AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT *, name IN (SELECT name FROM half_names) AS partial FROM full_index UNION ALL SELECT * FROM half)
   WHERE name NOT IN (""" + ", ".join(f"'{g}'" for g in op.GENERIC) + """))
 """
 # Names at each word, the longest first; then the chain of those that begin where the one before has ended.
-_SPANS = _INDEX + f""", w AS (SELECT doc_id, string_split({_N('text')}, ' ') AS w FROM documents WHERE text IS NOT NULL),
-p AS (SELECT doc_id, w, unnest(range(len(w))) AS start FROM w),
-r AS (SELECT doc_id, start, n, array_to_string(w[start + 1 : start + n], ' ') AS surface FROM p, range(1, (SELECT max(len(string_split(name, ' '))) FROM idx) + 1) t(n) WHERE start + n <= len(w) AND w[start + 1] IN (SELECT split_part(name, ' ', 1) FROM idx)),
-h AS (SELECT doc_id, start, max(n) AS n, max_by(surface, n) AS surface FROM r WHERE surface IN (SELECT name FROM idx) GROUP BY doc_id, start),
+_SPANS = _INDEX + f""", w AS MATERIALIZED (SELECT doc_id, string_split({_N('text')}, ' ') AS w FROM documents WHERE text IS NOT NULL),
+p AS MATERIALIZED (SELECT doc_id, unnest(range(len(w))) AS start, unnest(w) AS x FROM w),
+f AS (SELECT split_part(name, ' ', 1) AS x, max(len(string_split(name, ' '))) AS most FROM idx GROUP BY 1),
+o AS MATERIALIZED (SELECT p.doc_id, p.start, f.most FROM p JOIN f ON f.x = p.x),
+g AS (SELECT doc_id, start, unnest(range(most)) AS k FROM o),
+r AS (SELECT g.doc_id, g.start, g.k + 1 AS n, string_agg(p.x, ' ') OVER (PARTITION BY g.doc_id, g.start ORDER BY g.k) AS surface FROM g JOIN p ON p.doc_id = g.doc_id AND p.start = g.start + g.k),
+h AS MATERIALIZED (SELECT doc_id, start, max(n) AS n, max_by(surface, n) AS surface FROM r WHERE surface IN (SELECT name FROM idx) GROUP BY doc_id, start),
 nxt AS (SELECT a.doc_id, a.start, min(b.start) AS after FROM h a LEFT JOIN h b ON b.doc_id = a.doc_id AND b.start >= a.start + a.n GROUP BY ALL),
 chain AS (WITH RECURSIVE c AS (SELECT doc_id, min(start) AS start FROM h GROUP BY doc_id UNION ALL SELECT c.doc_id, x.after FROM c JOIN nxt x ON x.doc_id = c.doc_id AND x.start = c.start WHERE x.after IS NOT NULL) SELECT * FROM c),
 spans AS (SELECT h.doc_id, CAST(h.start AS INT) AS start, CAST(h.n AS INT) AS words, h.surface FROM chain JOIN h USING (doc_id, start))
