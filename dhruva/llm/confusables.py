@@ -23,7 +23,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,9 +66,15 @@ def _plain_table() -> dict[int, str | None]:
 
 
 @lru_cache(maxsize=1)
-def _to_replace() -> re.Pattern:
-    """Finds a character that the table replaces."""
-    return re.compile("[" + "".join(f"\\U{cp:08x}" for cp in sorted(_plain_table()) if cp < 0xE0000) + "\\U000e0000-\\U000e0fff]")
+def _to_replace() -> str:
+    """The characters that the table replaces, as ranges of a pattern."""
+    ranges: list[list[int]] = []
+    for cp in sorted(_plain_table()):
+        if ranges and ranges[-1][1] == cp - 1:
+            ranges[-1][1] = cp
+        else:
+            ranges.append([cp, cp])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
 
 
 _GAP = r"\s!-/:-@\[-`{-~।॥"
@@ -154,9 +159,9 @@ def use_shapes(shapes: Shapes) -> None:
 
 
 @lru_cache(maxsize=4)
-def _patterns(letters: str) -> tuple[re.Pattern, re.Pattern]:
-    """A letter of a script that has look-alikes of Latin letters, and a token (without blanks or punctuation) with one."""
-    return re.compile(f"[{letters}]"), re.compile(f"[^{_GAP}]*[{letters}][^{_GAP}]*")
+def _patterns(letters: str) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """Anything to be looked at, a letter of a script that has look-alikes of Latin letters, a token (without blanks or punctuation) with one."""
+    return re.compile(f"[{_to_replace()}{letters}]"), re.compile(f"[{letters}]"), re.compile(f"[^{_GAP}]*[{letters}][^{_GAP}]*")
 
 
 def resolved_scripts(token: str) -> set[str] | None:
@@ -189,11 +194,11 @@ def one_form(text: str | None) -> str | None:
     """The consistent form of a text; null stays null, an empty text stays empty."""
     if text is None or text.isascii() and text.isprintable():
         return text
-    if _to_replace().search(text):
+    anything, letter, token = _patterns(shapes_in_use().letters)
+    if anything.search(text):
         text = text.translate(_plain_table())
-    letter, token = _patterns(shapes_in_use().letters)
-    if letter.search(text):
-        text = token.sub(_spell, unicodedata.normalize("NFD", text))
+        if letter.search(text):
+            text = token.sub(_spell, unicodedata.normalize("NFD", text))
     return unicodedata.normalize("NFC", text)
 
 
@@ -245,9 +250,17 @@ def look_alike_classes(items: DataFrame, group: str = "corpus", key: str = "key"
     return members.select("g", "k", "f").distinct().join(sums, ["g", "f"]).select(F.col("g").alias(group), F.col("k").alias(key), "class", "texts", "keys")
 
 
-_NO_WORD = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
+class _Gaps(dict):
+    """Characters to blanks unless they are letters, marks or numbers; filled as characters turn up."""
+
+    def __missing__(self, cp: int) -> int:
+        self[cp] = out = cp if unicodedata.category(chr(cp))[0] in "LMN" else 32
+        return out
+
+
+_GAPS = _Gaps()
 
 
 def words(text: str | None) -> list[str]:
     """Words of a text's consistent form in lower case; anything but letters, marks and numbers counts as a blank."""
-    return _NO_WORD.sub(" ", one_form(text).lower()).split() if text else []
+    return one_form(text).lower().translate(_GAPS).split() if text else []

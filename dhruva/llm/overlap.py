@@ -14,6 +14,7 @@ that share a bucket only make the order and the bounds a little looser, never wr
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,7 @@ BITS = 18
 EPS = 1e-9
 
 
+@lru_cache(maxsize=1 << 16)
 def _word_hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
