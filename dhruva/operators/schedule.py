@@ -1,6 +1,7 @@
 """Timetable operators on service-day clock text (HH:MM:SS, may pass 24:00:00).
 
 Events stand for departures: the user is the trip, the event type the route, the clock is text and is compared as text.
+Direction and stop of a departure are projected from its number and trip.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ MOST_DEPARTURES = 10_000
 def departures(events: DataFrame) -> DataFrame:
     return events.select(
         "event_id", F.col("user_id").alias("trip_id"), F.col("event_type").alias("route_id"), F.to_date("ts").alias("service_day"), F.date_format("ts", "HH:mm:ss").alias("clock"),
-        (F.col("event_id") % 2).cast("int").alias("direction_id"),
+        (F.col("event_id") % 2).cast("int").alias("direction_id"), F.concat(F.lit("STOP_"), (F.col("user_id") % 3).cast("string")).alias("stop_id"),
     )
 
 
@@ -63,12 +64,46 @@ def next_departures(deps: DataFrame, by: list[str], since: str, k: int = 5) -> D
     return deps.where(F.col("clock") >= since).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def headways(deps: DataFrame, by: list[str], most: int = 180) -> DataFrame:
-    """Median of the positive gaps of at most ``most`` minutes between consecutive departures."""
-    w = Window.partitionBy(*by).orderBy("minute", "event_id")
-    rows = deps.withColumn("minute", minutes("clock"))
-    gaps = rows.withColumn("gap", F.col("minute") - F.lag("minute").over(w)).where((F.col("gap") > 0) & (F.col("gap") <= most))
-    return gaps.groupBy(*by).agg(F.median("gap").cast("double").alias("median_headway_minutes"), F.count("*").alias("sample_intervals"))
+#: What a headway is told for: departures of one route in one direction at one stop.
+GROUP = ("route_id", "direction_id", "stop_id")
+AMBIGUOUS = "frequency_direction_or_stop_ambiguous"
+
+
+def headways(deps: DataFrame, by: list[str], since: str | None = None, most: int = 180, window: int = 120) -> DataFrame:
+    """Median of the gaps of at most ``most`` minutes between consecutive departures, told apart by the minute.
+
+    ``since``: only departures in the ``window`` minutes from that clock, by rounded minutes. A group is the set of its
+    minutes, which grows with the length of a service day and not with its rows, so no group is sorted in one task.
+    Groups without a gap have no row.
+    """
+    rows = deps.select(*by, minutes("clock").alias("minute")).where("minute is not null")
+    if since:
+        h, m, s = map(int, since.split(":"))
+        start = h * 60 + m + (s >= 30)
+        rows = rows.where((F.col("minute") >= start) & (F.col("minute") < start + window))
+    times = rows.groupBy(*by).agg(F.array_sort(F.collect_set("minute")).alias("t"))
+    steps = F.expr("case when size(t) > 1 then zip_with(slice(t, 2, size(t) - 1), slice(t, 1, size(t) - 1), (b, a) -> b - a) else cast(array() as array<int>) end")
+    gaps = times.select(*by, F.array_sort(F.filter(steps, lambda g: g <= most)).alias("g")).where("size(g) > 0")
+    middle = F.expr("(g[(size(g) - 1) div 2] + g[size(g) div 2]) / 2.0D")
+    return gaps.select(*by, middle.cast("double").alias("median_headway_minutes"), F.size("g").cast("long").alias("sample_intervals"))
+
+
+def frequency(deps: DataFrame, asked: list[str], since: str | None = None) -> DataFrame:
+    """A headway for each value of ``asked`` columns, told only if all its departures are of one route, direction and stop.
+
+    ``status``: ok, the reason that it is ambiguous, or too_few_departures.
+    """
+    groups = [c for c in GROUP if c not in asked]
+    each = deps.groupBy(*asked).agg(F.count_distinct(F.struct(*GROUP)).alias("groups"))
+    told = headways(deps, [*asked, *groups], since).groupBy(*asked).agg(F.min("median_headway_minutes").alias("median_headway_minutes"), F.min("sample_intervals").alias("sample_intervals"))
+    a, b = each.alias("a"), told.alias("b")
+    same = None
+    for c in asked:
+        cond = F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+        same = cond if same is None else same & cond
+    one = F.col("groups") == 1
+    status = F.when(~one, AMBIGUOUS).when(F.col("sample_intervals").isNull(), "too_few_departures").otherwise("ok")
+    return a.join(b, same, "left").select(*(f"a.{c}" for c in asked), status.alias("status"), F.when(one, F.col("median_headway_minutes")).alias("median_headway_minutes"), F.when(one, F.col("sample_intervals")).alias("sample_intervals"))
 
 
 def reaches(deps: DataFrame, destination: str) -> DataFrame:

@@ -85,6 +85,21 @@ def test_minutes_round_half_up_and_pass_midnight(spark):
 def test_headway_needs_two_departures(spark):
     df = spark.createDataFrame([(1, "r", "08:00:00"), (2, "r", "08:10:00"), (3, "r", "08:30:00"), (4, "r", "23:00:00"), (5, "s", "08:00:00")], "event_id long, route_id string, clock string")
     assert [tuple(r) for r in schedule.headways(df, ["route_id"]).collect()] == [("r", 15.0, 2)]
+    assert schedule.headways(df.limit(0), ["route_id"]).count() == 0
+
+
+def test_headway_of_one_direction_and_stop_only(spark):
+    rows = [("r", 0, "s", "08:00:00"), ("r", 1, "s", "08:10:00"), ("r", 0, "s", "08:20:00"), ("r", 1, "s", "08:30:00"), ("q", 0, "s", "08:00:00"), ("q", 0, "s", "08:12:00"), ("q", 0, "s", "08:12:10"), ("p", 0, "s", "08:00:00"), (None, 0, "s", "09:00:00")]
+    df = spark.createDataFrame(rows, "route_id string, direction_id int, stop_id string, clock string")
+    got = {r["route_id"]: tuple(r)[1:] for r in schedule.frequency(df, ["route_id"]).collect()}
+    assert got == {"r": (schedule.AMBIGUOUS, None, None), "q": ("ok", 12.0, 1), "p": ("too_few_departures", None, None), None: ("too_few_departures", None, None)}
+
+
+def test_headway_window_by_rounded_minutes(spark):
+    rows = [("07:59:29",), ("07:59:30",), ("08:09:00",), ("09:59:29",), ("09:59:30",), (None,)]
+    df = spark.createDataFrame(rows, "clock string").withColumn("r", F.lit(1))
+    # 08:00, 08:09 and 09:59 are in; 07:59 and 10:00 are not.
+    assert [tuple(r) for r in schedule.headways(df, ["r"], "08:00:00").collect()] == [(1, (9 + 110) / 2, 2)]
 
 
 def test_metrics_by_hand(spark):
