@@ -14,13 +14,10 @@ from dhruva.plans import records as plan_records
 from dhruva.plans import topology as plan_topology
 from dhruva.schema import SQL, network, table
 
-_SLOTS = ["origin", "destination", "via", "station", "stop", "landmark", "locality", "route_number", "line_name", "transport_mode", "mode_from", "mode_to", "preference", "timing_type", "time", "temporal_relative", "date",
-          "ticket_type", "fare_type", "stage_number", "service_type", "facility_type", "accessibility_feature"]
-
 
 def forbidden_slots(spark: SparkSession, sf: str) -> DataFrame:
     """Slots per operation that it may not carry."""
-    slots = spark.createDataFrame([(s,) for s in _SLOTS], "slot string")
+    slots = spark.createDataFrame([(s,) for s in contracts.SLOTS], "slot string")
     grid = contracts.allowed_slots(spark).select("operation").distinct().crossJoin(slots)
     return contracts.forbidden(grid)
 
@@ -31,7 +28,8 @@ def contract_violations(spark: SparkSession, sf: str) -> DataFrame:
     values = F.array(
         F.struct(F.lit("route_number").alias("slot"), F.col("route_short_name").alias("value")), F.struct(F.lit("transport_mode").alias("slot"), F.col("mode").alias("value")),
         F.struct(F.lit("origin").alias("slot"), F.col("route_id").alias("value")), F.struct(F.lit("date").alias("slot"), F.date_format("first_seen", "yyyy-MM-dd").alias("value")),
-        F.struct(F.lit("time").alias("slot"), F.date_format("first_seen", "HH:mm").alias("value")),
+        F.struct(F.lit("time").alias("slot"), F.date_format("first_seen", "HH:mm").alias("value")), F.struct(F.lit("mode_from").alias("slot"), F.upper("mode").alias("value")),
+        F.struct(F.lit("line_name").alias("slot"), F.col("route_short_name").alias("value")), F.struct(F.lit("status").alias("slot"), F.col("status").alias("value")),
     )
     rows = r.select(F.explode(values).alias("v")).select("v.*").withColumn("reason", contracts.reason(F.col("slot"), F.col("value")))
     return rows.groupBy("slot", "reason").agg(F.count("*").alias("n"))
@@ -80,12 +78,13 @@ QUERIES = {f.__name__: f for f in (forbidden_slots, contract_violations, route_s
 _ALLOWED = "allowed(operation, slot) AS (VALUES " + ", ".join(f"('{i}', '{s}')" for i, t in contracts.ALLOWED.items() for s in t.split()) + ")"
 _LABEL = "CASE mode " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in display.MODE_LABELS.items()) + " END"
 ORACLES = {
-    "forbidden_slots": f"WITH {_ALLOWED}, s(slot) AS (VALUES " + ", ".join(f"('{s}')" for s in _SLOTS) + """)
+    "forbidden_slots": f"WITH {_ALLOWED}, s(slot) AS (VALUES " + ", ".join(f"('{s}')" for s in contracts.SLOTS) + """)
 SELECT o.operation, s.slot FROM (SELECT DISTINCT operation FROM allowed) o, s EXCEPT SELECT operation, slot FROM allowed""",
     "contract_violations": """WITH r AS (SELECT DISTINCT * FROM transport_routes), v AS (
   SELECT 'route_number' AS slot, CASE WHEN NOT regexp_matches(route_short_name, '^[A-Z0-9][A-Z0-9#-]*$') THEN 'route_code' END AS reason FROM r
   UNION ALL SELECT 'transport_mode', CASE WHEN mode NOT IN ('metro', 'bus', 'suburban_rail', 'mrts', 'any') THEN 'vocabulary' END FROM r
-  UNION ALL SELECT 'origin', CASE WHEN NOT regexp_matches(route_id, '^[A-Z0-9_]+$') THEN 'entity_id' END FROM r UNION ALL SELECT 'date', NULL FROM r UNION ALL SELECT 'time', CASE WHEN first_seen IS NOT NULL THEN 'clock' END FROM r)
+  UNION ALL SELECT 'origin', CASE WHEN NOT regexp_matches(route_id, '^[A-Z0-9_]+$') THEN 'entity_id' END FROM r UNION ALL SELECT 'date', NULL FROM r UNION ALL SELECT 'time', CASE WHEN first_seen IS NOT NULL THEN 'clock' END FROM r
+  UNION ALL SELECT 'mode_from', CASE WHEN mode IS NOT NULL THEN 'vocabulary' END FROM r UNION ALL SELECT 'line_name', CASE WHEN route_short_name IS NOT NULL THEN 'vocabulary' END FROM r UNION ALL SELECT 'status', 'unknown_slot' FROM r)
 SELECT slot, reason, count(*) AS n FROM v GROUP BY ALL""",
     "route_sentences": plan_topology._REQ + f"""SELECT DISTINCT route_id, direction_id, replace(coalesce(route_short_name, '?') || ' (' || {_LABEL} || '): ' || origin || ' → ' || destination || CASE WHEN partial_topology THEN ' [partial]' ELSE '' END, '&', '&amp;') AS sentence FROM full_found""",
     "nearest_by_name": SQL + f""", d AS (SELECT h.hub_id, s.stop_id, s.primary_source_id, lower(trim(s.canonical_name)) AS name, {plan_records._DIST.format(a='h', b='s')} AS metres FROM transport_hubs h, stops s

@@ -183,10 +183,24 @@ def test_masked_mean_and_softmax(spark):
 
 
 def test_contracts(spark):
-    rows = [("origin", "BUS_1"), ("origin", "bus 1"), ("time", "25:00:00"), ("time", "08:00:00"), ("date", "2024-02-30"), ("date", "2024-02-29"), ("stage_number", "31"), ("stage_number", "30"), ("stage_number", "x"), ("transport_mode", "boat"), ("time", None), ("other", "x")]
-    df = spark.createDataFrame(rows, "slot string, value string")
-    got = [r[0] for r in df.select(contracts.reason(F.col("slot"), F.col("value"))).collect()]
-    assert got == [None, "entity_id", "clock", None, "date", None, "stage", None, "stage", "vocabulary", None, None]
+    cases = [
+        ("origin", "BUS_1", None), ("origin", "bus 1", "entity_id"), ("time", "25:00:00", "clock"), ("time", "08:00:00", None), ("date", "2024-02-30", "date"), ("date", "2024-02-29", None), ("stage_number", "31", "stage"), ("stage_number", "30", None),
+        ("stage_number", "x", "stage"), ("transport_mode", "boat", "vocabulary"), ("time", None, None), ("other", "x", "unknown_slot"), (None, "x", "unknown_slot"), ("ticket_type", "smart_card", None), ("ticket_type", "cash", "vocabulary"), ("fare_type", "concession", None),
+        ("fare_type", "free", "vocabulary"), ("service_type", "Night Services", None), ("service_type", "night services", "vocabulary"), ("line_name", "Blue Line", None), ("line_name", "Red Line", "vocabulary"), ("mode_from", "mrts", None), ("mode_to", "tram", "vocabulary"),
+        ("facility_type", "atm", None), ("accessibility_feature", "any", None), ("preference", "direct_only", None), ("timing_type", "never", "vocabulary"), ("temporal_relative", " ", "blank"), ("temporal_relative", "kal", None), ("via", "", "entity_id"),
+    ]
+    df = spark.createDataFrame(cases, "slot string, value string, want string")
+    assert [r[0] for r in df.select(contracts.reason(F.col("slot"), F.col("value"))).collect()] == [c[2] for c in cases]
+
+
+def test_forbidden_slots_by_hand(spark):
+    cases = [
+        ("point_to_point_route", "via", False), ("point_to_point_route", "station", True), ("route_stop_sequence", "stop", True), ("route_stop_membership", "stop", False), ("scheduled_departure", "stop", False), ("service_frequency", "stop", True),
+        ("fare_calculation", "stage_number", False), ("fare_calculation", "via", True), ("nearest_transport", "landmark", False), ("nearest_transport", "origin", True), ("station_facilities", "facility_type", False), ("station_facilities", "accessibility_feature", True),
+        ("interchange_transfer", "mode_to", False), ("mode_availability", "timing_type", True), ("ticketing_and_passes", "fare_type", True), ("realtime_status_query", "time", True), *(("out_of_scope", s, False) for s in contracts.SLOTS), ("unknown", "via", True), ("out_of_scope", "other", True),
+    ]
+    got = {tuple(r) for r in contracts.forbidden(spark.createDataFrame([c[:2] for c in cases], "operation string, slot string")).collect()}
+    assert got == {c[:2] for c in cases if c[2]} and len(contracts.SLOTS) == 23 and len(contracts.ALLOWED) == 16
 
 
 def test_display(spark):
