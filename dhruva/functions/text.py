@@ -15,8 +15,8 @@ PUNCTUATION = "।॥?!,.:;\\-_()\\[\\]{}'\"‘’“”/\\\\"
 BLANK = r"\s\p{Z}\x0b\x1c-\x1f\x{85}"
 # Two notions of a word boundary, both needed: with combining marks as letters, and without.
 MARK_WORD, PLAIN_WORD = r"\p{L}\p{N}\p{M}_", r"\p{L}\p{N}_"
-#: Digits of the scripts in use, zero to nine each (fixed values).
-DIGITS = "०१२३४५६७८९௦௧௨௩௪௫௬௭௮௯０１２３４５６７８９"
+#: Decimal digits of all scripts, each run zero to nine.
+DIGITS = "".join(c for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) == "Nd")
 
 # Mode words (fixed values).
 MODES = {
@@ -28,37 +28,49 @@ MODES = {
 }
 # What a timing question asks for; the first kind with a word in the text wins (fixed values).
 INFORMATION = {
-    "last_service": ("आखिरी", "आख़िरी", "अंतिम", "aakhiri", "aakhri", "akhri", "last"),
-    "first_service": ("पहली", "पहला", "pehli", "pehla", "pehle", "first"),
+    "last_service": ("आखिरी", "अंतिम", "aakhiri", "aakhri", "akhri", "last"),
+    "first_service": ("पहली", "पहला", "सबसे पहले", "pehli", "pehla", "pehle", "first"),
     "frequency": ("अंतराल", "gap", "frequency"),
     "scheduled_departure": ("अगली", "अगला", "next", "agla"),
-    "timetable": ("समय सारणी", "timetable", "शुरू", "बंद", "shuru", "band"),
-    "availability": ("उपलब्ध", "मिलती", "available", "milti", "है क्या", "hai kya"),
+    "timetable": ("समय-सारणी", "समय सारणी", "timetable", "शुरू", "बंद", "shuru", "band"),
+    "availability": ("उपलब्ध", "मिलती", "है क्या", "available", "milti", "hai kya"),
 }
+# Accessibility features (fixed values).
+ACCESSIBILITY = {"wheelchair": ("व्हीलचेयर", "wheelchair"), "lift": ("लिफ्ट", "lift", "एलिवेटर")}
+# Details of a station; the first with a word in the text wins (fixed values).
 STATION_DETAIL = {
-    "nearby_bus": ("बस स्टॉप", "बस अड्डा", "bus stop", "bus stand"),
-    "address": ("पता", "address", "pata"),
+    "nearby_bus": ("बस स्टॉप", "बस अड्डे", "बस अड्डा", "बस स्टेशन", "bus stop", "bus stand", "bus station", "bus terminal"),
+    "address": ("पता", "address"),
     "platforms": ("प्लेटफॉर्म", "platform"),
-    "entry": ("फाटक", "प्रवेश", "phatak", "entry"),
-    "office": ("कार्यालय", "दफ़्तर", "office", "daftar"),
+    "water": ("पीने", "peene"),
+    "office": ("कार्यालय", "office"),
+    "entry": ("प्रवेश", "entry"),
 }
+# Kinds of complaint; the first with a word in the text wins (fixed values).
 COMPLAINT = {
-    "cleanliness": ("सफाई", "गंद", "safai", "gand"),
+    "cleanliness": ("सफाई", "गंदा", "गंदगी", "safai", "ganda", "gandagi"),
     "water": ("पानी", "paani", "pani"),
-    "staff": ("कर्मचारी", "व्यवहार", "staff", "karmchari"),
-    "coach_facility": ("कोच", "खिड़की", "पंखा", "डिब्बा", "coach", "khidki", "pankha", "dibba"),
+    "food": ("भोजन", "खाना", "khana", "food"),
+    "staff": ("कर्मचारी", "व्यवहार", "staff", "behaviour"),
+    "safety": ("सुरक्षा", "safety"),
+    "coach_facility": ("कोच", "खिड़की", "coach", "khidki"),
 }
-# Cues of a goal; each is a pattern between mark-aware word boundaries (fixed values).
+# Cues of the goals of a question; each is a pattern between mark-aware word boundaries. The words are our own choice.
 GOALS = {
-    "first_and_last": "first|last|pehli|aakhri|पहली|आख़िरी|आखिरी",
-    "frequency": "frequency|headway|kitni der|कितनी देर",
-    "departure": "departures?|schedules?|timetables?|kitne baje|कितने बजे",
-    "ticketing": "pass|ticket|token|टिकट|पास|टोकन",
-    "complaint": "shikayat|complaint|शिकायत",
-    "route": "routes?|kaise|jaane|pahunchna|कैसे|जाने|पहुँचना",
-    "availability": "available|chal rahi|chalti|चल रही|चलती",
-    "status": "late|delay|kahan|कहाँ",
-    "information": "pata|kidhar|पता|किधर",
+    "first_and_last_service": "first|last|pehli|pehla|aakhiri|aakhri|पहली|पहला|आखिरी|आख़िरी|अंतिम",
+    "service_frequency": "frequency|headway|how often|kitni der|कितनी देर",
+    "scheduled_departure": "departures?|schedules?|timetables?|kitne baje|कितने बजे",
+    "fare_calculation": "fares?|price|kiraya|kiraye|किराया|किराये",
+    "station_accessibility": "wheelchair|lift|ramp|व्हीलचेयर|लिफ्ट",
+    "station_facilities": "parking|toilet|पार्किंग|शौचालय",
+    "ticketing_and_passes": "pass|ticket|token|टिकट|पास|टोकन",
+    "route_stop_sequence": "all stops|list of stops|stop list|sabhi stop|सभी स्टॉप",
+    "route_stop_membership": "stops? at|rukti|rukta|रुकती|रुकता",
+    "nearest_transport": "nearest|closest|nazdeek|नज़दीक|नजदीक",
+    "interchange_transfer": "transfer|interchange|badalna|बदलना",
+    "realtime_status_query": "live|late|delay|kahan|कहाँ",
+    "point_to_point_route": "routes?|kaise|jaane|pahunchna|कैसे|जाने|पहुँचना",
+    "mode_availability": "available|chal rahi|chalti|चल रही|चलती",
 }
 
 

@@ -5,20 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dhruva.operators.questions import question_slots
+from dhruva.operators.questions import question_slots, with_published
+from dhruva.operators.topology import route_key
 from dhruva.schema import network, table
 from dhruva.session import spread
 
 
 def _slots(spark: SparkSession, sf: str) -> DataFrame:
-    q = spread(table(spark, sf, "hindi_intents").select("id", "text", F.lower(F.trim("intent")).alias("intent")))
-    return q.withColumn("s", question_slots("text")).select("id", "intent", "s.*")
+    q = table(spark, sf, "hindi_intents").select("id", "text", F.lower(F.trim("intent")).alias("intent")).where("id is not null").distinct()
+    codes = network(spark, sf).routes.where("status = 'operational'").select(route_key("route_short_name").alias("code")).where("code != ''")
+    return spread(with_published(q, "id", "text", codes)).withColumn("s", question_slots("text", "published")).select("id", "intent", "s.*")
 
 
 def slot_extract(spark: SparkSession, sf: str) -> DataFrame:
     """All slots of every question."""
-    flat = lambda c: F.array_join(c, ",").alias(c)
-    return _slots(spark, sf).select("id", "intent", "stage_number", "stage_invalid", flat("times"), "route_number", flat("excluded_routes"), flat("modes"), flat("excluded_modes"), "service_type", "day", "preference", "clarification").distinct()
+    rows = _slots(spark, sf)
+    return rows.select(*(F.array_join(c, ",").alias(c) if t.startswith("array") else F.col(c) for c, t in rows.dtypes)).distinct()
+
+
+def question_goals(spark: SparkSession, sf: str) -> DataFrame:
+    """Goals that questions ask for and goals that they deny, per recorded intent."""
+    rows = _slots(spark, sf)
+    each = rows.select("id", "intent", F.explode("goals").alias("goal"), F.lit(True).alias("wanted")).union(rows.select("id", "intent", F.explode("denied_goals"), F.lit(False)))
+    return each.groupBy("intent", "goal", "wanted").agg(F.count_distinct("id").alias("questions"))
 
 
 def route_scope(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,5 +47,5 @@ def answer_status(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("intent", status.alias("status")).agg(F.count_distinct("id").alias("questions"))
 
 
-QUERIES = {f.__name__: f for f in (slot_extract, route_scope, answer_status)}
+QUERIES = {f.__name__: f for f in (slot_extract, question_goals, route_scope, answer_status)}
 ORACLES: dict[str, str] = {}

@@ -46,7 +46,7 @@ def word_boundaries(spark: SparkSession, sf: str) -> DataFrame:
 
 def keyword_slots(spark: SparkSession, sf: str) -> DataFrame:
     rows = _questions(spark, sf).select("id", tx.normalised("text").alias("t"))
-    return rows.select("id", tx.first_kind(F.col("t"), tx.INFORMATION).alias("information_type"), tx.first_kind(F.col("t"), tx.STATION_DETAIL).alias("station_detail"), tx.first_kind(F.col("t"), tx.COMPLAINT).alias("complaint_type")).distinct()
+    return rows.select("id", tx.first_kind(F.col("t"), tx.INFORMATION).alias("information_type"), tx.first_kind(F.col("t"), tx.ACCESSIBILITY).alias("accessibility_feature"), tx.first_kind(F.col("t"), tx.STATION_DETAIL).alias("station_detail"), tx.first_kind(F.col("t"), tx.COMPLAINT).alias("complaint_type")).distinct()
 
 
 def goal_cues(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,11 +98,11 @@ _BARE = rf"regexp_replace(t, '(?:{_RAIL})\s+(?:station|स्टेशन)|(?:me
 ORACLES = {
     "normalize_text": _Q + "SELECT DISTINCT id, t AS normalised FROM n",
     "route_keys": "SELECT DISTINCT route_id, upper(regexp_replace(route_short_name, '[ -]', '', 'g')) AS route_key FROM transport_routes",
-    "ascii_digits": _Q + f"SELECT DISTINCT id, translate(text, '{tx.DIGITS}', '{'0123456789' * 3}') AS text FROM q WHERE regexp_matches(text, '[{tx.DIGITS}]')",
+    "ascii_digits": _Q + f"SELECT DISTINCT id, translate(text, '{tx.DIGITS}', '{'0123456789' * (len(tx.DIGITS) // 10)}') AS text FROM q WHERE regexp_matches(text, '[{tx.DIGITS}]')",
     "one_edit": _Q + """, w AS (SELECT word, count(*) AS times FROM (SELECT unnest(string_split(t, ' ')) AS word FROM n) GROUP BY word)
 SELECT word, k AS near, times FROM w JOIN (VALUES ('local'), ('booking'), ('counter'), ('number'), ('station'), ('token'), ('kitna'), ('khadi')) v(k) ON levenshtein(word, k) = 1 WHERE regexp_matches(word, '^[a-z]{4,}$')""",
     "word_boundaries": _Q + "SELECT " + ", ".join(f"count(*) FILTER ({_word_sql('|'.join(words), m)}) AS {mode}_{'marks' if m else 'plain'}" for mode, words in tx.MODES.items() for m in (True, False)) + " FROM n",
-    "keyword_slots": _Q + f"SELECT DISTINCT id, {_kind_sql(tx.INFORMATION)} AS information_type, {_kind_sql(tx.STATION_DETAIL)} AS station_detail, {_kind_sql(tx.COMPLAINT)} AS complaint_type FROM n",
+    "keyword_slots": _Q + f"SELECT DISTINCT id, {_kind_sql(tx.INFORMATION)} AS information_type, {_kind_sql(tx.ACCESSIBILITY)} AS accessibility_feature, {_kind_sql(tx.STATION_DETAIL)} AS station_detail, {_kind_sql(tx.COMPLAINT)} AS complaint_type FROM n",
     "goal_cues": _Q + "SELECT lower(trim(intent)) AS intent, " + ", ".join(f"count(*) FILTER ({_word_sql(p)}) AS {g}" for g, p in tx.GOALS.items()) + " FROM n GROUP BY 1",
     "enum_first_hit": _Q + f"SELECT {_kind_sql(tx.MODES, True)} AS first_mode, count(*) AS questions FROM n GROUP BY 1",
     "requested_modes": _Q + "SELECT DISTINCT id, CASE WHEN t IS NOT NULL THEN concat_ws(',', " + ", ".join(
