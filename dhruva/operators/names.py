@@ -80,9 +80,11 @@ def collisions(index: DataFrame) -> DataFrame:
     return index.groupBy("name").agg(F.count_distinct("entity_id").alias("candidates"), F.count_distinct("kind").alias("kinds"), F.min("entity_id").alias("least_id")).where("candidates > 1")
 
 
-def name_spans(docs: DataFrame, id_col: str, text: str, names: DataFrame) -> DataFrame:
+def name_spans(docs: DataFrame, id_col: str, text: str, names: DataFrame, around: bool = False) -> DataFrame:
     """Longest non-overlapping names from left to right: ``(id, start, words, surface)``, positions in words.
 
+    ``around``: also ``before``, the word in front (null for none), and ``after``, the three words behind.
+
     At each word that begins a name, runs of up to as many words as the longest name with that beginning has are looked
     up; a fold over the hits of a text, in order of position and then length, drops what overlaps an accepted one.
     Null texts have no names; a text's rows are taken together by id.
@@ -95,16 +97,56 @@ def name_spans(docs: DataFrame, id_col: str, text: str, names: DataFrame) -> Dat
     if count <= BROADCAST_NAMES:
         listed, first = F.broadcast(listed), F.broadcast(first)
     # The words that follow come along, so a text is not carried once per position.
-    window = F.expr(f"transform(w, (x, i) -> named_struct('start', i, 'x', x, 'next', slice(w, i + 1, {longest or 1})))")
+    reach = (longest or 1) + (3 if around else 0)
+    window = F.expr(f"transform(w, (x, i) -> named_struct('start', i, 'x', x, 'before', get(w, i - 1), 'next', slice(w, i + 1, {reach})))")
     places = words.select("id", F.explode(window).alias("p")).select("id", "p.*").join(first, "x")
-    runs = F.expr("transform(sequence(1, least(most, size(next))), n -> named_struct('start', start, 'words', n, 'surface', array_join(slice(next, 1, n), ' ')))")
+    beside = ", 'before', before, 'after', slice(next, n + 1, 3)" if around else ""
+    runs = F.expr(f"transform(sequence(1, least(most, size(next))), n -> named_struct('start', start, 'minus', -n, 'surface', array_join(slice(next, 1, n), ' '){beside}))")
     hits = places.select("id", F.explode(runs).alias("r")).select("id", "r.*").join(listed, "surface", "left_semi")
-    found = hits.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", (-F.col("words")).alias("minus"), "surface"))).alias("h"))
-    fold = """aggregate(h, named_struct('next', 0, 'kept', cast(array() as array<struct<start:int,words:int,surface:string>>)),
-      (s, x) -> if(x.start >= s.next, named_struct('next', x.start - x.minus, 'kept', array_append(s.kept, named_struct('start', x.start, 'words', -x.minus, 'surface', x.surface))), s), s -> s.kept)"""
+    more = ["before", "after"] if around else []
+    found = hits.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "minus", "surface", *more))).alias("h"))
+    kept = "struct<start:int,words:int,surface:string" + (",before:string,after:array<string>>" if around else ">")
+    beside = ", 'before', x.before, 'after', x.after" if around else ""
+    fold = f"""aggregate(h, named_struct('next', 0, 'kept', cast(array() as array<{kept}>)),
+      (s, x) -> if(x.start >= s.next, named_struct('next', x.start - x.minus, 'kept', array_append(s.kept, named_struct('start', x.start, 'words', -x.minus, 'surface', x.surface{beside}))), s), s -> s.kept)"""
     return found.select("id", F.explode(F.expr(fold)).alias("s")).select("id", "s.*")
 
 
+#: Words that give a place its part in a journey (fixed values).
+SOURCE_AFTER, SOURCE_BEFORE = ("से", "se"), ("from",)
+TARGET_AFTER, TARGET_BEFORE = ("तक", "tak"), ("to",)
+VIA_AFTER, VIA_BEFORE = ("होकर", "hokar", "via"), ("via",)
+#: Words that may stand between a name and its marker (fixed values).
+BETWEEN = ("station", "स्टेशन", "metro", "मेट्रो", "railway", "रेलवे", "stop", "स्टॉप")
+
+
+def endpoints(spans: DataFrame) -> DataFrame:
+    """Per text its ``(id, station, origin, destination, via, ambiguous)`` from ``name_spans(.., around=True)``.
+
+    Equal names are one place however often they come, with all parts they are marked for. One place is a station, and
+    an origin or destination if it is marked as such. Of two the one marked as source is the origin, else the first. With
+    more, none is chosen. A place one goes through is no end.
+    """
+    after = F.filter("after", lambda w: ~w.isin(*BETWEEN))
+    nxt, then = F.get(after, 0), F.get(after, 1)
+    via = F.coalesce(F.col("before").isin(*VIA_BEFORE), F.lit(False)) | F.coalesce(nxt.isin(*VIA_AFTER), F.lit(False)) | F.coalesce(nxt.isin(*SOURCE_AFTER) & then.isin(*VIA_AFTER), F.lit(False))
+    source = ~via & (F.coalesce(nxt.isin(*SOURCE_AFTER), F.lit(False)) | F.coalesce(F.col("before").isin(*SOURCE_BEFORE), F.lit(False)))
+    target = ~via & (F.coalesce(nxt.isin(*TARGET_AFTER), F.lit(False)) | F.coalesce(F.col("before").isin(*TARGET_BEFORE), F.lit(False)))
+    each = spans.select("id", "surface", "start", via.alias("v"), source.alias("s"), target.alias("t")).groupBy("id", "surface")
+    each = each.agg(F.min("start").alias("at"), F.bool_and("v").alias("v"), F.bool_or("s").alias("s"), F.bool_or("t").alias("t"))
+    per = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "surface", "s", "t", "v"))).alias("p"))
+    per = per.select("id", F.filter("p", lambda x: ~x["v"]).alias("p"), F.filter("p", lambda x: x["v"]).alias("v"))
+    per = per.withColumn("src", F.filter("p", lambda x: x["s"])).withColumn("n", F.size("p"))
+    first, second = F.get("p", 0), F.get("p", 1)
+    swap = (F.size("src") == 1) & (F.get("src", 0)["at"] == second["at"])
+    origin = F.when((F.col("n") == 1) & first["s"], first["surface"]).when(F.col("n") == 2, F.when(swap, second["surface"]).otherwise(first["surface"]))
+    destination = F.when((F.col("n") == 1) & first["t"], first["surface"]).when(F.col("n") == 2, F.when(swap, first["surface"]).otherwise(second["surface"]))
+    return per.select(
+        "id", F.when(F.col("n") == 1, first["surface"]).alias("station"), origin.alias("origin"), destination.alias("destination"),
+        F.when(F.size("v") == 1, F.get("v", 0)["surface"]).alias("via"), ((F.col("n") > 2) | (F.size("v") > 1)).alias("ambiguous"),
+    )
+
+
 def resolve(spans: DataFrame, index: DataFrame, role: str | None = None, operation: str | None = None, mode: str | None = None, route: str | None = None, on_route: DataFrame | None = None) -> DataFrame:
     """Spans with the entity they mean; null if several remain or the name needs its qualifier.
 

@@ -57,6 +57,25 @@ def resolve_spans(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("surface", "entity_id", "candidates", "ambiguous", "mentions")
 
 
+def _question_places(spark: SparkSession, sf: str, index: DataFrame) -> DataFrame:
+    questions = table(spark, sf, "hindi_intents").select("id", "text").where("id is not null").groupBy("id").agg(F.min("text").alias("text"))
+    return op.endpoints(op.name_spans(questions, "id", "text", index, around=True))
+
+
+def question_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Station, ends and via of each question that names a place."""
+    return _question_places(spark, sf, _index(spark, sf))
+
+
+def question_ends(spark: SparkSession, sf: str) -> DataFrame:
+    """What the ends of journeys in questions mean, counted."""
+    index = _index(spark, sf)
+    places = _question_places(spark, sf, index)
+    roles = F.expr("stack(4, 'station', station, 'origin', origin, 'destination', destination, 'via', via) as (role, surface)")
+    spans = places.select("id", roles).where("surface is not null").groupBy("role", "surface").agg(F.count("*").alias("questions"))
+    return op.resolve(spans, index, "role")
+
+
 def resolve_roles(spark: SparkSession, sf: str) -> DataFrame:
     """What every name means in several roles, with and without an asked mode."""
     index = _index(spark, sf)
@@ -74,7 +93,7 @@ def resolve_on_route(spark: SparkSession, sf: str) -> DataFrame:
     return op.resolve(spans, index, "role", "operation", None, "route", on).select("surface", "route", "entity_id", "candidates", "ambiguous")
 
 
-QUERIES = {f.__name__: f for f in (alias_index, alias_collisions, spacing_groups, incomplete_names, name_spans, resolve_spans, resolve_roles, resolve_on_route)}
+QUERIES = {f.__name__: f for f in (alias_index, alias_collisions, spacing_groups, incomplete_names, name_spans, resolve_spans, question_places, question_ends, resolve_roles, resolve_on_route)}
 _N = lambda c: NORM.replace("{c}", c)
 _INDEX = SQL + f""", pl AS (SELECT 'PLACE_' || entry_id AS id, canonical_name AS n FROM reviewed_name_aliases_v1 UNION ALL SELECT 'CASE_' || id, name_en FROM chennai_case_study),
 pq AS (SELECT id, n, {_N("split_part(n, ',', 1)")} AS first, CASE WHEN contains(n, ',') THEN {_N("substr(n, strpos(n, ',') + 1)")} ELSE '' END AS rest FROM pl),
@@ -93,8 +112,9 @@ half AS (SELECT DISTINCT l.name, e.entity_id, e.kind, e.mode, true AS partial FR
 idx AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT *, name IN (SELECT name FROM half_names) AS partial FROM full_index UNION ALL SELECT * FROM half)
   WHERE name NOT IN (""" + ", ".join(f"'{g}'" for g in op.GENERIC) + """))
 """
-# Names at each word, the longest first; then the chain of those that begin where the one before has ended.
-_SPANS = _INDEX + f""", w AS MATERIALIZED (SELECT doc_id, string_split({_N('text')}, ' ') AS w FROM documents WHERE text IS NOT NULL),
+def _spans(docs: str) -> str:
+    """SQL of the spans of ``docs``, a query of (doc_id, text): names at each word, the longest first; then the chain of those that begin where the one before has ended."""
+    return _INDEX + f""", w AS MATERIALIZED (SELECT doc_id, string_split({_N('text')}, ' ') AS w FROM ({docs}) WHERE text IS NOT NULL),
 p AS MATERIALIZED (SELECT doc_id, unnest(range(len(w))) AS start, unnest(w) AS x FROM w),
 f AS (SELECT split_part(name, ' ', 1) AS x, max(len(string_split(name, ' '))) AS most FROM idx GROUP BY 1),
 o AS MATERIALIZED (SELECT p.doc_id, p.start, f.most FROM p JOIN f ON f.x = p.x),
@@ -107,6 +127,22 @@ spans AS (SELECT h.doc_id, CAST(h.start AS INT) AS start, CAST(h.n AS INT) AS wo
 """
 
 
+_SPANS = _spans("SELECT doc_id, text FROM documents")
+_IN = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
+_PLACES = _spans("SELECT id AS doc_id, min(text) AS text FROM hindi_intents WHERE id IS NOT NULL GROUP BY id") + f""", beside AS (
+  SELECT s.doc_id, s.start, s.surface, b.x AS before, list_filter([a1.x, a2.x, a3.x], lambda x: x IS NOT NULL AND x NOT IN {_IN(op.BETWEEN)}) AS after FROM spans s
+  LEFT JOIN p b ON b.doc_id = s.doc_id AND b.start = s.start - 1 LEFT JOIN p a1 ON a1.doc_id = s.doc_id AND a1.start = s.start + s.words
+  LEFT JOIN p a2 ON a2.doc_id = s.doc_id AND a2.start = s.start + s.words + 1 LEFT JOIN p a3 ON a3.doc_id = s.doc_id AND a3.start = s.start + s.words + 2),
+m AS (SELECT *, coalesce(before IN {_IN(op.VIA_BEFORE)}, false) OR coalesce(after[1] IN {_IN(op.VIA_AFTER)}, false) OR coalesce(after[1] IN {_IN(op.SOURCE_AFTER)} AND after[2] IN {_IN(op.VIA_AFTER)}, false) AS v FROM beside),
+e AS (SELECT doc_id, surface, min(start) AS fst, bool_and(v) AS v, bool_or(NOT v AND (coalesce(after[1] IN {_IN(op.SOURCE_AFTER)}, false) OR coalesce(before IN {_IN(op.SOURCE_BEFORE)}, false))) AS s,
+  bool_or(NOT v AND (coalesce(after[1] IN {_IN(op.TARGET_AFTER)}, false) OR coalesce(before IN {_IN(op.TARGET_BEFORE)}, false))) AS t FROM m GROUP BY doc_id, surface),
+k AS (SELECT doc_id, count(*) FILTER (NOT v) AS n, count(*) FILTER (v) AS nv, count(*) FILTER (s AND NOT v) AS ns, min_by(surface, fst) FILTER (NOT v) AS a, max_by(surface, fst) FILTER (NOT v) AS z, min_by(s, fst) FILTER (NOT v) AS sa,
+  min_by(t, fst) FILTER (NOT v) AS ta, max_by(s, fst) FILTER (NOT v) AS sz, any_value(surface) FILTER (v) AS via FROM e GROUP BY doc_id),
+ends AS (SELECT doc_id AS id, CASE WHEN n = 1 THEN a END AS station, CASE WHEN n = 1 AND sa THEN a WHEN n = 2 AND ns = 1 AND sz THEN z WHEN n = 2 THEN a END AS origin,
+  CASE WHEN n = 1 AND ta THEN a WHEN n = 2 AND ns = 1 AND sz THEN a WHEN n = 2 THEN z END AS destination, CASE WHEN nv = 1 THEN via END AS via, n > 2 OR nv > 1 AS ambiguous FROM k)
+"""
+
+
 def _resolved(asked: str, route: str = "0") -> str:
     """SQL of the rank of candidates: ``asked`` is a table (surface, role, operation, mode, route)."""
     return rf""", q AS ({asked}),
@@ -132,6 +168,10 @@ ORACLES = {
     "name_spans": _SPANS + "SELECT * FROM spans",
     "resolve_spans": _SPANS + _resolved("SELECT surface, 'origin' AS role, 'point_to_point_route' AS operation, CAST(NULL AS VARCHAR) AS mode, CAST(NULL AS VARCHAR) AS route, count(*) AS mentions FROM spans GROUP BY surface")
     + "SELECT surface, CASE WHEN NOT ambiguous THEN one END AS entity_id, candidates, ambiguous, mentions FROM answers",
+    "question_places": _PLACES + "SELECT * FROM ends",
+    "question_ends": _PLACES + _resolved("""SELECT surface, role, 'point_to_point_route' AS operation, CAST(NULL AS VARCHAR) AS mode, CAST(NULL AS VARCHAR) AS route, count(*) AS questions FROM (
+  SELECT 'station' AS role, station AS surface FROM ends UNION ALL SELECT 'origin', origin FROM ends UNION ALL SELECT 'destination', destination FROM ends UNION ALL SELECT 'via', via FROM ends) WHERE surface IS NOT NULL GROUP BY surface, role""")
+    + "SELECT role, surface, questions, CASE WHEN NOT ambiguous THEN one END AS entity_id, candidates, ambiguous FROM answers",
     "resolve_roles": _INDEX + _resolved(f"SELECT n.name AS surface, a.role, a.operation, a.mode, CAST(NULL AS VARCHAR) AS route FROM (SELECT DISTINCT name FROM idx) n, (VALUES {_ASKED}) a(role, operation, mode)")
     + "SELECT surface, role, operation, mode, CASE WHEN NOT ambiguous THEN one END AS entity_id, candidates, ambiguous FROM answers",
     "resolve_on_route": _INDEX + ", codes AS (SELECT DISTINCT upper(regexp_replace(route_short_name, '[ -]', '', 'g')) AS route, stop_id FROM usable WHERE upper(regexp_replace(route_short_name, '[ -]', '', 'g')) <> '')"

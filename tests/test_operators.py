@@ -125,6 +125,19 @@ def test_spans_are_longest_and_do_not_overlap(spark):
     assert names.name_spans(docs, "doc", "body", index.limit(0)).count() == 0
 
 
+def test_ends_of_a_journey(spark):
+    cases = {
+        "guindy se central kaise jaye": (None, "guindy", "central", None, False), "central jaana hai guindy metro station se": (None, "guindy", "central", None, False), "from central to guindy": (None, "central", "guindy", None, False),
+        "guindy central": (None, "guindy", "central", None, False), "guindy se": ("guindy", "guindy", None, None, False), "guindy tak": ("guindy", None, "guindy", None, False), "guindy": ("guindy", None, None, None, False),
+        "guindy se guindy": ("guindy", "guindy", None, None, False), "guindy से central होकर airport": (None, "guindy", "airport", "central", False), "guindy se central se hokar airport": (None, "guindy", "airport", "central", False),
+        "guindy central airport": (None, None, None, None, True), "via guindy via central": (None, None, None, None, True), "nothing here": None, None: None,
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "id long, t string")
+    listed = spark.createDataFrame([("guindy",), ("central",), ("airport",)], "name string")
+    got = {r["id"]: tuple(r)[1:] for r in names.endpoints(names.name_spans(docs, "id", "t", listed, around=True)).collect()}
+    assert got == {i: v for i, v in enumerate(cases.values()) if v}
+
+
 @pytest.mark.parametrize("bound", [500_000, 0])
 def test_spans_equal_brute_force(spark, monkeypatch, bound):
     monkeypatch.setattr(names, "BROADCAST_NAMES", bound)
