@@ -1,37 +1,13 @@
-"""Record-level operators: nearest points, hub expansion, fallbacks, conflicts, quality checks."""
+"""Record-level operators: fallbacks, conflicts, quality checks."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dhruva.operators.proximity import EARTH, usable
-
-#: Query points of a nearest-neighbour search are sent to every executor; more than this are refused.
-MOST_ANCHORS = 10_000
-
-
-def haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
-    """Great-circle metres as a Spark expression."""
-    h = f"pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)"
-    return F.expr(f"2 * {EARTH}D * asin(sqrt(least(1.0D, {h})))")
-
-
-def nearest(anchors: DataFrame, points: DataFrame, k: int = 5) -> DataFrame:
-    """The ``k`` nearest points of each anchor by (distance, id).
-
-    ``anchors(anchor, alat, alon)`` is a stated query set, sent to the executors after its size is checked; every block
-    of points is ranked against it where it lies and only its best k per anchor are shuffled.
-    """
-    if anchors.limit(MOST_ANCHORS + 1).count() > MOST_ANCHORS:
-        raise ValueError(f"nearest takes at most {MOST_ANCHORS} anchors")
-    rows = points.where(usable("lat", "lon")).crossJoin(F.broadcast(anchors.where(usable("alat", "alon"))))
-    rows = rows.withColumn("metres", haversine("alat", "alon", "lat", "lon"))
-    w = Window.partitionBy("anchor").orderBy("metres", "id")
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
+from dhruva.operators.proximity import great_circle
 
 def first_of(parts: list[tuple[str, DataFrame]], key: str) -> DataFrame:
     """Union of candidates by source, keeping for each key those of the first source that has any."""
@@ -46,7 +22,7 @@ def conflicting(rows: DataFrame, metres: float) -> DataFrame:
     A semi join on the name: it stops at the first conflict of a row and makes no pairs.
     """
     other = rows.select(F.col("name").alias("n"), F.col("source").alias("s"), F.col("lat").alias("y"), F.col("lon").alias("x")).distinct()
-    far = haversine("lat", "lon", "y", "x") > metres
+    far = great_circle("lat", "lon", "y", "x") > metres
     return rows.join(other, (F.col("name") == F.col("n")) & (F.col("source") != F.col("s")) & far, "left_semi")
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from dhruva.functions import display
 from dhruva.operators import contracts, metrics
-from dhruva.operators import records as rec
 from dhruva.operators import topology as top
+from dhruva.operators.proximity import nearest
 from dhruva.plans import evaluation as ev
 from dhruva.plans import records as plan_records
 from dhruva.plans import topology as plan_topology
@@ -47,7 +47,7 @@ def nearest_by_name(spark: SparkSession, sf: str) -> DataFrame:
     net = network(spark, sf)
     anchors = net.hubs.select(F.col("hub_id").alias("anchor"), F.col("latitude").alias("alat"), F.col("longitude").alias("alon"))
     points = plan_records._points(net.stops).where("trim(canonical_name) != ''")
-    near = rec.nearest(anchors, points, 10)
+    near = nearest(anchors, points, 10)
     first = near.groupBy("anchor", F.lower(F.trim("canonical_name")).alias("name")).agg(F.min_by(F.struct("id", "primary_source_id", "metres"), F.struct("metres", "id")).alias("s")).select("anchor", "name", "s.*")
     order = [(F.col("primary_source_id") != "SYN_FEED").cast("int"), "metres", "id"]
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("anchor").orderBy(*order))).where("rank <= 3")

@@ -175,13 +175,6 @@ def test_resolution_keeps_ambiguous_candidates(spark):
     assert got == {a[:5]: a[5:] for a in ask}
 
 
-def test_nearest_refuses_many_anchors(spark, monkeypatch):
-    monkeypatch.setattr(records, "MOST_ANCHORS", 1)
-    two = spark.createDataFrame([("a", 1.0, 1.0), ("b", 1.0, 1.0)], "anchor string, alat double, alon double")
-    with pytest.raises(ValueError):
-        records.nearest(two, spark.createDataFrame([], "id string, lat double, lon double"))
-
-
 def test_templates(spark):
     t = spark.createDataFrame([("l", 0, "{origin} to {destination}")], "label string, family int, template string")
     n = spark.createDataFrame([("A",), ("B",)], "name string")

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from dhruva.operators import proximity
-from dhruva.operators.proximity import Quadtree, RTree, haversine, pairs_within
+from dhruva.operators.proximity import Quadtree, RTree, haversine, in_regions, nearest, pairs_within
 
 SCHEMA = "stop_id string, latitude double, longitude double, lat string, id string"
 
@@ -64,3 +64,42 @@ def test_rtree_probe():
     y, x = rnd.uniform(0, 1, 2_000), rnd.uniform(0, 1, 2_000)
     q, p = RTree(y, x).probe(np.array([0.2]), np.array([0.3]), np.array([0.5]), np.array([0.7]))
     assert set(p) == set(np.flatnonzero((y >= 0.2) & (y <= 0.3) & (x >= 0.5) & (x <= 0.7)))
+
+
+@pytest.mark.parametrize("sample, cell", [(20_000, 4_000), (60, 5)])
+def test_nearest_equals_brute_force(spark, monkeypatch, sample, cell):
+    monkeypatch.setattr(proximity, "SAMPLE", sample)
+    monkeypatch.setattr(proximity, "CELL", cell)
+    rnd = random.Random(sample)
+    points = [(f"P{i:04d}", 13 + rnd.gauss(0, 0.05), 80 + rnd.gauss(0, 0.05), "x") for i in range(700)] + [(f"Q{i}", 13.0, 80.0, "x") for i in range(8)]
+    points += [("D1", 0.5, 179.99, "x"), ("D2", 0.5, -179.99, "x"), ("N", 89.9, 10.0, "x"), ("N2", 89.9, -170.0, "x"), ("bad", None, 80.0, "x"), ("zero", 0.0, 0.0, "x")]
+    anchors = [("a", 13.0, 80.0), ("b", 12.5, 80.2), ("c", 0.5, 180.0), ("d", 90.0, 0.0), ("d", 90.0, 0.0), ("e", None, 1.0), (None, 13.1, 80.1)]
+    got = nearest(spark.createDataFrame(anchors, "anchor string, alat double, alon double"), spark.createDataFrame(points, "id string, lat double, lon double, leaf string").drop("leaf"), 6)
+    want = set()
+    for a, y, x in set(anchors):
+        if y is not None:
+            near = sorted((float(haversine(y, x, p[1], p[2])), p[0]) for p in points if p[1] is not None and p[0] != "zero")
+            want |= {(a, i, n) for n, (_, i) in enumerate(near[:6], 1)}
+    assert {(r["anchor"], r["id"], r["rank"]) for r in got.collect()} == want
+    assert nearest(spark.createDataFrame(anchors, "anchor string, alat double, alon double"), spark.createDataFrame([], "id string, lat double, lon double")).count() == 0
+
+
+@pytest.mark.parametrize("cell", [4_000, 5])
+def test_regions_equal_brute_force(spark, monkeypatch, cell):
+    monkeypatch.setattr(proximity, "CELL", cell)
+    rnd = random.Random(cell)
+    points = [(f"P{i}", rnd.uniform(-10, 10), rnd.uniform(-10, 10)) for i in range(600)] + [("E", 5.0, 179.5), ("W", 5.0, -179.5), (None, 1.0, 1.0), ("X", None, 1.0), ("P0", 1.0, 1.0)]
+    star = [(9, 0), (2, 2), (0, 9), (-2, 2), (-9, 0), (-2, -2), (0, -9), (2, -2)]
+    rings = {"star": star, "box": [(-6, -6), (-6, 6), (6, 6), (6, -6)], "line": [(0, 0), (5, 5)], "over": [(0, 179), (0, 181), (10, 181), (10, 179)], "none": None}
+    floats = lambda ring: ring and [p and (float(p[0]), float(p[1])) for p in ring]
+    given = [(k, floats(r)) for k, r in (*rings.items(), ("hole", [(0, 0), None, (1, 1)]))]
+    got = in_regions(spark.createDataFrame(points, "id string, lat double, lon double"), spark.createDataFrame(given, "region_id string, ring array<struct<lat:double,lon:double>>"))
+
+    def inside(y, x, ring):
+        hits = 0
+        for (a, c), (b, d) in zip(ring, ring[1:] + ring[:1]):
+            hits += (a > y) != (b > y) and x < (d - c) * (y - a) / (b - a) + c
+        return hits % 2 == 1
+
+    want = {(i, k) for i, y, x in points if i and y is not None for k, ring in rings.items() if ring and len(ring) > 2 and any(inside(y, x + t, ring) for t in (-360, 0, 360))}
+    assert {tuple(r) for r in got.collect()} == want and {("E", "over"), ("W", "over")} <= want
