@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dhruva.session import materialise
+
 
 def id_key(column: Column | str) -> Column:
     """Ids compare without letter case and surrounding blanks; null and blank ids are no reference."""
@@ -55,8 +57,9 @@ def orphan_references(refs: DataFrame, parents: Mapping[str, Parent]) -> DataFra
     null or not a known table is an orphan. Null keys are no references. Repeated rows are all returned.
 
     Distinct keys with their first and last moment (a map-side aggregate, so a hot key is one row) are anti-joined
-    with the parents' keys: keys without any record and keys that a single lifetime does not cover remain. Only
-    rows of the remaining keys are looked at again, by a join whose Bloom filter keeps other rows from the shuffle.
+    with the parents' keys: keys without any record and keys that a single lifetime does not cover remain. They are
+    written once; only rows of these keys are looked at again. While the written table is small enough for Spark to send
+    it to the executors (its own bound on the size of files), rows are not shuffled at all.
     """
     refs = refs.where("key is not null")
     lives = _lifetimes(parents)
@@ -67,6 +70,7 @@ def orphan_references(refs: DataFrame, parents: Mapping[str, Parent]) -> DataFra
     doubtful = doubtful.join(lives.select("parent", "key", "lives"), ["parent", "key"], "left").select(
         F.col("parent").alias("__p"), F.col("key").alias("__k"), F.col("lives").alias("__lives")
     )
+    doubtful = materialise(doubtful, "doubtful")
     alive = F.exists("__lives", lambda x: F.col("at").isNull() | ((x["since"] <= F.col("at")) & (F.col("at") < x["until"])))
     rows = refs.join(doubtful, F.col("parent").eqNullSafe(F.col("__p")) & (F.col("key") == F.col("__k")))
     return rows.where(F.col("__lives").isNull() | ~alive).drop("__p", "__k", "__lives")
