@@ -1,16 +1,15 @@
 import itertools
-import math
 import random
-from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from dhruva.llm import canonical_names
-from dhruva.llm.canonical_names import NOISE, THRESHOLD, TIE, _vocabulary, map_values, osa, osa_many, skeleton, soft_tfidf, spellings, typed_words
+from dhruva.llm.canonical_names import _vocabulary, map_values, osa, osa_many, skeleton
 from dhruva.llm.grouped_splits import assign_splits, components, family_key
 from dhruva.llm.mixing import _fill, choose, mix_sources
 from dhruva.llm.overlap import split_name
+from tests.llm.brute import all_scores
 
 RATIOS = {"train": 0.7, "validation": 0.12, "test": 0.18}
 
@@ -113,46 +112,6 @@ def test_entries_are_ranked_without_their_rarest_word(spark):
     assert got == want
 
 
-def _all_scores(values, forms, entries):
-    """Every value against every entry, without signatures, look-ups or bounds."""
-    by_entry, words = {}, defaultdict(list)
-    for r in entries:
-        words[r["entry_id"]].append((r["worth"], r["word"]))
-    top = math.log(1 + len(words))
-    edits = lambda f: (0 if len(f.lstrip("~")) < 4 else 1 if len(f.lstrip("~")) < 6 else 2)
-    for v in values:
-        typed = typed_words(v)
-        hits = defaultdict(float)
-        for i, w in enumerate(typed):
-            for width, unit in [(1, u) for u in spellings(w)] + ([(2, skeleton(w + typed[i + 1]))] if i + 1 < len(typed) else []):
-                for r in forms:
-                    f, kind = r["form"], r["kind"]
-                    if kind == "short" and unit == f:
-                        sim = 0.95
-                    elif kind == "code" and unit == skeleton(w) and len(typed) == 1 and w == f:
-                        sim = 1.0
-                    elif kind in ("word", "common", "glued") and f and (d := osa(unit, f, 2)) <= (min(1, edits(f)) if kind == "glued" else edits(f)):
-                        sim = 1 - d / (2 * len(f))
-                    else:
-                        continue
-                    if (width == 1 or kind == "word") and (kind != "glued" or width == 1):
-                        k = (i, width, r["word"], kind, r["worth"], r["entry_id"])
-                        hits[k] = max(hits[k], sim)
-        spelt = [(p, n, w, k in ("common", "short"), x, sim) for (p, n, w, k, x, _), sim in hits.items() if w]
-        free = [(i, w in NOISE or w.isdecimal() and len(w) < 3) for i, w in enumerate(typed)]
-        scored = defaultdict(list)
-        for e, own in words.items():
-            scored[e].append(soft_tfidf(own, spelt, free, top))
-        for (_, _, _, k, _, e), sim in hits.items():
-            if k == "glued" or k == "code":
-                scored[e].append((sim, 0.0, True))
-        found = sorted((max(x for x in s if x[0] >= THRESHOLD), e) for e, s in scored.items() if any(x[0] >= THRESHOLD for x in s))
-        best = found[-1][0] if found else None
-        fits = [e for x, e in found if x[0] >= best[0] - TIE or not best[2] and x[1] >= best[1] - TIE]
-        by_entry[v] = (found[-1][1] if len(fits) == 1 else None, len(fits))
-    return by_entry
-
-
 @pytest.mark.parametrize("bound", [1_000_000, 0])
 def test_map_values_equals_brute_force(spark, monkeypatch, bound):
     monkeypatch.setattr(canonical_names, "BROADCAST_ROWS", bound)
@@ -174,7 +133,7 @@ def test_map_values_equals_brute_force(spark, monkeypatch, bound):
         values.add(" ".join(w[: rnd.randint(1, len(w))] + rnd.sample([*pool, "near", "7"], rnd.choice((0, 0, 1)))))
     got = {r["value"]: (r["entry_id"], r["fits"]) for r in map_values(spark.createDataFrame([(v,) for v in values], "value string"), ref).collect()}
     forms, entries = _vocabulary(ref, "entry_id", "canonical_name", "aliases")
-    want = _all_scores(values, forms.collect(), entries.collect())
+    want = all_scores(values, forms.collect(), entries.collect())
     assert got == want and sum(e is not None for e, _ in want.values()) > 50 and any(n > 1 for _, n in want.values())
 
 
