@@ -13,7 +13,7 @@ def label(c: Column | str, names: dict[str, str] = MODE_LABELS) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     plain = F.replace(c, F.lit("_"), F.lit(" "))
     known = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
-    return F.coalesce(F.try_element_at(known, c), F.concat(F.upper(F.substring(plain, 1, 1)), F.substring(plain, 2, 1_000_000)))
+    return F.coalesce(F.try_element_at(known, c), F.concat(F.upper(F.substring(plain, 1, 1)), F.substr(plain, F.lit(2))))
 
 
 def html(c: Column | str) -> Column:
@@ -33,3 +33,8 @@ def route_sentence(code: str, mode: str, start: str, end: str, partial: str) ->
     """One line about a route; says so where its topology is incomplete."""
     text = F.format_string("%s (%s): %s → %s", F.coalesce(code, F.lit("?")), label(mode), F.coalesce(start, F.lit("?")), F.coalesce(end, F.lit("?")))
     return F.concat(text, F.when(F.col(partial), " [partial]").otherwise(""))
+
+
+def canonical_json(**fields: Column) -> Column:
+    """One JSON text per record whatever the order of its fields: names sorted, nulls written, no blanks."""
+    return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"})

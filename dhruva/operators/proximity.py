@@ -188,9 +188,11 @@ def _home(tree) -> F.Column:
     return home("lat", "lon")
 
 
-def nearest(anchors: DataFrame, points: DataFrame, k: int = 5) -> DataFrame:
+def nearest(anchors: DataFrame, points: DataFrame, k: int = 5, whole_metres: bool = False) -> DataFrame:
     """The ``k`` nearest points of each anchor: ``points(id, lat, lon, ..)`` with ``anchor, alat, alon, metres, rank``, ties by id.
 
+    ``whole_metres``: distances are compared in whole metres (half to even).
+
     The k-th distance of an anchor to a bounded sample of the points can only be too large, so its cells of the quadtree
     within that distance hold all it looks for; only points of these cells meet it. Unusable positions take no part;
     fewer than k points are all returned; repeated anchors count once.
@@ -209,7 +211,7 @@ def nearest(anchors: DataFrame, points: DataFrame, k: int = 5) -> DataFrame:
                 part = pdf.iloc[start : start + 128]
                 y, x = part["alat"].to_numpy(), part["alon"].to_numpy()
                 if len(lat) >= k:
-                    r = np.partition(haversine(y[:, None], x[:, None], lat[None, :], lon[None, :]), k - 1, axis=1)[:, k - 1] * (1 + 1e-9) + 1e-3
+                    r = np.partition(haversine(y[:, None], x[:, None], lat[None, :], lon[None, :]), k - 1, axis=1)[:, k - 1] * (1 + 1e-9) + (1.001 if whole_metres else 1e-3)
                 else:
                     r = np.full(len(part), 2 * np.pi * EARTH)
                 dlat, dlon = reach(y, r)
@@ -219,7 +221,7 @@ def nearest(anchors: DataFrame, points: DataFrame, k: int = 5) -> DataFrame:
     schema = T.StructType([*asked.schema, T.StructField("most", T.DoubleType()), T.StructField("leaf", T.LongType())])
     cells = materialise(asked.mapInPandas(ask, schema), "anchors")
     met = known.withColumn("leaf", _home(only_tree)).join(cells, "leaf").withColumn("metres", great_circle("alat", "alon", "lat", "lon")).where("metres <= most")
-    w = Window.partitionBy("anchor", "alat", "alon").orderBy("metres", "id")
+    w = Window.partitionBy("anchor", "alat", "alon").orderBy(F.bround("metres") if whole_metres else "metres", "id")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("leaf", "most")
 
 

@@ -62,15 +62,26 @@ def guidance_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def best_epoch(spark: SparkSession, sf: str) -> DataFrame:
-    """Earliest best of several runs by macro F1: here the language and split where the keyword rules do best."""
-    runs = ev.metrics_by_language(spark, sf).where("language is not null and split is not null").withColumn("epoch", F.row_number().over(Window.orderBy("language", "split")))
-    return metrics.earliest_best(runs, "epoch", "macro_f1").select("language", "split", "macro_f1")
+    """Earliest best by macro F1 on validation; an epoch here is the rule classifier with one rule more."""
+    rows = ev._scored(spark, sf).where("split = 'validation'")
+    names = list(ev.RULES)
+    upto = F.explode(F.sequence(F.lit(1), F.lit(len(names)))).alias("epoch")
+    order = F.array_position(F.array(*map(F.lit, names)), F.col("predicted")).cast("int")
+    known = rows.select("expected", order.alias("o"), "predicted", upto).select("epoch", "expected", F.when((F.col("o") > 0) & (F.col("o") <= F.col("epoch")), F.col("predicted")).otherwise("none").alias("predicted"))
+    runs = metrics.accuracy(known, ev.LABELS, ["epoch"])
+    return metrics.earliest_best(runs.withColumn("score", F.round("macro_f1", 9)), "epoch", "score").select("epoch", "n", F.round("macro_f1", 6).alias("macro_f1"))
 
 
 def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    """Two classifiers on the same questions: the keyword rules and the label in the id."""
-    rows = ev._scored(spark, sf).select("id", "expected", F.col("predicted").alias("rules"), F.regexp_extract("id", r"^([a-z_]+?)_\d", 1).alias("by_id"))
-    long = rows.select("id", "expected", F.explode(F.create_map(F.lit("rules"), "rules", F.lit("by_id"), "by_id")).alias("model", "predicted"))
+    """Two classifiers on the test questions: the keyword rules, and words that vote for the intent they most often have in training."""
+    rows = ev._scored(spark, sf).select("id", "expected", "split", "t", F.col("predicted").alias("rules")).distinct()
+    words = rows.select("id", "expected", "split", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("word"))
+    seen = words.where("split = 'train'").groupBy("word", "expected").agg(F.count("*").alias("n"))
+    votes = seen.groupBy("word").agg(F.min_by("expected", F.struct(-F.col("n"), "expected")).alias("vote"))
+    tally = words.where("split = 'test'").join(votes, "word").groupBy("id", "t", "vote").agg(F.count("*").alias("n"))
+    chosen = tally.groupBy("id", "t").agg(F.min_by("vote", F.struct(-F.col("n"), "vote")).alias("words"))
+    test = rows.where("split = 'test'").join(chosen, ["id", "t"], "left")
+    long = test.select("expected", F.explode(F.create_map(F.lit("rules"), "rules", F.lit("words"), F.coalesce("words", F.lit("none")))).alias("model", "predicted"))
     return long.groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg((F.col("predicted") == F.col("expected")).cast("double")), 6).alias("accuracy"))
 
 
@@ -92,7 +103,16 @@ SELECT slot, reason, count(*) AS n FROM v GROUP BY ALL""",
 t AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY hub_id ORDER BY metres, stop_id) <= 10), f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY hub_id, name ORDER BY metres, stop_id) = 1)
 SELECT hub_id, name, stop_id, CAST(row_number() OVER (PARTITION BY hub_id ORDER BY CAST(primary_source_id <> 'SYN_FEED' AS INT), metres, stop_id) AS INT) AS rank FROM f QUALIFY rank <= 3""",
     "guidance_match": "SELECT DISTINCT c.id, r.entry_id FROM (SELECT id, unnest(aliases) AS name FROM chennai_case_study) c JOIN reviewed_name_aliases_v1 r ON r.canonical_name = c.name",
-    "best_epoch": f"SELECT language, split, macro_f1 FROM ({ev.ORACLES['metrics_by_language']}) WHERE language IS NOT NULL AND split IS NOT NULL ORDER BY macro_f1 DESC, language, split LIMIT 1",
-    "model_comparison": ev._Q + r""", m AS (SELECT 'rules' AS model, expected, predicted FROM s UNION ALL SELECT 'by_id', expected, regexp_extract(id, '^([a-z_]+?)_\d', 1) FROM s)
-SELECT model, count(*) AS n, round(avg(CAST(predicted = expected AS INT)), 6) AS accuracy FROM m GROUP BY model""",
+    "best_epoch": ev._Q + f""", e AS (SELECT k.epoch, s.expected, CASE WHEN list_position(names, s.predicted) BETWEEN 1 AND k.epoch THEN s.predicted ELSE 'none' END AS predicted
+  FROM s, (SELECT unnest(range(1, {len(ev.RULES) + 1})) AS epoch, {list(ev.RULES)} AS names) k WHERE s.split = 'validation'),
+x AS (SELECT epoch, expected AS label, 1 AS e, 0 AS g, CAST(expected = predicted AS INT) AS hit FROM e UNION ALL SELECT epoch, predicted, 0, 1, 0 FROM e),
+u AS (SELECT epoch, label, sum(hit) AS tp, sum(e) AS support, sum(g) AS given FROM x WHERE label IN (SELECT label FROM labels) GROUP BY ALL),
+v AS (SELECT *, CASE WHEN given > 0 THEN tp / given ELSE 0 END AS p, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS r FROM u), m AS (SELECT epoch, avg({ev._F1}) AS macro_f1 FROM v GROUP BY epoch)
+SELECT CAST(m.epoch AS INT) AS epoch, (SELECT count(*) FROM s WHERE split = 'validation') AS n, round(macro_f1, 6) AS macro_f1 FROM m ORDER BY round(macro_f1, 9) DESC, m.epoch LIMIT 1""",
+    "model_comparison": ev._Q + """, d AS (SELECT DISTINCT id, expected, split, t, predicted AS rules FROM s), w AS (SELECT id, expected, split, t, unnest(list_distinct(string_split(t, ' '))) AS word FROM d),
+seen AS (SELECT word, expected, count(*) AS n FROM w WHERE split = 'train' GROUP BY ALL), votes AS (SELECT word, expected AS vote FROM seen QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, expected) = 1),
+tally AS (SELECT w.id, w.t, v.vote, count(*) AS n FROM w JOIN votes v ON v.word = w.word WHERE w.split = 'test' GROUP BY ALL), c AS (SELECT id, t, vote FROM tally QUALIFY row_number() OVER (PARTITION BY id, t ORDER BY n DESC, vote) = 1),
+m AS (SELECT d.expected, d.rules, coalesce(c.vote, 'none') AS words FROM d LEFT JOIN c ON c.id = d.id AND c.t = d.t WHERE d.split = 'test'),
+l AS (SELECT 'rules' AS model, expected, rules AS predicted FROM m UNION ALL SELECT 'words', expected, words FROM m)
+SELECT model, count(*) AS n, round(avg(CAST(predicted = expected AS INT)), 6) AS accuracy FROM l GROUP BY model""",
 }

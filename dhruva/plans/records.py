@@ -19,7 +19,7 @@ def nearest_stops(spark: SparkSession, sf: str) -> DataFrame:
     net = network(spark, sf)
     anchors = net.hubs.select(F.col("hub_id").alias("anchor"), F.col("latitude").alias("alat"), F.col("longitude").alias("alon"))
     trusted = _points(net.stops.where("inside_cma = 1")).where("mode = 'bus' or primary_source_id in ('SYN_METRO', 'SYN_BOARD')")
-    near = nearest(anchors, trusted)
+    near = nearest(anchors, trusted, whole_metres=True)
     return near.select(F.col("anchor").alias("hub_id"), "rank", F.col("id").alias("stop_id"), "mode", F.bround("metres").cast("long").alias("distance_m"))
 
 
@@ -151,7 +151,7 @@ _CHECKS = {
 }
 ORACLES = {
     "nearest_stops": SQL + f"""SELECT hub_id, CAST(rank AS INT) AS rank, stop_id, mode, CAST(round_even(metres, 0) AS BIGINT) AS distance_m FROM (
-  SELECT h.hub_id, s.stop_id, s.mode, {_DIST.format(a='h', b='s')} AS metres, row_number() OVER (PARTITION BY h.hub_id ORDER BY {_DIST.format(a='h', b='s')}, s.stop_id) AS rank
+  SELECT h.hub_id, s.stop_id, s.mode, {_DIST.format(a='h', b='s')} AS metres, row_number() OVER (PARTITION BY h.hub_id ORDER BY round_even({_DIST.format(a='h', b='s')}, 0), s.stop_id) AS rank
   FROM transport_hubs h, stops s WHERE {_OK.format(a='h')} AND {_OK.format(a='s')} AND s.inside_cma = 1 AND (s.mode = 'bus' OR s.primary_source_id IN ('SYN_METRO', 'SYN_BOARD'))) WHERE rank <= 5""",
     "coordinate_conflicts": SQL + f""", p AS (SELECT *, lower(trim(canonical_name)) AS name FROM stops s WHERE {_OK.format(a='s')} AND trim(canonical_name) <> '')
 SELECT stop_id, name FROM p a WHERE EXISTS (SELECT 1 FROM p b WHERE b.name = a.name AND b.primary_source_id <> a.primary_source_id AND {_DIST.format(a='a', b='b')} > 300)""",

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,10 +75,43 @@ def write_markdown(df: DataFrame, path: str, title: str) -> None:
     part.replace(to)
 
 
+#: Bytes of a file that are held at a time while it is digested.
+CHUNK = 1 << 20
+
+
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """Name, length and SHA-256 of each file below a path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+    """Name, length and SHA-256 of each file below a path; files are streamed, never held whole."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for name in pdf["path"]:
+                fs, inner = FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                digest = hashlib.sha256()
+                with fs.open_input_stream(inner) as stream:
+                    while chunk := stream.read(CHUNK):
+                        digest.update(chunk)
+                found.append(digest.hexdigest())
+            yield pd.DataFrame({"file": pdf["path"].str.rsplit("/", n=1).str[-1], "length": pdf["length"], "sha256": found})
+
+    return files.mapInPandas(run, "file string, length long, sha256 string")
+
+
+def install(source: str, target: str, sha256: str) -> None:
+    """Copy a local file next to its place, check its digest and only then move it there; a wrong one leaves nothing behind."""
+    to = Path(target)
+    part, digest = to.with_name(to.name + ".part"), hashlib.sha256()
+    try:
+        with open(source, "rb") as src, open(part, "wb") as dst:
+            while chunk := src.read(CHUNK):
+                digest.update(chunk)
+                dst.write(chunk)
+        if digest.hexdigest() != sha256:
+            raise SourceError(f"{source}: digest is not the expected one")
+        part.replace(to)
+    finally:
+        part.unlink(missing_ok=True)
 
 
 def verified(spark: SparkSession, path: str, expected: dict[str, str]) -> bool:

@@ -7,9 +7,10 @@ from pyspark.sql import types as T
 
 from dhruva.functions import display
 from dhruva.functions import text as tx
-from dhruva.operators import contracts, corpus, features, metrics, names, records, schedule
+from dhruva.operators import contracts, corpus, features, metrics, names, schedule, service
 from dhruva.operators.prefix import front, running_total
 from dhruva.plans import evaluation
+from dhruva.schema import Network
 from dhruva.session import checkpoint_dir, intermediates, materialise
 from dhruva.sources import files
 
@@ -276,3 +277,39 @@ def test_families_are_torn_however_they_are_written(spark, tmp_path):
     rows = [("7", "Ticketing ", "train"), ("ticketing:07", "x", "test"), ("A:0", "a", "train"), (" a : 00", "a", "val"), ("8", "a", "train"), ("a:8", "a", "train"), ("9", None, "train"), ("?", "a", "test"), (None, "a", "test")]
     spark.createDataFrame(rows, "family_id string, intent string, split string").write.parquet(f"{tmp_path}/hindi_intents.parquet")
     assert sorted(tuple(r) for r in evaluation.family_split_leaks(spark, str(tmp_path)).collect()) == [("a:0", 2, 2), ("ticketing:7", 2, 2)]
+
+
+def test_install_checks_before_it_moves(tmp_path):
+    (tmp_path / "a").write_bytes(b"x" * 3_000_000)
+    good = hashlib.sha256(b"x" * 3_000_000).hexdigest()
+    with pytest.raises(files.SourceError):
+        files.install(str(tmp_path / "a"), str(tmp_path / "b"), "0" * 64)
+    assert not (tmp_path / "b").exists()
+    files.install(str(tmp_path / "a"), str(tmp_path / "b"), good)
+    assert (tmp_path / "b").stat().st_size == 3_000_000 and sorted(p.name for p in tmp_path.iterdir()) == ["a", "b"]
+
+
+def test_refusals_and_canonical_json(spark):
+    rows = [("PLAN_ROUTE", {"date": "2024-01-01"}), ("PLAN_ROUTE", {"date": ""}), ("PLAN_ROUTE", {"preference": "direct_only"}), ("PLAN_ROUTE", {"preference": "cheapest"}), ("GET_INTERCHANGE_DETAILS", {}), ("GET_ACCESSIBILITY_INFO", {}), ("REJECT_OUT_OF_SCOPE", {}), (None, None)]
+    df = spark.createDataFrame(rows, "o string, s map<string,string>")
+    got = [r[0] for r in df.select(service.refusal(F.col("o"), F.col("s"), F.lit(False), F.lit(True))).collect()]
+    assert got == ["route_temporal_scope_unsupported", None, None, "route_preference_unsupported", "confirmed_interchanges_absent", None, "out_of_scope", None]
+    j = spark.createDataFrame([("é/", None)], "b string, a int").select(display.canonical_json(b=F.col("b"), a=F.col("a"))).first()[0]
+    assert j == '{"a":null,"b":"é/"}'
+
+
+def test_published_options_of_a_very_common_name(spark):
+    stops = [(f"S{i:03d}", "Main Road", "bus") for i in range(70)] + [("T1", "Temple", "bus"), ("T2", "Temple", "metro")]
+    net = Network(
+        spark.createDataFrame([("R", "5", "bus", "x", "operational")], "route_id string, route_short_name string, mode string, source_id string, status string"),
+        spark.createDataFrame(stops, "stop_id string, canonical_name string, mode string"),
+        spark.createDataFrame([("R", 0, i, s[0]) for i, s in enumerate(stops)], "route_id string, direction_id int, stop_sequence int, stop_id string"), None,
+    )
+    names_ = net.stops.select(F.lower("canonical_name").alias("name"), "stop_id", "mode")
+    asked = spark.createDataFrame([("main road", "temple"), ("temple", "main road")], "from_name string, to_name string")
+    got = service.published_options(net, names_, asked).collect()
+    assert sorted((r["rank"], r["origin"], r["destination"], r["truncated"]) for r in got) == [(i + 1, f"S{i:03d}", "T1", True) for i in range(10)]
+    report = service.route_report(net).first()
+    assert tuple(report) == ("5", "ok", 1, False, 1, "", True)
+    both = spark.createDataFrame([("S000", "T1"), ("T1", "S000")], "origin string, destination string")
+    assert {tuple(r) for r in service.availability(net, both).collect()} == {("S000", "T1", "recorded", 1, True), ("T1", "S000", "unavailable", 0, False)}
