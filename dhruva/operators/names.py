@@ -53,14 +53,17 @@ def alias_index(stops: DataFrame, hubs: DataFrame, aliases: DataFrame, places: D
         p = places.select("name", F.col("place_id").cast("string").alias("entity_id"), F.lit("place").alias("kind"), none, normalised(first).alias("first"), normalised(rest).alias("rest"))
         base = base.union(p.select(normalised("name").alias("name"), "entity_id", "kind", "mode")).union(p.where(F.col("rest").isin(*CITY)).select("first", "entity_id", "kind", "mode"))
         bare = p.where(F.col("rest").isNotNull() & ~F.col("rest").isin("", *CITY)).select(F.col("first").alias("name"), "entity_id", "kind", "mode").where("name != ''").distinct()
-    base = base.where("name != ''").distinct()
+    base = materialise(base.where("name != ''").distinct(), "names")
     passed = base.join(aliases.select(normalised("canonical_name").alias("name"), normalised("alias").alias("alias")).distinct(), "name").select(F.col("alias").alias("name"), "entity_id", "kind", "mode")
     known = base.union(passed).where("name != ''").distinct()
-    known = known.union(known.where("instr(name, ' ') > 0").select(compact("name"), "entity_id", "kind", "mode")).distinct()
+    # Each row with the name as it is and in one word, from one pass.
+    known = known.select(F.explode(F.array_distinct(F.array("name", compact("name")))).alias("name"), "entity_id", "kind", "mode").distinct()
     words = F.create_map(*(x for m, q in QUALIFIERS.items() for x in (F.lit(m), F.array(*map(F.lit, q)))))
     longer = F.transform(F.try_element_at(words, F.col("mode")), lambda q: F.concat_ws(" ", F.col("name"), q))
-    qualified = known.where("kind = 'stop'").select(F.explode(longer).alias("name"), "entity_id", "kind", "mode")
-    full = spacing_closure(known.union(qualified)).withColumn("partial", F.lit(False))
+    # All names of a row together: itself and, of a stop, with its qualifiers.
+    spelt = F.concat(F.array("name"), F.when(F.col("kind") == "stop", F.coalesce(longer, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
+    every = known.select(F.explode(spelt).alias("name"), "entity_id", "kind", "mode").distinct()
+    full = spacing_closure(materialise(every, "names")).withColumn("partial", F.lit(False))
     if bare is not None:
         half = spacing_closure(bare).withColumn("partial", F.lit(True))
         # A name that needs its qualifier needs it whatever else it may mean.

@@ -70,7 +70,7 @@ def accessibility_flag(spark: SparkSession, sf: str) -> DataFrame:
 
 def latest_per_key(spark: SparkSession, sf: str) -> DataFrame:
     """The latest order of each customer, ties by order key."""
-    rows = latest(table(spark, sf, "orders"), ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()])
+    rows = latest(table(spark, sf, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"])
     return rows.select("o_custkey", "o_orderkey", "o_orderdate", F.round("o_totalprice", 2).alias("amount"))
 
 

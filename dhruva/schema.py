@@ -7,11 +7,14 @@ of each route and stop, the latest load of each (route, direction, sequence). `S
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dhruva.session import materialise
+
 
 def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields])
@@ -33,9 +36,25 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key by ``order``: the row a current-state lookup would return."""
-    return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__rn = 1").drop("__rn")
+def _rank(field: T.StructField, descending: bool) -> list[Column]:
+    """Parts of an order by which a smaller struct is an earlier row, nulls last."""
+    c = F.col(field.name)
+    if descending:
+        kind = field.dataType
+        c = F.unix_date(c) if isinstance(kind, T.DateType) else F.unix_micros(c.cast("timestamp")) if isinstance(kind, (T.TimestampNTZType, T.TimestampType)) else c
+        c = -c
+    return [F.col(field.name).isNull().alias(f"{field.name}_null"), c.alias(field.name)]
+
+
+def latest(df: DataFrame, keys: list[str], newest: list[str], then: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """The row of each key with the greatest ``newest`` values (dates, times, numbers), ties by the least ``then``; nulls last in both.
+
+    An aggregate, not a window: each task keeps one row per key before anything is shuffled.
+    """
+    order = F.struct(*(x for c in newest for x in _rank(df.schema[c], True)), *(x for c in then for x in _rank(df.schema[c], False)))
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("__row"))
+    return best.select(*keys, "__row.*").select(*df.columns)
 
 
 @dataclass(frozen=True)
@@ -45,25 +64,25 @@ class Network:
     links: DataFrame
     hubs: DataFrame
 
-    @property
+    @cached_property
     def usable(self) -> DataFrame:
-        """Links of operational routes whose stop has the route's mode: the only ones a topology may rest on."""
+        """Links of operational routes whose stop has the route's mode: the only ones a topology may rest on; written once."""
         r = self.routes.where("status = 'operational'").select("route_id", "route_short_name", "mode", "source_id")
         s = self.stops.select("stop_id", "canonical_name", "mode")
-        return self.links.join(r, "route_id").join(s, ["stop_id", "mode"])
+        return materialise(self.links.join(r, "route_id").join(s, ["stop_id", "mode"]), "usable")
 
 
 def network(spark: SparkSession, sf: str) -> Network:
-    routes = latest(table(spark, sf, "transport_routes"), ["route_id"], [F.col("first_seen").desc(), *(F.col(c).asc_nulls_last() for c in ("deleted_at", "route_short_name", "mode", "source_id", "status"))])
+    routes = latest(table(spark, sf, "transport_routes"), ["route_id"], ["first_seen"], ["deleted_at", "route_short_name", "mode", "source_id", "status"])
     routes = routes.select("route_id", "route_short_name", "mode", "source_id", F.lower(F.trim("status")).alias("status"))
-    stops = latest(table(spark, sf, "transport_stops"), ["stop_id"], [F.col("first_seen").desc(), *(F.col(c).asc_nulls_last() for c in _TIES)])
+    stops = latest(table(spark, sf, "transport_stops"), ["stop_id"], ["first_seen"], _TIES)
     stops = stops.select("stop_id", "canonical_name", "mode", "latitude", "longitude", "inside_cma", "primary_source_id")
     key = lambda c: F.upper(F.trim(c))
     links = table(spark, sf, "route_stops").select(
         "link_id", key("route_id").alias("route_id"), "direction_id", "stop_sequence", key("canonical_stop_id").alias("stop_id"), "snapshot_date", "loaded_at"
     )
     links = links.where("route_id != '' and stop_id != '' and direction_id is not null and stop_sequence is not null")
-    links = latest(links, ["route_id", "direction_id", "stop_sequence"], [F.col(c).desc() for c in ("snapshot_date", "loaded_at", "link_id")])
+    links = latest(links, ["route_id", "direction_id", "stop_sequence"], ["snapshot_date", "loaded_at", "link_id"])
     return Network(routes, stops, links.select("route_id", "direction_id", "stop_sequence", "stop_id"), table(spark, sf, "transport_hubs"))
 
 
