@@ -14,7 +14,8 @@ from dhruva.session import materialise
 
 LABELS = ["accessibility", "out_of_scope", "railway_complaint", "route_query", "service_availability", "service_timing", "station_information", "ticketing", "train_status"]
 PHRASES = ["platform", "luggage", "ticket", "लिफ्ट", "टिकट", "timetable"]
-# A keyword classifier, first hit wins: a yardstick that both engines can run (fixed values).
+# A keyword classifier, first hit wins, whose words were picked from the synthetic questions: a fixture for the metric queries
+# that both engines can run, no model to be used (fixed values).
 RULES = {
     "out_of_scope": "kavita|halwai|mele|कविता|मेले|हलवाई",
     "accessibility": "dadi|arzi|दादी|अर्ज़ी",
