@@ -22,6 +22,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -257,22 +258,65 @@ def _vocabulary(ref: DataFrame, key: str, name: str, aliases: str) -> tuple[Data
 # -- joins by edit distance ------------------------------------------------------------------------
 
 
-def _remains(word: str, edits: str) -> F.Column:
-    """What is left of a word when up to ``edits`` (0 to 2) characters are deleted, hashed, as an expression."""
-    cut = lambda s, i: f"substring({s}, 1, {i} - 1), substring({s}, {i} + 1)"
-    one = f"transform(sequence(1, length({word})), i -> xxhash64(concat({cut(word, 'i')})))"
-    # The second deletion lies behind the first.
-    twice = f"concat(substring({word}, 1, i - 1), substring({word}, i + 1, j - i), substring({word}, j + 2))"
-    two = f"flatten(transform(sequence(1, length({word}) - 1), i -> transform(sequence(i, length({word}) - 1), j -> xxhash64({twice}))))"
-    whole = f"array(xxhash64({word}))"
-    return F.expr(f"array_distinct(case when {edits} = 0 then {whole} when {edits} = 1 then concat({whole}, {one}) else concat({whole}, {one}, {two}) end)")
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def _pieces(word: str, lengths: str, shifts: str) -> str:
-    """Fifths of a word as in a word of each of ``lengths``, moved by ``shifts``: two edits leave one fifth whole, moved by two at most."""
-    start, end = "cast((i * n) div 5 as int)", "cast(((i + 1) * n) div 5 as int)"
-    piece = f"xxhash64(n, i, substring({word}, greatest(1, {start} + 1 + s), {end} - {start}))"
-    return f"flatten(transform({lengths}, n -> flatten(transform(sequence(0, 4), i -> transform({shifts}, s -> {piece})))))"
+def _edits(word: str) -> int:
+    """Edits allowed in a word of this length."""
+    n = len(word.lstrip("~"))
+    return 0 if n < 4 else 1 if n < 6 else 2
+
+
+def signatures(words: Sequence[str], moved: bool) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Words of like length with hashes of what is left of each when up to ``_edits`` letters are deleted, one row per word.
+
+    Longer words than LONG have hashes of their fifths instead: two edits leave one fifth whole, moved by two letters at
+    most. ``moved``: fifths as in words of like length, at all such places. All hashes of a length come from prefix
+    hashes of all its words together; equal ones are only candidates.
+    """
+    groups: dict[tuple[int, int], list[str]] = defaultdict(list)
+    for w in words:
+        groups[len(w), _edits(w)].append(w)
+    with np.errstate(over="ignore"):
+        for (n, e), alike in groups.items():
+            step = max(1, (1 << 22) // (n + 1))
+            for start in range(0, len(alike), step):
+                part = alike[start : start + step]
+                yield part, np.stack(list(_hashes(part, n, e, moved)), 1).view(np.int64)
+
+
+def _hashes(words: list[str], n: int, e: int, moved: bool) -> Iterator[np.ndarray]:
+    x = _letters(words).astype(np.uint64) if n else np.zeros((len(words), 0), np.uint64)
+    prefix, power = np.zeros((len(words), n + 1), np.uint64), np.ones(n + 1, np.uint64)
+    for i in range(n):
+        prefix[:, i + 1] = prefix[:, i] * _BASE + x[:, i] + np.uint64(1)
+        power[i + 1] = power[i] * _BASE
+    cut = lambda a, b: prefix[:, b] - prefix[:, a] * power[b - a]
+    if n <= LONG + 2 * moved:
+        yield prefix[:, n]
+        for i in range(n if e else 0):
+            yield prefix[:, i] * power[n - 1 - i] + cut(i + 1, n)
+            for j in range(i + 1, n if e > 1 else 0):
+                yield prefix[:, i] * power[n - i - 2] + cut(i + 1, j) * power[n - j - 1] + cut(j + 1, n)
+    if n > LONG - 2 * moved:
+        for m in range(max(LONG + 1, n - 2), n + 3) if moved else (n,):
+            for i in range(5):
+                size = (i + 1) * m // 5 - i * m // 5
+                for at in range(i * m // 5 - 2, i * m // 5 + 3) if moved else (i * m // 5,):
+                    if at >= 0 and at + size <= n:
+                        yield (cut(at, at + size) ^ np.uint64(m * 8 + i + 1)) * _MIX
+
+
+def _signed(df: DataFrame, column: str, moved: bool) -> DataFrame:
+    """``(column, rest)``: each word with its signatures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, found in signatures(batch.column(0).to_pylist(), moved):
+                ends = pa.array(np.arange(len(words) + 1, dtype=np.int32) * found.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.ListArray.from_arrays(ends, pa.array(found.ravel()))], names=[column, "rests"])
+
+    return df.select(column).mapInArrow(run, f"{column} string, rests array<bigint>").select(column, F.explode("rests").alias("rest"))
 
 
 @F.pandas_udf(T.IntegerType())
@@ -291,19 +335,14 @@ def near_forms(units: DataFrame, forms: DataFrame) -> DataFrame:
     Units of width 2, two neighbours in one, are looked for among words only: longer ones than any word are near none.
     """
     spark = units.sparkSession
-    listed = forms.select("form").where("form != ''").distinct().select("form", F.expr(_size_edits("form")).alias("e"))
-    whole = F.expr(_pieces("form", "array(length(form))", "array(0)"))
-    there = materialise(listed.select("form", F.explode(F.when(F.length("form") <= LONG, _remains("form", "e")).otherwise(whole)).alias("rest")), "remains")
+    there = materialise(_signed(forms.select("form").where("form != ''").distinct(), "form", False).distinct(), "remains")
     there = F.broadcast(there) if there.count() <= BROADCAST_ROWS else there
     longest = forms.agg(F.max(F.length("form")), F.max(F.when(F.col("kind") == "word", F.length("form")))).first()
     # A unit that is longer by more than two letters than the longest form is near none. Many remains come from few rows:
     # an explicit number of partitions is not coalesced.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    here = units.where(F.length("unit") <= F.when(F.col("width") == 1, longest[0] or 0).otherwise(longest[1] or 0) + 2).select("unit").repartition(parts, "unit").distinct().select("unit", F.expr(_size_edits("unit")).alias("e"))
-    moved = F.expr(_pieces("unit", "sequence(length(unit) - 2, length(unit) + 2)", "sequence(-2, 2)"))
-    none = F.array().cast("array<bigint>")
-    both = F.concat(F.when(F.length("unit") <= LONG + 2, _remains("unit", "e")).otherwise(none), F.when(F.length("unit") >= LONG - 1, F.array_distinct(moved)).otherwise(none))
-    met = here.select("unit", F.explode(both).alias("rest")).join(there, "rest").select("unit", "form").distinct()
+    here = units.where(F.length("unit") <= F.when(F.col("width") == 1, longest[0] or 0).otherwise(longest[1] or 0) + 2).select("unit").repartition(parts, "unit").distinct()
+    met = _signed(here, "unit", True).join(there, "rest").select("unit", "form").distinct()
     return met.withColumn("d", _distance("unit", "form")).where(f"d <= {_size_edits('form')}")
 
 
