@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from dhruva.functions import display
 from dhruva.functions import text as tx
 from dhruva.operators import contracts, corpus, features, metrics, names, schedule, service
+from dhruva.operators.intents import IntentModel
 from dhruva.operators.prefix import front, running_total
 from dhruva.plans import evaluation
 from dhruva.schema import Network
@@ -313,3 +314,17 @@ def test_published_options_of_a_very_common_name(spark):
     assert tuple(report) == ("5", "ok", 1, False, 1, "", True)
     both = spark.createDataFrame([("S000", "T1"), ("T1", "S000")], "origin string, destination string")
     assert {tuple(r) for r in service.availability(net, both).collect()} == {("S000", "T1", "recorded", 1, True), ("T1", "S000", "unavailable", 0, False)}
+
+
+def test_intent_model_learns_saves_and_loads(spark, sf, tmp_path):
+    rows = evaluation._rows(spark, sf).where("expected is not null").select("id", "text", F.col("expected").alias("intent"), "split")
+    model = IntentModel.fit(rows.where("split = 'train'"))
+    test = rows.where("split = 'test'")
+    told = model.predict(test)
+    right = told.agg(F.avg((F.col("predicted") == F.col("intent")).cast("double"))).first()[0]
+    assert right > 0.85 and told.count() == test.count()
+    model.save(str(tmp_path / "model"))
+    again = IntentModel.load(str(tmp_path / "model")).predict(test)
+    assert {(r["id"], r["predicted"]) for r in again.collect()} == {(r["id"], r["predicted"]) for r in told.collect()}
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 50_000)], "id int, text string")
+    assert {r["predicted"] in model.labels.labels for r in model.predict(odd).collect()} == {True}
