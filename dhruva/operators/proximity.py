@@ -225,6 +225,32 @@ def nearest(anchors: DataFrame, points: DataFrame, k: int = 5, whole_metres: boo
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("leaf", "most")
 
 
+def around(anchors: DataFrame, points: DataFrame, metres: float) -> DataFrame:
+    """Pairs ``(anchor, id, metres)`` of anchors and points at most ``metres`` apart: ``anchors(anchor, alat, alon)``, ``points(id, lat, lon)``.
+
+    Points meet only the anchors whose search box touches their cell of the quadtree, never each other. Rows with a null id
+    or an unusable position take no part; of several positions the least distance counts.
+    """
+    spark = points.sparkSession
+    rows = points.select("id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).where(F.col("id").isNotNull() & usable("lat", "lon"))
+    rows = materialise(rows.distinct(), "points")
+    tree, _, _ = _fit(rows, np.degrees(metres / EARTH))
+    shared = spark.sparkContext.broadcast(tree)
+    asked = anchors.select("anchor", F.col("alat").cast("double").alias("alat"), F.col("alon").cast("double").alias("alon")).where(F.col("anchor").isNotNull() & usable("alat", "alon")).distinct()
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree = shared.value
+        for pdf in batches:
+            y, x = pdf["alat"].to_numpy(), pdf["alon"].to_numpy()
+            dlat, dlon = reach(y, metres)
+            row, leaf, _ = _touched(tree, y - dlat, y + dlat, x - dlon, x + dlon)
+            yield pdf.iloc[row].assign(leaf=leaf).drop_duplicates()
+
+    cells = materialise(asked.mapInPandas(ask, T.StructType([*asked.schema, T.StructField("leaf", T.LongType())])), "anchors")
+    met = rows.withColumn("leaf", _home(shared)).join(cells, "leaf").withColumn("metres", great_circle("alat", "alon", "lat", "lon")).where(F.col("metres") <= metres)
+    return met.groupBy("anchor", "id").agg(F.min("metres").alias("metres"))
+
+
 def great_circle(lat1: str, lon1: str, lat2: str, lon2: str) -> F.Column:
     """Great-circle metres as a Spark expression."""
     h = f"pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dhruva.operators import records as op
-from dhruva.operators.proximity import nearest, pairs_within, usable
+from dhruva.operators.proximity import around, nearest, pairs_within, usable
 from dhruva.schema import SQL, latest, network, table
 
 
@@ -31,10 +31,9 @@ def coordinate_conflicts(spark: SparkSession, sf: str) -> DataFrame:
 def hub_members_expand(spark: SparkSession, sf: str) -> DataFrame:
     """Stops within 2 km of a hub stand for it; memberships by distance alone are provisional."""
     net = network(spark, sf)
-    hubs = net.hubs.select(F.concat(F.lit("hub:"), "hub_id").alias("id"), "latitude", "longitude")
-    both = hubs.union(net.stops.select(F.concat(F.lit("stop:"), "stop_id"), "latitude", "longitude"))
-    pairs = pairs_within(both, 2_000.0, "id").where("startswith(id_a, 'hub:') and startswith(id_b, 'stop:')")
-    rows = pairs.select(F.expr("substring(id_a, 5)").alias("hub_id"), F.expr("substring(id_b, 6)").alias("stop_id"), (F.col("metres") > 500).alias("far"))
+    hubs = net.hubs.select(F.col("hub_id").alias("anchor"), F.col("latitude").alias("alat"), F.col("longitude").alias("alon"))
+    stops = net.stops.select(F.col("stop_id").alias("id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    rows = around(hubs, stops, 2_000.0).select(F.col("anchor").alias("hub_id"), F.col("id").alias("stop_id"), (F.col("metres") > 500).alias("far"))
     return rows.groupBy("hub_id").agg(F.count("*").alias("members"), F.bool_or("far").alias("provisional"), F.min("stop_id").alias("least_stop"))
 
 

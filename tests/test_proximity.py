@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 
 from dhruva.operators import proximity
-from dhruva.operators.proximity import Quadtree, RTree, haversine, in_regions, nearest, pairs_within
+from dhruva.operators.proximity import Quadtree, RTree, around, haversine, in_regions, nearest, pairs_within
+from dhruva.plans import records
 
 SCHEMA = "stop_id string, latitude double, longitude double, lat string, id string"
 
@@ -49,6 +50,27 @@ def test_equals_brute_force(spark, monkeypatch, cell):
     assert found(spark, rows, 75) == brute(rows, 75)
 
 
+@pytest.mark.parametrize("cell", [4_000, 8])
+def test_points_around_anchors_equal_brute_force(spark, monkeypatch, cell):
+    monkeypatch.setattr(proximity, "CELL", cell)
+    rnd = random.Random(cell)
+    points = [(f"S{i}", 13 + rnd.gauss(0, 0.05), 80 + rnd.gauss(0, 0.05)) for i in range(500)] + [("S0", 13.0, 80.0), ("S0", 13.0, 80.0), (None, 13.0, 80.0), ("N", None, 80.0), ("Z", 0.0, 0.0), ("D", 10.0, -179.9999)]
+    anchors = [("A", 13.0, 80.0), ("B", 13.02, 80.01), ("B", 13.02, 80.01), ("C", 10.0, 179.9999), ("E", 13.0, None), ("F", 0.0, 0.0), ("G", 50.0, 50.0)]
+    want = {}
+    for a, y, x in anchors:
+        for i, lat, lon in points:
+            if None not in (i, x, lat) and (lat, lon) != (0, 0) and (y, x) != (0, 0) and (d := haversine(y, x, lat, lon)) <= 2_000:
+                want[a, i] = min(d, want.get((a, i), d))
+    got = around(spark.createDataFrame(anchors, "anchor string, alat double, alon double"), spark.createDataFrame(points, "id string, lat double, lon double"), 2_000.0).collect()
+    assert len(got) == len(want) and {(r["anchor"], r["id"]): pytest.approx(r["metres"], abs=1e-3) for r in got} == want
+    assert ("C", "D") in want
+
+
+def test_members_of_hubs_make_no_pairs_of_stops(spark, sf):
+    plan = records.hub_members_expand(spark, sf)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan
+
+
 def test_quadtree_touches_every_leaf_of_a_box():
     rnd = np.random.default_rng(1)
     y, x = rnd.uniform(-90, 90, 500), rnd.uniform(-180, 180, 500)
