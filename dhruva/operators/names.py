@@ -5,11 +5,15 @@ An ambiguous name keeps all its candidates. Everything is a join on normalised n
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dhruva.functions.text import normalised, qualifier
-from dhruva.session import materialise, spread
+from dhruva.operators.bitmaps import Bitmap, flat
+from dhruva.session import materialise, small_batches, spread
 
 #: Qualifiers that may follow a stop's name, by mode (fixed values).
 QUALIFIERS = {
@@ -23,7 +27,7 @@ GENERIC = ("bus stop", "metro station", "railway station", "station", "stop", "b
 #: The city itself as a qualifier adds nothing to a name (fixed values).
 CITY = ("chennai", "chennai city")
 #: Rows of names up to which they are sent to every executor; more are shuffled, with the same result.
-BROADCAST_NAMES = 500_000
+BROADCAST_NAMES = 20_000
 JOURNEY = ("origin", "destination", "via")
 JOURNEY_OPERATIONS = ("point_to_point_route", "multimodal_route", "mode_availability")
 #: Words that make a stop's name a thing one can stand at (fixed values).
@@ -35,13 +39,14 @@ def compact(name: Column | str) -> Column:
     return F.replace(F.col(name) if isinstance(name, str) else name, F.lit(" "), F.lit(""))
 
 
-def alias_index(stops: DataFrame, hubs: DataFrame, aliases: DataFrame, places: DataFrame | None = None) -> DataFrame:
+def alias_index(stops: DataFrame, hubs: DataFrame, aliases: DataFrame, places: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
     """``(name, entity_id, kind, mode, partial)``: every name with every entity it may mean.
 
     ``aliases(canonical_name, alias)`` passes all candidates of the canonical name on to the alias. Stops are also
     known with their mode's qualifiers, all names also written in one word, and names that differ by blanks only share
     their candidates. ``places(place_id, name)``: of a name with a comma the part before it is ``partial`` - it needs
     its qualifier and means nothing alone - unless the qualifier is the city. Null and blank names are left out.
+    ``asked(surface)``: rows of other names may be missing.
     """
     none = F.lit(None).cast("string").alias("mode")
     s = stops.select(normalised("canonical_name").alias("name"), F.col("stop_id").alias("entity_id"), F.lit("stop").alias("kind"), "mode")
@@ -55,14 +60,19 @@ def alias_index(stops: DataFrame, hubs: DataFrame, aliases: DataFrame, places: D
         bare = p.where(F.col("rest").isNotNull() & ~F.col("rest").isin("", *CITY)).select(F.col("first").alias("name"), "entity_id", "kind", "mode").where("name != ''").distinct()
     base = materialise(base.where("name != ''").distinct(), "names")
     passed = base.join(aliases.select(normalised("canonical_name").alias("name"), normalised("alias").alias("alias")).distinct(), "name").select(F.col("alias").alias("name"), "entity_id", "kind", "mode")
-    known = base.union(passed).where("name != ''").distinct()
-    # Each row with the name as it is and in one word, from one pass.
-    known = known.select(F.explode(F.array_distinct(F.array("name", compact("name")))).alias("name"), "entity_id", "kind", "mode").distinct()
+    known = base.union(passed).where("name != ''")
+    # Each row with the name as it is and in one word, from one pass; what repeats goes at the end.
+    known = known.select(F.explode(F.array_distinct(F.array("name", compact("name")))).alias("name"), "entity_id", "kind", "mode")
     words = F.create_map(*(x for m, q in QUALIFIERS.items() for x in (F.lit(m), F.array(*map(F.lit, q)))))
     longer = F.transform(F.try_element_at(words, F.col("mode")), lambda q: F.concat_ws(" ", F.col("name"), q))
     # All names of a row together: itself and, of a stop, with its qualifiers.
     spelt = F.concat(F.array("name"), F.when(F.col("kind") == "stop", F.coalesce(longer, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
-    every = known.select(F.explode(spelt).alias("name"), "entity_id", "kind", "mode").distinct()
+    every = known.select(F.explode(spelt).alias("name"), "entity_id", "kind", "mode")
+    if asked is not None:
+        # Names that differ by blanks only are asked for together.
+        keys = asked.select(F.xxhash64(compact("surface")).alias("h"), F.lit(0).alias("n"))
+        every = every.where(Bitmap(keys, keys.count()).may_hold(F.xxhash64(compact("name"))))
+    every = every.distinct()
     full = spacing_closure(materialise(every, "names")).withColumn("partial", F.lit(False))
     if bare is not None:
         half = spacing_closure(bare).withColumn("partial", F.lit(True))
@@ -83,36 +93,105 @@ def collisions(index: DataFrame) -> DataFrame:
     return index.groupBy("name").agg(F.count_distinct("entity_id").alias("candidates"), F.count_distinct("kind").alias("kinds"), F.min("entity_id").alias("least_id")).where("candidates > 1")
 
 
+#: Texts that are sent to Python at a time.
+TEXTS_AT_ONCE = 500
+#: Words of texts that are held against the bitmap at a time.
+AT_ONCE = 1 << 18
+
+
+def _chain(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """One hash of the ``n`` hashes from each position."""
+    h = h.view(np.uint64)
+    out = h[at]
+    for k in range(1, n):
+        out = out * np.uint64(0xBF58476D1CE4E5B9) + h[at + k]
+    return (out ^ (out >> np.uint64(29))).view(np.int64)
+
+
+@F.arrow_udf(T.LongType())
+def _whole(hashes: pa.Array) -> pa.Array:
+    """The hash of each whole list."""
+    h, ends = flat(hashes)
+    size = np.diff(ends)
+    out = np.zeros(len(size), np.int64)
+    for n in np.unique(size[size > 0]):
+        rows = np.flatnonzero(size == n)
+        out[rows] = _chain(h, ends[rows], n)
+    return pa.array(out)
+
+
+def _runs(known: Bitmap, lengths: list[int], base: int):
+    """From the hashes of a text's words the runs that may be names, as start * base + words."""
+
+    def run(hashes: pa.Array) -> pa.Array:
+        h, ends = flat(hashes)
+        found, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for low in range(0, len(h), AT_ONCE):
+            some = np.arange(low, min(len(h), low + AT_ONCE))
+            left = ends[np.searchsorted(ends, some, "right")] - some
+            for n in lengths:
+                at = some[known.has(h[some], n) & (left >= n)]
+                at = at[known.has(_chain(h, at, n))]
+                found.append(at), sizes.append(np.full(len(at), n))
+        at, n = np.concatenate(found), np.concatenate(sizes)
+        order = np.argsort(at, kind="stable")
+        at, n = at[order], n[order]
+        cuts = np.searchsorted(at, ends)
+        start = at - np.repeat(ends[:-1], np.diff(cuts))
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(start * base + n, pa.int64()))
+
+    return F.arrow_udf(run, T.ArrayType(T.LongType()))
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _kept(starts: pa.Array, minus: pa.Array) -> pa.Array:
+    """Of sorted hits the places of those that do not overlap one accepted before."""
+    s, ends = flat(starts)
+    until = (s - flat(minus)[0]).tolist()
+    out, cuts = [], [0]
+    for low, high in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        after = 0
+        for i, start in enumerate(s[low:high].tolist()):
+            if start >= after:
+                out.append(i)
+                after = until[low + i]
+        cuts.append(len(out))
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(out, pa.int32()))
+
+
 def name_spans(docs: DataFrame, id_col: str, text: str, names: DataFrame, around: bool = False) -> DataFrame:
     """Longest non-overlapping names from left to right: ``(id, start, words, surface)``, positions in words.
 
     ``around``: also ``before``, the word in front (null for none), and ``after``, the three words behind.
 
-    At each word that begins a name, runs of up to as many words as the longest name with that beginning has are looked
-    up; a fold over the hits of a text, in order of position and then length, drops what overlaps an accepted one.
-    Null texts have no names; a text's rows are taken together by id.
+    A bitmap knows the first words of names together with the names' lengths in words, and whole names: only runs of
+    words that pass both are carried to the list of names. A pass over the hits of a text, in order of position and then
+    length, drops what overlaps an accepted one. Null texts have no names; a text's rows are taken together by id.
     """
     words = spread(docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"))).select("id", F.split(normalised("t"), " ").alias("w")).where("w is not null")
     listed = materialise(names.select(F.col("name").alias("surface")).where("surface != ''").distinct(), "names")
     length = F.size(F.split("surface", " "))
-    first = listed.groupBy(F.substring_index("surface", " ", 1).alias("x")).agg(F.max(length).alias("most"))
-    longest, count = listed.agg(F.max(length), F.count("*")).first()
+    lengths, count = listed.agg(F.sort_array(F.collect_set(length)), F.count("*")).first()
+    hashes = F.transform(F.split("surface", " "), lambda x: F.xxhash64(x))
+    heads = listed.select(F.xxhash64(F.substring_index("surface", " ", 1)).alias("h"), length.alias("n"))
+    known = Bitmap(heads.union(listed.select(_whole(hashes), F.lit(0))), 2 * count)
     if count <= BROADCAST_NAMES:
-        listed, first = F.broadcast(listed), F.broadcast(first)
-    # The words that follow come along, so a text is not carried once per position.
-    reach = (longest or 1) + (3 if around else 0)
-    window = F.expr(f"transform(w, (x, i) -> named_struct('start', i, 'x', x, 'before', get(w, i - 1), 'next', slice(w, i + 1, {reach})))")
-    places = words.select("id", F.explode(window).alias("p")).select("id", "p.*").join(first, "x")
-    beside = ", 'before', before, 'after', slice(next, n + 1, 3)" if around else ""
-    runs = F.expr(f"transform(sequence(1, least(most, size(next))), n -> named_struct('start', start, 'minus', -n, 'surface', array_join(slice(next, 1, n), ' '){beside}))")
-    hits = places.select("id", F.explode(runs).alias("r")).select("id", "r.*").join(listed, "surface", "left_semi")
+        listed = F.broadcast(listed)
+    base = max(lengths, default=0) + 1
+    starts = _runs(known, lengths, base)(F.transform("w", lambda x: F.xxhash64(x))).alias("at")
+    start, n = f"cast(c div {base} as int)", f"cast(c % {base} as int)"
+    # No slice: it would copy the whole text for each run.
+    beside = f", 'before', get(w, {start} - 1), 'after', array_compact(array({', '.join(f'get(w, {start} + {n} + {k})' for k in range(3))}))" if around else ""
+    run = f"named_struct('start', {start}, 'minus', -{n}, 'surface', array_join(transform(sequence(0, {n} - 1), k -> get(w, {start} + k)), ' '){beside})"
+    runs = words.select("id", "w", starts).where("size(at) > 0").select("id", F.explode(F.expr(f"transform(at, c -> {run})")).alias("r")).select("id", "r.*")
+    with small_batches(docs.sparkSession, TEXTS_AT_ONCE):
+        runs = materialise(runs, "runs")
+    hits = runs.join(listed, "surface", "left_semi")
     more = ["before", "after"] if around else []
     found = hits.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "minus", "surface", *more))).alias("h"))
-    kept = "struct<start:int,words:int,surface:string" + (",before:string,after:array<string>>" if around else ">")
-    beside = ", 'before', x.before, 'after', x.after" if around else ""
-    fold = f"""aggregate(h, named_struct('next', 0, 'kept', cast(array() as array<{kept}>)),
-      (s, x) -> if(x.start >= s.next, named_struct('next', x.start - x.minus, 'kept', array_append(s.kept, named_struct('start', x.start, 'words', -x.minus, 'surface', x.surface{beside}))), s), s -> s.kept)"""
-    return found.select("id", F.explode(F.expr(fold)).alias("s")).select("id", "s.*")
+    kept = found.withColumn("k", _kept(F.transform("h", lambda x: x["start"]), F.transform("h", lambda x: x["minus"])))
+    one = kept.select("id", F.explode(F.expr("transform(k, i -> get(h, i))")).alias("s")).select("id", "s.*")
+    return one.select("id", "start", (-F.col("minus")).alias("words"), "surface", *more)
 
 
 #: Words that give a place its part in a journey (fixed values).

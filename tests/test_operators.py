@@ -159,6 +159,19 @@ def test_spans_equal_brute_force(spark, monkeypatch, bound):
     assert sorted((r["id"], r["start"], r["words"], r["surface"]) for r in got) == want
 
 
+@pytest.mark.parametrize("around", [False, True])
+def test_names_need_no_windows_of_words(spark, around):
+    """No run of words that isn't a name is carried to the list of names, and names are sent to all only if they are few."""
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(3_000)) + " lake central x y")], "doc long, body string")
+    listed = spark.createDataFrame([("lake central",), ("lake",), ("central park road",)], "name string")
+    known = names.name_spans(docs, "doc", "body", listed, around)
+    assert [(r["start"], r["words"], r["surface"]) for r in known.collect()] == [(3_000, 2, "lake central")]
+    if around:
+        assert [(r["before"], r["after"]) for r in known.collect()] == [("w2999", ["x", "y"])]
+    assert "slice(" not in known._jdf.queryExecution().optimizedPlan().toString()
+    assert names.BROADCAST_NAMES <= 20_000
+
+
 def test_resolution_keeps_ambiguous_candidates(spark):
     stops = spark.createDataFrame([("M1", "Guindy", "metro"), ("R1", "Guindy", "suburban_rail"), ("B1", "Guindy", "bus"), ("B2", "Guindy", "bus"), ("B3", "Maple Quay", "bus")], "stop_id string, canonical_name string, mode string")
     hubs = spark.createDataFrame([("HUB", "Guindy")], "hub_id string, hub_name string")
