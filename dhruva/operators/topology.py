@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from dhruva.operators.bitmaps import Bitmap, flat
 from dhruva.schema import Network
+from dhruva.session import materialise
+
+#: Pairs of stops of one route that are held against the bitmap at a time.
+AT_ONCE = 1 << 18
 
 
 def coverage(net: Network) -> DataFrame:
@@ -48,6 +56,87 @@ def first_options(found: DataFrame, limit: int) -> DataFrame:
     return ranked.withColumn("truncated", more).where(F.col("rank") <= limit)
 
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two."""
+    out = a.view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + b.view(np.uint64)
+    return (out ^ (out >> np.uint64(29))).view(np.int64)
+
+
+@F.arrow_udf(T.LongType())
+def _both(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array(_pair(a.to_numpy(), b.to_numpy()))
+
+
+def _journeys(known: Bitmap, most: int):
+    """Of the stops of each direction, in order, those pairs whose names may be asked for, as place of the first * 2^31 + place of the second.
+
+    Of two names the ``most`` shortest journeys. The bitmap holds pairs of names, and with 1 and 2 the names of origins and destinations.
+    """
+
+    def run(hashes: pa.Array, names: pa.Array, stops: pa.Array, sequences: pa.Array) -> pa.Array:
+        h, ends = flat(hashes)
+        name, stop = (c.flatten().dictionary_encode().indices.to_numpy() for c in (names, stops))
+        at = flat(sequences)[0].astype(np.int64)
+        first, second = np.flatnonzero(known.has(h, 1)), np.flatnonzero(known.has(h, 2))
+        low = np.searchsorted(second, first, "right")
+        total = np.concatenate([[0], np.cumsum(np.searchsorted(second, ends[np.searchsorted(ends, first, "right")]) - low)])
+
+        def least(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            row = np.searchsorted(ends, a, "right")
+            order = np.lexsort((at[a], at[b] - at[a], name[b], name[a], row))
+            a, b, row = a[order], b[order], row[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (row[1:] != row[:-1]) | (name[a[1:]] != name[a[:-1]]) | (name[b[1:]] != name[b[:-1]])
+            place = np.arange(len(a))
+            keep = place - np.maximum.accumulate(np.where(new, place, 0)) < most
+            return a[keep], b[keep]
+
+        kept = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        begin, held = 0, 0
+        while begin < len(first):
+            end = max(begin + 1, int(np.searchsorted(total, total[begin] + AT_ONCE, "right")) - 1)
+            n = np.diff(total[begin : end + 1])
+            a = np.repeat(first[begin:end], n)
+            b = second[np.arange(len(a)) + np.repeat(low[begin:end] - (total[begin:end] - total[begin]), n)]
+            ok = known.has(_pair(h[a], h[b])) & (stop[a] != stop[b])
+            kept[0].append(a[ok]), kept[1].append(b[ok])
+            held += int(ok.sum())
+            if held > AT_ONCE:
+                kept = tuple([x] for x in least(*map(np.concatenate, kept)))
+                held = 0
+            begin = end
+        a, b = least(*map(np.concatenate, kept))
+        row = np.searchsorted(ends, a, "right")
+        cuts, base = np.searchsorted(row, np.arange(len(ends)), "right"), ends[row - 1]
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array((a - base) << 31 | (b - base), pa.int64()))
+
+    return F.arrow_udf(run, T.ArrayType(T.LongType()))
+
+
+def options_between_names(net: Network, limit: int) -> DataFrame:
+    """The ``limit`` shortest journeys of one route and direction between stops with the names of its ends, for all directions of three stops or more.
+
+    Names compare without case and outer blanks; blank ones are none. ``(origin, destination, route_id, direction_id,
+    origin_sequence, destination_sequence, rank, truncated)``: ends by name. Pairs of stops are made within a direction
+    only, whose stops stand in one row, and those that are not asked for go there: no product of the stops of two names.
+    """
+    name = F.lower(F.trim("canonical_name"))
+    stop = F.struct("stop_sequence", "stop_id", F.when(name != "", name).alias("name"))
+    rows = materialise(net.usable.groupBy("route_id", "direction_id").agg(F.array_sort(F.collect_list(stop)).alias("s")), "sequences")
+    a, b = F.element_at("s", 1), F.element_at("s", -1)
+    asked = rows.where(F.size("s") >= 3).where(a["stop_id"] != b["stop_id"]).select(a["name"].alias("origin"), b["name"].alias("destination"))
+    asked = materialise(asked.where("origin is not null and destination is not null").distinct(), "asked")
+    of = lambda c: F.xxhash64(c)
+    ends = [asked.select(of(c)).distinct().select("*", F.lit(n)) for n, c in ((1, "origin"), (2, "destination"))]
+    known = Bitmap(asked.select(_both(of("origin"), of("destination")).alias("h"), F.lit(0).alias("n")).union(ends[0]).union(ends[1]), 3 * asked.count())
+    named = rows.select("route_id", "direction_id", F.filter("s", lambda x: x["name"].isNotNull()).alias("s")).where("size(s) > 1")
+    found = named.withColumn("at", _journeys(known, limit + 1)(F.transform("s", lambda x: of(x["name"])), F.col("s.name"), F.col("s.stop_id"), F.col("s.stop_sequence")))
+    x, y = "get(s, cast(shiftright(c, 31) as int))", "get(s, cast(c & 2147483647 as int))"
+    both = f"named_struct('origin', {x}.name, 'destination', {y}.name, 'origin_sequence', {x}.stop_sequence, 'destination_sequence', {y}.stop_sequence)"
+    found = found.where("size(at) > 0").select("route_id", "direction_id", F.explode(F.expr(f"transform(at, c -> {both})")).alias("j")).select("route_id", "direction_id", "j.*")
+    return first_options(found, limit).join(asked, ["origin", "destination"], "left_semi")
+
+
 def stop_sequences(net: Network) -> DataFrame:
     """Ordered stops of each route and direction with at least two usable ones."""
     ordered = F.array_sort(F.collect_list(F.struct("stop_sequence", "stop_id")))

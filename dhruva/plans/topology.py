@@ -37,14 +37,7 @@ def plan_route_via(spark: SparkSession, sf: str) -> DataFrame:
 
 def route_options_capped(spark: SparkSession, sf: str) -> DataFrame:
     """All journeys between stops whose names are those of a request, equal modes only: at most 10 per pair of names."""
-    net = network(spark, sf)
-    name = net.stops.where("canonical_name is not null and trim(canonical_name) != ''").select("stop_id", F.lower(F.trim("canonical_name")).alias("name"))
-    req = op.terminal_requests(net).select("origin", "destination").distinct().join(name.select(F.col("stop_id").alias("origin"), F.col("name").alias("from_name")), "origin")
-    req = req.join(name.select(F.col("stop_id").alias("destination"), F.col("name").alias("to_name")), "destination").select("from_name", "to_name").distinct()
-    pairs = req.join(name.select(F.col("name").alias("from_name"), F.col("stop_id").alias("origin")), "from_name")
-    pairs = pairs.join(name.select(F.col("name").alias("to_name"), F.col("stop_id").alias("destination")), "to_name").where("origin != destination")
-    found = op.direct_routes(net, pairs).drop("origin", "destination").withColumnsRenamed({"from_name": "origin", "to_name": "destination"})
-    best = op.first_options(found.dropDuplicates(["origin", "destination", "route_id", "direction_id", "origin_sequence", "destination_sequence"]), 10)
+    best = op.options_between_names(network(spark, sf), 10)
     return best.groupBy("origin", "destination", "truncated").agg(F.count("*").alias("options"), F.min("route_id").alias("least_route"))
 
 

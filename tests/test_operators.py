@@ -7,10 +7,11 @@ from pyspark.sql import types as T
 
 from dhruva.functions import display
 from dhruva.functions import text as tx
-from dhruva.operators import contracts, corpus, features, metrics, names, schedule, service
+from dhruva.operators import contracts, corpus, features, metrics, names, schedule, service, topology
 from dhruva.operators.intents import IntentModel
 from dhruva.operators.prefix import front, running_total
 from dhruva.plans import evaluation
+from dhruva.plans import topology as routes_plans
 from dhruva.schema import Network
 from dhruva.session import checkpoint_dir, intermediates, materialise
 from dhruva.sources import files
@@ -339,6 +340,40 @@ def test_published_options_of_a_very_common_name(spark):
     assert {tuple(r) for r in service.availability(net, both).collect()} == {("S000", "T1", "recorded", 1, True), ("T1", "S000", "unavailable", 0, False)}
 
 
+@pytest.mark.parametrize("at_once", [1 << 18, 5])
+def test_options_between_names_equal_brute_force(spark, monkeypatch, at_once):
+    """Every option of two names, made without pairing the stops of one name with those of the other."""
+    monkeypatch.setattr(topology, "AT_ONCE", at_once)
+    rnd = random.Random(3)
+    names_ = ["Lake", " lake ", "HILL", "hill", "Ford", "Mill", None, "  "]
+    stops = [(f"S{i}", names_[i % 8], "bus" if i % 9 else "metro") for i in range(60)] + [("T0", "Pier", "bus"), ("T1", "Quay", "bus")]
+    routes = [(f"R{i}", "5", "bus", "x", "operational" if i % 7 else "suspended") for i in range(12)]
+    links = [(f"R{i}", d, 3 * k + k % 2, f"S{rnd.randrange(60)}") for i in range(12) for d in (0, 1) for k in range((2, 3, 9, 40)[i % 4])] + [("R1", 2, k, "S0") for k in range(3)] + [("R1", 3, k, s) for k, s in enumerate(("T0", "S1", "T1"))]
+    net = Network(
+        spark.createDataFrame(routes, "route_id string, route_short_name string, mode string, source_id string, status string"), spark.createDataFrame(stops, "stop_id string, canonical_name string, mode string"),
+        spark.createDataFrame(links, "route_id string, direction_id int, stop_sequence int, stop_id string"), None,
+    )
+    name, bus = {s: (n or "").strip().lower() for s, n, _ in stops}, {s for s, _, m in stops if m == "bus"}
+    runs, asked, found = {}, set(), {}
+    for r, d, k, s in sorted(links):
+        if s in bus and int(r[1:]) % 7:
+            runs.setdefault((r, d), []).append((k, s))
+    for run in runs.values():
+        if len(run) >= 3 and run[0][1] != run[-1][1] and name[run[0][1]] and name[run[-1][1]]:
+            asked.add((name[run[0][1]], name[run[-1][1]]))
+    for (r, d), run in runs.items():
+        for k, s in run:
+            for q, t in run:
+                if k < q and s != t and (name[s], name[t]) in asked:
+                    found.setdefault((name[s], name[t]), []).append((q - k, r, d, k))
+    want = {(*e, len(o) > 10, min(len(o), 10), min(x[1] for x in sorted(o)[:10])) for e, o in found.items()}
+    assert {x[2] for x in want} == {True, False}
+    monkeypatch.setattr(routes_plans, "network", lambda *_: net)
+    got = routes_plans.route_options_capped(spark, "")
+    assert {tuple(r[c] for c in ("origin", "destination", "truncated", "options", "least_route")) for r in got.collect()} == want
+    assert "Join Inner" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_intent_model_learns_saves_and_loads(spark, sf, tmp_path):
     rows = evaluation._rows(spark, sf).where("expected is not null").select("id", "text", F.col("expected").alias("intent"), "split")
     model = IntentModel.fit(rows.where("split = 'train'"))
