@@ -48,6 +48,22 @@ def alias_index(stops: DataFrame, hubs: DataFrame, aliases: DataFrame, places: D
     its qualifier and means nothing alone - unless the qualifier is the city. Null and blank names are left out.
     ``asked(surface)``: rows of other names may be missing.
     """
+    every, bare = _spelt(stops, hubs, aliases, places)
+    if asked is not None:
+        # Names that differ by blanks only are asked for together.
+        keys = asked.select(F.xxhash64(compact("surface")).alias("h"), F.lit(0).alias("n"))
+        every = every.where(Bitmap(keys, keys.count()).may_hold(F.xxhash64(compact("name"))))
+    every = every.distinct()
+    full = spacing_closure(materialise(every, "names")).withColumn("partial", F.lit(False))
+    if bare is not None:
+        half = spacing_closure(bare).withColumn("partial", F.lit(True))
+        # A name that needs its qualifier needs it whatever else it may mean.
+        full = full.join(half.select("name", F.lit(True).alias("half")).distinct(), "name", "left").withColumn("partial", F.coalesce("half", F.lit(False))).drop("half").union(half).distinct()
+    return full.where(~F.col("name").isin(*GENERIC))
+
+
+def _spelt(stops: DataFrame, hubs: DataFrame, aliases: DataFrame, places: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """``(name, entity_id, kind, mode)``: names as they are written, some of them again and again; the same of names that need their qualifier."""
     none = F.lit(None).cast("string").alias("mode")
     s = stops.select(normalised("canonical_name").alias("name"), F.col("stop_id").alias("entity_id"), F.lit("stop").alias("kind"), "mode")
     h = hubs.select(normalised("hub_name").alias("name"), F.col("hub_id").alias("entity_id"), F.lit("hub").alias("kind"), none)
@@ -68,17 +84,7 @@ def alias_index(stops: DataFrame, hubs: DataFrame, aliases: DataFrame, places: D
     # All names of a row together: itself and, of a stop, with its qualifiers.
     spelt = F.concat(F.array("name"), F.when(F.col("kind") == "stop", F.coalesce(longer, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
     every = known.select(F.explode(spelt).alias("name"), "entity_id", "kind", "mode")
-    if asked is not None:
-        # Names that differ by blanks only are asked for together.
-        keys = asked.select(F.xxhash64(compact("surface")).alias("h"), F.lit(0).alias("n"))
-        every = every.where(Bitmap(keys, keys.count()).may_hold(F.xxhash64(compact("name"))))
-    every = every.distinct()
-    full = spacing_closure(materialise(every, "names")).withColumn("partial", F.lit(False))
-    if bare is not None:
-        half = spacing_closure(bare).withColumn("partial", F.lit(True))
-        # A name that needs its qualifier needs it whatever else it may mean.
-        full = full.join(half.select("name", F.lit(True).alias("half")).distinct(), "name", "left").withColumn("partial", F.coalesce("half", F.lit(False))).drop("half").union(half).distinct()
-    return full.where(~F.col("name").isin(*GENERIC))
+    return every, bare
 
 
 def spacing_closure(index: DataFrame) -> DataFrame:
@@ -272,3 +278,46 @@ def resolve(spans: DataFrame, index: DataFrame, role: str | None = None, operati
         same = cond if same is None else same & cond
     found = spans.alias("a").join(out.alias("b"), same, "left")
     return found.select(*(f"a.{c}" for c in spans.columns), "b.entity_id", F.coalesce("b.candidates", F.lit(0)).alias("candidates"), F.coalesce("b.ambiguous", F.lit(False)).alias("ambiguous"))
+
+
+def grouped(stops: DataFrame) -> DataFrame:
+    """``stops(canonical_name, mode, ..)`` with ``group``, one text for stops of one name and mode; null without a name.
+
+    An index of groups in place of stops has the same names: they follow from a stop's name and mode alone.
+    """
+    mode = F.coalesce("mode", F.lit(""))
+    return stops.withColumn("group", F.when(F.trim("canonical_name") != "", F.concat(F.length(mode), F.lit(" "), mode, "canonical_name")))
+
+
+def name_classes(groups: DataFrame, hubs: DataFrame, aliases: DataFrame, places: DataFrame) -> DataFrame:
+    """``(class, names, groups)``: names of stops that need no qualifier, those that differ by blanks only together, with the groups they mean.
+
+    What ``alias_index`` has of stops, in one row for a class. ``groups``: in place of its stops, with the group as ``stop_id`` (``grouped``).
+    """
+    every, bare = _spelt(groups, hubs, aliases, places)
+    stop = F.when(F.col("kind") == "stop", F.col("entity_id"))
+    classes = every.groupBy(compact("name").alias("key")).agg(F.collect_set("name").alias("names"), F.collect_set(stop).alias("groups")).where("size(groups) > 0")
+    half = bare.groupBy(compact("name").alias("key")).agg(F.collect_set("name").alias("half"))
+    partial = F.when(F.col("half").isNull(), F.array(*map(F.lit, GENERIC))).otherwise(F.concat("half", F.array("key", *map(F.lit, GENERIC))))
+    names = F.array_except(F.array_union("names", F.array("key")), partial)
+    rows = classes.join(half, "key", "left").select(names.alias("names"), "groups").where("size(names) > 0")
+    return materialise(rows.withColumn("class", F.monotonically_increasing_id()), "classes")
+
+
+def resolve_stops_on_route(classes: DataFrame, on: DataFrame) -> DataFrame:
+    """What each name of a stop means together with each route that calls at a stop so named, as ``resolve`` with the role of a stop.
+
+    ``classes``: as of ``name_classes``. ``on(group, route, stop_id)``: distinct stops of routes, each in one group.
+    ``(surface, route, entity_id, candidates, ambiguous)``. Of a name that needs no qualifier the stops on the route come
+    first, and there is one: no other candidate is looked at. Stops are counted for classes and routes; only then names
+    are written out.
+    """
+    counted = on.repartition("group").groupBy("group", "route").agg(F.count("*").alias("n"), F.min("stop_id").alias("one"))
+    # Most names mean one group: all of these are together with it.
+    one, more = classes.where("size(groups) = 1"), classes.where("size(groups) > 1")
+    one = one.groupBy(F.col("groups")[0].alias("group")).agg(F.flatten(F.collect_list("names")).alias("names"))
+    rows = counted.join(one, "group").select("names", "route", "n", "one")
+    each = counted.join(more.select("class", F.explode("groups").alias("group")), "group").groupBy("class", "route").agg(F.sum("n").alias("n"), F.min("one").alias("one"))
+    rows = rows.union(each.join(more.select("class", "names"), "class").select("names", "route", "n", "one"))
+    open_ = F.col("n") > 1
+    return rows.select(F.explode("names").alias("surface"), "route", F.when(~open_, F.col("one")).alias("entity_id"), F.col("n").alias("candidates"), open_.alias("ambiguous"))

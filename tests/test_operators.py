@@ -1,3 +1,4 @@
+import datetime
 import hashlib
 import random
 
@@ -11,10 +12,12 @@ from dhruva.operators import contracts, corpus, features, metrics, names, schedu
 from dhruva.operators.intents import IntentModel
 from dhruva.operators.prefix import front, running_total
 from dhruva.plans import evaluation
+from dhruva.plans import names as names_plans
 from dhruva.plans import topology as routes_plans
 from dhruva.schema import Network
 from dhruva.session import checkpoint_dir, intermediates, materialise
 from dhruva.sources import files
+from tests.compare import connect, same
 
 
 def test_running_total_over_groups(spark):
@@ -374,6 +377,34 @@ def test_options_between_names_equal_brute_force(spark, monkeypatch, at_once):
     assert "Join Inner" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_names_on_routes_hold_no_stop_against_another_route(spark, tmp_path):
+    """Equal to its SQL for names of several stops, modes and spellings; a name's stops aren't multiplied by the routes asked for."""
+    at, day = datetime.datetime(2024, 1, 1), datetime.date(2024, 1, 1)
+    named = ["Lake Side", "Lakeside", "LAKE  SIDE", "Lake", "Mill", "Bus Stop", "Ford", "St. Mary", None, " ", "-", "Main Road"]
+    stops = [(f"S{i}", named[i % 12], ["bus", "metro", "suburban_rail", None, "x y"][i % 5], 13.0, 80.0, 1, "a", at, None) for i in range(120)] + [("S0", "Lake", "bus", 13.0, 80.0, 1, "a", at + datetime.timedelta(1), None), ("S200", "Pier", "bus", 1.0, 1.0, 1, "a", at, None)]
+    routes = [(f"R{i}", ["5", "29 c", "29C", "", None, "M-1", "7"][i % 7], ["bus", "metro", "suburban_rail", "x y"][i % 4], "a", "operational" if i % 9 else "suspended", at, None) for i in range(40)]
+    links = [(40 * i + k, f"R{i}", k % 2, k, f"S{(i * 7 + k * 11) % 120}", day, at) for i in range(40) for k in range(30)] + [(9_999, "R1", 0, 0, "S200", day, at + datetime.timedelta(1)), (9_998, " r8", 5, 0, "s200 ", day, at)]
+    tables = {
+        "transport_stops": (stops, "stop_id string, canonical_name string, mode string, latitude double, longitude double, inside_cma int, primary_source_id string, first_seen timestamp_ntz, deleted_at timestamp_ntz"),
+        "transport_routes": (routes, "route_id string, route_short_name string, mode string, source_id string, status string, first_seen timestamp_ntz, deleted_at timestamp_ntz"),
+        "route_stops": (links, "link_id long, route_id string, direction_id int, stop_sequence int, canonical_stop_id string, snapshot_date date, loaded_at timestamp_ntz"),
+        "transport_hubs": ([("H", "Mill", 1.0, 1.0)], "hub_id string, hub_name string, latitude double, longitude double"),
+        "station_aliases": ([("Lake", ["Talab", "ta lab", "Pi er"]), ("Mill", ["Talab"])], "canonical_name_en string, aliases array<string>"),
+        "reviewed_name_aliases_v1": ([(1, "Ford, Old Town", ["Furt"]), (2, "Main Road, Chennai", ["MR"]), (3, "P ier", [])], "entry_id long, canonical_name string, aliases array<string>"),
+        "chennai_case_study": ([("1", "Mainroad, Adyar")], "id string, name_en string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = connect(tmp_path)
+    for name in tables:
+        con.execute(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = names_plans.resolve_on_route(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() > 100 and {r["ambiguous"] for r in got.collect()} == {True, False}
+    same(got, con, names_plans.ORACLES["resolve_on_route"])
+    assert not [x for x in plan.splitlines() if "Join" in x and "surface" in x]
+
+
 def test_intent_model_learns_saves_and_loads(spark, sf, tmp_path):
     rows = evaluation._rows(spark, sf).where("expected is not null").select("id", "text", F.col("expected").alias("intent"), "split")
     model = IntentModel.fit(rows.where("split = 'train'"))
